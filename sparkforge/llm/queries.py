@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("op06_quality_rules", "op10_minhash_dedup")
+MODULES = ("op01_mixing", "op02_html_wrappers", "op03_warc", "op04_substring_dedup", "op05_quality_classifier", "op06_quality_rules", "op07_token_planes", "op08_decontamination", "op09_token_counts", "op10_minhash_dedup")
 
 W = r"[^\x20\x09-\x0D]+"
 
