@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from .common import WORD, Tables
 
 BLOCKS, LEVELS, MOST, SHARDS, SEED = 256, 3, 3, 64, 20_240_229
+#: Up to so many sources their rows are sent to every task.
+FEW_SOURCES = 10_000
 
 
 def targets(sizes: list[int], weights: list[float] | None = None, total: float | None = None, most: int = MOST) -> list[float]:
@@ -70,79 +72,98 @@ def permuted(block, turn: int, seed: int):
     return (block * a + c) % BLOCKS
 
 
-def plan(docs: DataFrame, weights: list[float] | None = None, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, copies, taken, shards (of its copies).
-
-    A document's size is its number of words; null texts count as empty. Null is a source of its own, the last. Rows that
-    repeat are separate documents that fall into one block. An empty table gives no rows; other columns are not looked at.
-    """
-    spark = docs.sparkSession
-    tables = Tables(spark, "mixing")
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    h = F.xxhash64(F.col("doc_id").cast("string"), F.lit(seed))
+def keyed(docs: DataFrame, seed: int) -> DataFrame:
+    """docs as one struct `row`, with the digits of the hash that places each document."""
+    h = F.xxhash64(F.col("doc_id").cast("long").cast("string"), F.lit(seed))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), h.alias("h"))
     digits = [F.shiftrightunsigned("h", 56 - 8 * i).bitwiseAND(F.lit(255)).cast("int").alias(f"d{i}") for i in range(LEVELS)]
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
-    rows = rows.select("doc_id", "source", size.alias("size"), h.alias("h")).select("doc_id", "source", "size", *digits)
-    rows = tables.write(rows, "sizes")
+    return rows.select("row", "doc_id", "source", *digits)
+
 
+def rank_of(seed: int):
+    """Place of a document's block in the partial pass, which comes after `base` whole ones."""
+    return F.coalesce(*(F.when(F.col("base") == i, permuted(F.col("d0"), i, seed)) for i in range(MOST + 1)))
+
+
+def same_source(other: str):
+    return F.col("source").eqNullSafe(F.col(other))
+
+
+def stops_of(rows: DataFrame, weights: list[float] | None, shards: int, seed: int, tables: Tables) -> DataFrame:
+    """A row for each source: of, source_size, target, base (whole passes), k0.. (stop of the partial pass), bounds (of shards)."""
+    spark = rows.sparkSession
     found = rows.groupBy("source").agg(F.sum("size").alias("size")).collect()
-    found.sort(key=lambda r: (r.source is None, (r.source or "").encode()))
+    found.sort(key=lambda r: (r["source"] is None, (r["source"] or "").encode()))
     sizes = [r["size"] for r in found]
     goal = targets(sizes, weights)
     base = [min(MOST, int(t // s)) if s else 0 for t, s in zip(goal, sizes)]
     need = [t - b * s for t, b, s in zip(goal, base, sizes)]
-    head = "source string, source_size long, target double, base int, need double"
-    known = spark.createDataFrame([(r.source, s, t, b, n) for r, s, t, b, n in zip(found, sizes, goal, base, need)], head)
-    same = lambda a: F.col("source").eqNullSafe(F.col(a))
-
-    first = F.expr("base").cast("int")
-    rank = F.coalesce(*(F.when(first == i, permuted(F.col("d0"), i, seed)) for i in range(MOST + 1)))
-    # The stop, digit by digit: the first digit with which the running sum passes what is needed.
-    stops = known.withColumnsRenamed({"source": "of"})
+    head = "of string, source_size long, target double, base int, need double"
+    stops = spark.createDataFrame([(r["source"], s, t, b, n) for r, s, t, b, n in zip(found, sizes, goal, base, need)], head)
+    rank = rank_of(seed)
+    # Digit by digit: the last one whose running sum is still within what is needed.
     for level in range(LEVELS):
-        part = rows.join(stops, same("of"))
+        part = rows.join(stops, same_source("of"))
         for i in range(level):
             part = part.where((rank if i == 0 else F.col(f"d{i}")) == F.col(f"k{i}"))
         sums = part.groupBy("source", (rank if level == 0 else F.col(f"d{level}")).alias("digit")).agg(F.sum("size").alias("n"))
         run = F.sum("n").over(Window.partitionBy("source").orderBy("digit")) - F.col("n")
-        sums = sums.select("source", "digit", "n", run.alias("before")).withColumnRenamed("source", "at")
+        sums = sums.select("digit", "n", run.alias("before"), F.col("source").alias("at"))
         stop = stops.join(sums, F.col("of").eqNullSafe(F.col("at")), "left").where("before is null or before <= need")
-        stop = stop.groupBy("of", *[c for c in stops.columns if c != "of"]).agg(F.max(F.struct("digit", "before", "n")).alias("x"))
-        last = level == LEVELS - 1
-        keep = [c for c in stops.columns if c not in ("need",)]
+        stop = stop.groupBy(*stops.columns).agg(F.max(F.struct("digit", "before", "n")).alias("x"))
         # At the last digit the whole part goes in where that comes nearer to the target.
-        k = F.expr("coalesce(x.digit, -1) + if(2 * (need - x.before) >= x.n and x.n > 0, 1, 0)") if last else F.expr("coalesce(x.digit, -1)")
-        stops = tables.write(stop.select(*keep, (F.col("need") - F.coalesce("x.before", F.lit(0))).alias("need"), k.cast("int").alias(f"k{level}")), f"stop{level}")
-
-    got = {r.of: r for r in stops.collect()}
-    drawn = [b * BLOCKS + (max(0, got[r.source].k0 + 1) if n > 0 else 0) for r, b, n in zip(found, base, need)]
+        more = " + if(2 * (need - x.before) >= x.n and x.n > 0, 1, 0)" if level == LEVELS - 1 else ""
+        keep = [c for c in stops.columns if c != "need"]
+        left = (F.col("need") - F.coalesce("x.before", F.lit(0))).alias("need")
+        stops = tables.write(stop.select(*keep, left, F.expr(f"cast(coalesce(x.digit, -1){more} as int)").alias(f"k{level}")), f"stop{level}")
+    got = {r["of"]: r for r in stops.collect()}
+    drawn = [b * BLOCKS + (max(0, got[r["source"]]["k0"] + 1) if n > 0 else 0) for r, b, n in zip(found, base, need)]
     quotas = splitting_tree(drawn, shards, seed)
-    bounds = spark.createDataFrame([(r.source, [int(x) for x in np.cumsum(quotas[:, i])]) for i, r in enumerate(found)], "at string, bounds array<long>")
-    stops = stops.join(bounds, F.col("of").eqNullSafe(F.col("at"))).drop("at", "need")
+    bounds = spark.createDataFrame([(r["source"], [int(x) for x in np.cumsum(quotas[:, i])]) for i, r in enumerate(found)], "at string, bounds array<long>")
+    stops = tables.write(stops.join(bounds, F.col("of").eqNullSafe(F.col("at"))).drop("at", "need"), "stops")
+    return F.broadcast(stops) if len(found) <= FEW_SOURCES else stops
 
-    out = rows.join(F.broadcast(stops) if len(found) <= 10_000 else stops, same("of"))
-    extra = F.struct(rank.alias("a"), *(F.col(f"d{i}").alias(f"b{i}") for i in range(1, LEVELS))) < F.struct(*(F.col(f"k{i}").alias(f"c{i}") for i in range(LEVELS)))
-    out = out.withColumn("extra", F.when(extra & (F.col("target") > 0), 1).otherwise(0))
-    turns = F.array(*(F.when(F.col("base") > i, i * BLOCKS + permuted(F.col("d0"), i, seed)) for i in range(MOST)), F.when(F.col("extra") == 1, F.col("base") * BLOCKS + rank))
+
+def drawn(rows: DataFrame, stops: DataFrame, seed: int) -> DataFrame:
+    """rows with their source's columns of stops, copies, and the shard of each copy."""
+    out, rank = rows.join(stops, same_source("of")), rank_of(seed)
+    place = F.struct(rank.alias("a"), *(F.col(f"d{i}").alias(f"b{i}") for i in range(1, LEVELS)))
+    extra = (place < F.struct(*(F.col(f"k{i}").alias(f"c{i}") for i in range(LEVELS)))) & (F.col("target") > 0)
+    turns = F.array(*(F.when(F.col("base") > i, i * BLOCKS + permuted(F.col("d0"), i, seed)) for i in range(MOST)), F.when(extra, F.col("base") * BLOCKS + rank))
     out = out.withColumn("turns", F.filter(turns, lambda x: x.isNotNull()))
-    out = out.withColumn("shards", F.expr("transform(turns, t -> size(filter(bounds, b -> b <= t)))"))
-    out = out.withColumn("copies", F.size("turns"))
+    return out.withColumn("copies", F.size("turns")).withColumn("shards", F.expr("transform(turns, t -> size(filter(bounds, b -> b <= t)))"))
+
+
+def sized(docs: DataFrame, seed: int, tables: Tables) -> DataFrame:
+    size = F.coalesce(F.regexp_count(F.col("row.text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
+    rows = keyed(docs.select("doc_id", "source", "text"), seed).withColumn("size", size).drop("row")
+    return tables.write(rows, "sizes")
+
+
+def plan(docs: DataFrame, weights: list[float] | None = None, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
+    """One row per document: doc_id, source, size, source_size, target, copies, taken, shards (of its copies).
+
+    A document's size is its number of words; null texts count as empty. Null is a source of its own, the last. Rows that
+    repeat are separate documents that are drawn alike. An empty table gives no rows; other columns are not looked at.
+    """
+    tables = Tables(docs.sparkSession, "mixing")
+    rows = sized(docs, seed, tables)
+    out = drawn(rows, stops_of(rows, weights, shards, seed, tables), seed)
     return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"), "shards")
 
 
 def mix(docs: DataFrame, weights: list[float] | None = None, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
-    """The mixed corpus: docs' columns, each row as often as it is drawn, plus its shard; shards are shuffled locally.
+    """The mixed corpus: docs' columns, each row as often as plan() draws it, and its shard. Shards are shuffled locally.
 
-    A row whose doc_id occurs in several rows of docs is drawn as often as the plan draws the row that it came from.
+    Whether a row is drawn depends on its id and source and on a few numbers for each source, so documents meet no table
+    of documents and move once, to their shards.
     """
-    counts = plan(docs, weights, shards, seed)
-    # Equal ids of one source have one hash, so their rows are drawn alike.
-    pick = counts.where("copies > 0").groupBy("doc_id", "source").agg(F.first("shards").alias("_shards"))
-    pick = pick.withColumnsRenamed({"doc_id": "_id", "source": "_source"})
-    out = docs.join(pick, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")))
-    out = out.select(*docs.columns, F.posexplode("_shards").alias("_turn", "shard"))
-    order = F.xxhash64(F.col("doc_id").cast("string"), "_turn", F.lit(seed + 1))
-    return out.repartition("shard", (F.xxhash64("doc_id", "_turn") % 16)).sortWithinPartitions("shard", order).drop("_turn")
+    tables = Tables(docs.sparkSession, "mixing")
+    stops = stops_of(sized(docs, seed, tables), weights, shards, seed, tables)
+    out = drawn(keyed(docs, seed), stops, seed).select("row", "doc_id", F.posexplode("shards").alias("turn", "shard"))
+    order = F.xxhash64(F.col("doc_id").cast("string"), "turn", F.lit(seed + 1)).alias("order")
+    out = out.select("row", "shard", order).repartition("shard", F.pmod("order", F.lit(16))).sortWithinPartitions("shard", "order")
+    return out.select("row.*", "shard")
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

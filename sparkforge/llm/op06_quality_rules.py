@@ -97,24 +97,26 @@ def fences(sketch: DataFrame, slope: int = 3) -> DataFrame:
     return g.groupBy("lang", "source").agg(*(F.max(F.when(F.col("score") == k, F.col("fence"))).alias(f"f_{k}") for k in SCORES))
 
 
-def quality_rules(docs: DataFrame, slope: int = 3) -> DataFrame:
-    """One row per document: counts, base_failed, scores, fences, kept.
+def quality_rules(docs: DataFrame, slope: int = 3, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: counts, base_failed, scores, fences, kept, and `row`, a struct of the carried columns.
 
     A null text counts as empty and fails the base rule (no words). Null lang or source form groups of their own. Rows
     that repeat are judged one by one alike. An empty table gives no rows. Other columns are not looked at.
     """
-    keys = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"))
-    schema = COUNTS + ", lang string, source string"
+    names = [x.split()[0] for x in COUNTS.split(", ")]
+    cols = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source")]
+    rows = docs.select(*cols, *(F.col(c).alias(f"_{c}") for c in carry))
+    schema = COUNTS + ", lang string, source string" + "".join(f", _{c} {docs.schema[c].dataType.simpleString()}" for c in carry)
 
     def run(batches):
-        names = [x.split()[0] for x in COUNTS.split(", ")]
         for b in batches:
-            rows = [counts(t.as_py()) for t in b.column(1)]
-            cols = list(zip(*rows)) if rows else [[]] * 8
-            arrays = [b.column(0), *(pa.array(c, pa.int64()) for c in cols), b.column(2), b.column(3)]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*names, "lang", "source"])
+            got = [counts(t.as_py()) for t in b.column(1)]
+            arrays = [b.column(0), *(pa.array(c, pa.int64()) for c in (zip(*got) if got else [[]] * 8)), *b.columns[2:]]
+            yield pa.RecordBatch.from_arrays(arrays, names=[*names, "lang", "source", *(f"_{c}" for c in carry)])
 
-    got = keys.mapInArrow(run, schema)
+    got = rows.mapInArrow(run, schema)
+    if carry:
+        got = got.withColumn("row", F.struct(*(F.col(f"_{c}").alias(c) for c in carry))).drop(*(f"_{c}" for c in carry))
     got = got.withColumn("base_failed", F.expr("n_words < 20 or 100 * n_repeat_words > 30 * n_words"))
     got = got.withColumns({f"s_{k}": score(k) for k in SCORES})
     tables = Tables(docs.sparkSession, "quality")
