@@ -21,7 +21,7 @@ NATIVE = frozenset(
     timestampdiff timestampadd
     array_repeat array_distinct array_min array_max array_position array_remove array_append array_intersect arrays_overlap
     transform filter exists forall regexp_extract_all array_contains
-    map map_from_arrays map_keys map_values map_filter transform_keys transform_values named_struct struct
+    map_from_arrays map_keys map_values map_filter transform_keys transform_values named_struct struct
     count sum min max avg any_value count_if bool_and bool_or bit_and bit_or bit_xor max_by min_by covar_pop covar_samp
     stddev_pop stddev_samp var_pop var_samp grouping grouping_id
     row_number rank dense_rank ntile cume_dist percent_rank lag lead first_value last_value nth_value
@@ -222,6 +222,7 @@ COMPOSED: dict[str, object] = {
     "l2_distance": "aggregate(zip_with({0}, {1}, (p, q) -> (cast(p as double) - q) * (cast(p as double) - q)), 0D, (acc, z) -> acc + z)",
     # maps
     "row": lambda a: "named_struct(" + ", ".join(f"'col{i + 1}', {x}" for i, x in enumerate(a)) + ")",
+    "map": lambda a: f"map_from_arrays(array({', '.join(a[::2])}), array({', '.join(a[1::2])}))" if a else "map()",
     "map_concat": lambda a: f"map_concat({', '.join(f'coalesce({x}, map())' for x in a)})", "distinct_map_keys": "({0})", "str_to_map": {3: "str_to_map({0}, {1}, {2})", 1: "str_to_map({0})"},
     "map_apply": lambda a: f"map_from_entries(transform(map_entries({a[1]}), e -> {a[0]}))",
     # bitmaps: sorted distinct arrays of BIGINT
@@ -294,11 +295,15 @@ COMPOSED["to_tera_date"] = lambda a: f"cast(try_to_timestamp({a[0]}, {_tera(a[1]
 COMPOSED["to_tera_timestamp"] = lambda a: f"cast(try_to_timestamp({a[0]}, {_tera(a[1])}) as timestamp_ntz)"
 
 
+#: Calls with a syntax of their own, which the front end rewrites.
+OWN_SYNTAX = frozenset("group_concat cast convert extract".split())
+
+
 def known(name: str) -> bool:
     from .udfs import UDFS
 
     name = ALIASES.get(name.lower(), name.lower())
-    return name in COMPOSED or name in NATIVE or name in UDFS
+    return name in COMPOSED or name in NATIVE or name in UDFS or name in OWN_SYNTAX
 
 
 def rewrite(name: str, args: list[str], dialect: str = "neutral") -> str | None:

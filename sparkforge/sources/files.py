@@ -33,7 +33,9 @@ def read(spark: SparkSession, kind: str, path: str, options: dict | None = None)
         # The lines to skip are the first of each file by their place in it.
         lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i"))
         first = lines.orderBy("f", "b", "i").limit(skip).select("i")
-        return r.csv(lines.join(F.broadcast(first), "i", "left_anti").orderBy("f", "b", "i").select("value"))
+        rest = lines.join(F.broadcast(first), "i", "left_anti").orderBy("f", "b", "i").select("value")
+        strings = getattr(rest._jdf, "as")(spark._jvm.org.apache.spark.sql.Encoders.STRING())
+        return DataFrame(r._jreader.csv(strings), spark)
     return r.csv(path)
 
 
