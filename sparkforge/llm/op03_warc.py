@@ -249,4 +249,4 @@ def warc(pages: DataFrame, least: int = 0) -> DataFrame:
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = warc(spark.read.parquet(f"{sf_dir}/pages.parquet"))
-    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "timestamp", "capture_seq", "archive", "offset", "length")
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

@@ -48,7 +48,15 @@ r AS (SELECT DISTINCT a AS doc, a AS other FROM y UNION SELECT r.doc, y.b FROM r
 m AS (SELECT doc, min(other) AS low FROM r GROUP BY doc)
 SELECT doc_id, n_shingles, coalesce(low, doc_id) AS component_id, doc_id = coalesce(low, doc_id) AS kept FROM n LEFT JOIN m ON doc_id = doc"""
 
-ORACLES = {"op6_quality_rules": QUALITY, "op10_minhash_dedup": NEAR}
+WARC = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, strlen(h)::BIGINT AS payload_bytes, sha1(h) AS hex, max(page_id) OVER (PARTITION BY h) AS winner FROM p)
+SELECT page_id, payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(hex, 1 + 5 * (i // 4), 5))::INTEGER >> (15 - 5 * (i % 4))) & 31)::INTEGER, 1)), '') AS payload_digest,
+  CASE WHEN page_id = winner THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> winner THEN winner END AS refers_to
+FROM d"""
+
+ORACLES = {"op3_warc": WARC, "op6_quality_rules": QUALITY, "op10_minhash_dedup": NEAR}
 
 
 def queries() -> dict:
