@@ -3,14 +3,12 @@
 from __future__ import annotations
 
 import atexit
-import re
 import shutil
 import tempfile
 import uuid
 
 import numpy as np
 import xxhash
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,23 +41,30 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 class Tables:
-    """Written intermediate tables. They survive lost executors and cut lineage; drop() removes those not named."""
+    """Written intermediate tables. They survive lost executors and cut lineage."""
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.name, self.paths = spark, name, {}
+        self.spark, self.name, self.paths = spark, name, set()
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = new_path(self.spark, f"{self.name}-{name}")
         df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
+        self.paths.add(path)
         out._table_path = path
         return out
 
     def drop(self, *tables: DataFrame) -> None:
         for t in tables:
+            self.paths.discard(t._table_path)
             remove(self.spark, t._table_path)
 
+    def only(self, *kept: DataFrame) -> None:
+        """Removes all tables but those that a result still reads."""
+        for path in self.paths - {t._table_path for t in kept}:
+            self.paths.discard(path)
+            remove(self.spark, path)
+
 
 class WordHashes(dict):
     """64-bit hash of a word, remembered up to a bound on entries."""
@@ -132,8 +137,4 @@ def components(edges: DataFrame, tables: Tables) -> DataFrame:
     return now.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node").union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def file_words(text: str) -> list[str]:
-    return re.findall(WORD, text)
-
-
-__all__ = ["SPACES", "WORD", "Tables", "WordHashes", "as_bytes", "components", "mix", "new_path", "remove", "shared_root", "shingles", "StorageLevel"]
+__all__ = ["SPACES", "WORD", "Tables", "WordHashes", "as_bytes", "components", "mix", "new_path", "remove", "shared_root", "shingles"]

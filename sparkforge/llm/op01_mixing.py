@@ -89,7 +89,7 @@ def same_source(other: str):
     return F.col("source").eqNullSafe(F.col(other))
 
 
-def stops_of(rows: DataFrame, weights: list[float] | None, shards: int, seed: int, tables: Tables) -> DataFrame:
+def stops_of(rows: DataFrame, weights: list[float] | None, shards: int, seed: int, tables: Tables, keep: bool = False) -> DataFrame:
     """A row for each source: of, source_size, target, base (whole passes), k0.. (stop of the partial pass), bounds (of shards)."""
     spark = rows.sparkSession
     found = rows.groupBy("source").agg(F.sum("size").alias("size")).collect()
@@ -121,6 +121,7 @@ def stops_of(rows: DataFrame, weights: list[float] | None, shards: int, seed: in
     quotas = splitting_tree(drawn, shards, seed)
     bounds = spark.createDataFrame([(r["source"], [int(x) for x in np.cumsum(quotas[:, i])]) for i, r in enumerate(found)], "at string, bounds array<long>")
     stops = tables.write(stops.join(bounds, F.col("of").eqNullSafe(F.col("at"))).drop("at", "need"), "stops")
+    tables.only(stops, *([rows] if keep else []))
     return F.broadcast(stops) if len(found) <= FEW_SOURCES else stops
 
 
@@ -148,7 +149,7 @@ def plan(docs: DataFrame, weights: list[float] | None = None, shards: int = SHAR
     """
     tables = Tables(docs.sparkSession, "mixing")
     rows = sized(docs, seed, tables)
-    out = drawn(rows, stops_of(rows, weights, shards, seed, tables), seed)
+    out = drawn(rows, stops_of(rows, weights, shards, seed, tables, keep=True), seed)
     return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"), "shards")
 
 

@@ -234,6 +234,7 @@ def merged_index(captures: DataFrame, tables: Tables) -> DataFrame:
     cut = captures.withColumn("part", place.cast("int")).mapInArrow(slices, "part int, run string, at long, rows binary")
     whole = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema) + ", part int, rank long"
     out = tables.write(cut.groupBy("part").applyInArrow(merge, whole), "merged")
+    tables.only(out)
     ends = out.groupBy("part").agg(F.count("*").alias("n"))
     ends = ends.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
     return out.join(ends, "part").withColumn("capture_seq", F.col("before") + F.col("rank")).drop("part", "rank", "before")

@@ -6,9 +6,9 @@ chance that a pair shares none of 40 buckets of 5 minima is 1.3e-7. Buckets are
 
 1. Star rounds. Each class is held against one pivot for every bucket (its smallest member at first, others later), by
    the low bytes of the minima; the best is verified on the full shingle sets. Verified links give components.
-2. The rest. Only buckets whose members lie in different components are left. Their pairs across components, without the
-   bucket's largest component against itself, are held against each other by size and minima; then the best pairs of any
-   two components are verified, and further ones until none is left. No link that could join two components is skipped.
+2. The rest. Only buckets whose members lie in different components are left. Members that the star rounds found alike
+   are held against each other in blocks of full sets, the others in blocks of minima, of which pairs that agree are
+   verified, the best of any two components first. No link that could join two components is skipped.
 
 Minima estimate a pair only to leave it out where a similarity of 0.8 is less likely than 1e-9.
 """
@@ -116,8 +116,8 @@ def bloom(spark: SparkSession, ids: DataFrame) -> bytes:
     h = F.xxhash64("id")
     words = ids.select((h.bitwiseAND(F.lit(BLOOM_WORDS - 1))).alias("w"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(xxhash64(id), 32) & 63 as int))").alias("bit"))
     bits = np.zeros(BLOOM_WORDS, np.int64)
-    for w, b in words.groupBy("w").agg(F.bit_or("bit")).toLocalIterator():
-        bits[w] = b
+    found = words.groupBy("w").agg(F.bit_or("bit").alias("bit")).toArrow()
+    bits[found["w"].to_numpy()] = found["bit"].to_numpy()
     return bits.tobytes()
 
 
@@ -165,6 +165,92 @@ def verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int, tables: Ta
     return out
 
 
+def block_links(side: DataFrame, near: DataFrame, docs: DataFrame, n: int, percent: int, tables: Tables) -> tuple[DataFrame, DataFrame]:
+    """Links across components inside a chain, and the chains: (a, b), (doc_id, chain).
+
+    A chain is a component of the pairs that agreed in the star rounds, verified or not. A large group of copies with
+    many edits each is one chain, in which very many pairs lie just below the similarity. The members outside a chain's
+    largest component are held against the whole chain in blocks: the intersections of two blocks are one product of
+    matrices, and only one link of a member with any component leaves it.
+    """
+    spark = docs.sparkSession
+    chains = tables.write(components(near.toDF("u", "v"), tables).toDF("doc_id", "chain"), "chains")
+    one = side.select("doc_id", "n_shingles", "root").distinct().join(chains, "doc_id")
+    sizes = one.groupBy("chain", "root").count().groupBy("chain").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.count("*").alias("roots"))
+    one = one.join(sizes.where("roots > 1"), "chain")
+    # Similar sets have sizes whose classes differ by one at most.
+    one = tables.write(one.withColumn("size", F.floor(F.log("n_shingles") / F.lit(float(np.log(100 / percent)) * 1.0001)).cast("int")), "inner")
+    bits = spark.sparkContext.broadcast(bloom(spark, one.select(F.col("doc_id").alias("id"))))
+
+    def sets(batches):
+        hashes = WordHashes()
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(t.as_py(), n, hashes).tobytes() for t in b.column(1)], pa.binary())], names=["id", "shingles"])
+
+    full = needed(docs, bits).mapInArrow(sets, "id long, shingles binary").dropDuplicates(["id"]).withColumnRenamed("id", "doc_id")
+    most = F.greatest(F.lit(1), F.least(F.lit(64), F.floor(F.lit(20_000) / F.pow(F.lit(100 / percent), "size"))))
+    parts = one.groupBy("chain", "size").agg(F.ceil(F.count("*") / F.max(most)).alias("parts"))
+    full = one.join(full, "doc_id").join(parts, ["chain", "size"]).withColumn("part", F.pmod(F.xxhash64("doc_id"), "parts"))
+    full = tables.write(full.select("chain", "size", "part", "doc_id", "root", "main", "shingles"), "full")
+    pack = F.collect_list(F.struct("doc_id", "root", "shingles"))
+    few = full.where("root <> main").groupBy("chain", "size", "part").agg(pack.alias("few"))
+    few = few.select("chain", F.explode(F.array(*(F.col("size") + i for i in (-1, 0, 1)))).alias("size"), "few")
+    whole = full.groupBy("chain", "size", "part").agg(pack.alias("whole"))
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for x, y in zip(b.column(0), b.column(1)):
+                x, y = x.as_py(), y.as_py()
+                p, q = ([np.frombuffer(r["shingles"], np.uint64) for r in z] for z in (x, y))
+                words, place = np.unique(np.concatenate([*p, *q]), return_inverse=True)
+                rows = np.repeat(np.arange(len(p) + len(q)), [*map(len, p), *map(len, q)])
+                m = np.zeros((len(p) + len(q), len(words)), np.float32)
+                m[rows, place] = 1
+                both = (m[: len(p)] @ m[len(p) :].T).astype(np.int64)
+                union = np.array([*map(len, p)])[:, None] + np.array([*map(len, q)]) - both
+                linked = (both > 0) & (100 * both >= percent * union)
+                for i, r in enumerate(x):
+                    seen = {r["root"]}
+                    for j in np.flatnonzero(linked[i]):
+                        if y[j]["root"] not in seen:
+                            seen.add(y[j]["root"])
+                            out.append((r["doc_id"], y[j]["doc_id"]))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["a", "b"])
+
+    return tables.write(few.join(whole, ["chain", "size"]).select("few", "whole").mapInArrow(run, "a long, b long"), "block-links"), chains
+
+
+def block_agreeing(side: DataFrame, reps: DataFrame, least: int, percent: int) -> DataFrame:
+    """(a, b, est), a > b: pairs of a bucket in different chains and components whose minima agree in `least` places.
+
+    Texts that share a common passage may meet in a bucket in large numbers without being alike, so members are compared
+    in blocks of minima and only pairs that agree become rows.
+    """
+    rows = side.join(reps.select("doc_id", "sig"), "doc_id")
+    parts = side.groupBy("bucket").agg(F.ceil(F.count("*") / 64).alias("parts"))
+    rows = rows.join(parts, "bucket").withColumn("part", F.pmod(F.xxhash64("doc_id"), "parts"))
+    pack = F.collect_list(F.struct("doc_id", "n_shingles", "root", "chain", "sig"))
+    few = rows.where("root <> main").groupBy("bucket", "part").agg(pack.alias("few")).drop("part")
+    whole = rows.groupBy("bucket", "part").agg(pack.alias("whole")).drop("part")
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for x, y in zip(b.column(0), b.column(1)):
+                p, q = ([np.array([r[k] for r in z], np.int64) for k in ("doc_id", "n_shingles", "root", "chain")] + [np.frombuffer(b"".join(r["sig"] for r in z), np.uint8).reshape(-1, K)] for z in (x.as_py(), y.as_py()))
+                est = np.stack([(row == q[4]).sum(1) for row in p[4]])
+                n, m = p[1][:, None], q[1][None]
+                on = (est >= least) & (p[2][:, None] != q[2]) & (p[3][:, None] != q[3]) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
+                i, j = np.nonzero(on)
+                out.append((np.maximum(p[0][i], q[0][j]), np.minimum(p[0][i], q[0][j]), est[i, j]))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*out)], names=["a", "b", "est"])
+
+    return few.join(whole, "bucket").select("few", "whole").mapInArrow(run, "a long, b long, est long")
+
+
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, class_id, component_id, kept.
 
@@ -187,7 +273,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     members = tables.write(bands.join(shared, "bucket"), "members")
     links = done = None
     roots = members.withColumn("root", F.col("doc_id"))
-    tried = None
+    tried = every = None
     ratio = F.expr(f"100 * least(n_shingles, p_n) >= {percent} * greatest(n_shingles, p_n)")
 
     def joined(new: DataFrame):
@@ -196,8 +282,10 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
         done = tables.write(components(links.toDF("u", "v"), tables), "components")
         roots = tables.write(members.join(done.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("bucket", "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("root")), "roots")
 
-    for turn in range(6):
-        order = (F.col("doc_id"), -F.col("doc_id"), F.xxhash64("doc_id", F.lit(turn)))[min(turn, 2)]
+    cost = None
+    for turn in range(12):
+        # First the smallest member; then another for every bucket, so that a class is held against many and keeps the best.
+        order = F.xxhash64("doc_id", "bucket", F.lit(turn)) if turn else F.col("doc_id")
         pivot = F.min(F.struct(order.alias("o"), F.col("doc_id").alias("p"), F.col("n_shingles").alias("p_n"), F.col("root").alias("p_root"))).alias("x")
         pivots = tables.write(roots.groupBy("bucket").agg(pivot, F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("bucket", "x.*").drop("o"), "pivots")
         pairs = roots.join(pivots, "bucket").where((F.col("root") != F.col("p_root")) & ratio)
@@ -207,27 +295,35 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
         near = tables.write(agreeing(pairs, reps, least), "near")
         best = near.groupBy("a").agg(F.max_by("b", F.struct("est", "b")).alias("b"))
         best = tables.write(best, "best")
-        tables.drop(near, pivots)
+        every = near.select("a", "b") if every is None else every.union(near.select("a", "b"))
+        tables.drop(pivots)
         tried = best if tried is None else tables.write(tried.union(best), "tried")
         new = verified(best, docs, n, percent, tables)
         if new.isEmpty():
             break
         joined(new)
-        left = roots.groupBy("bucket", "root").count().groupBy("bucket").agg(F.sum("count").alias("m"), F.max("count").alias("most"), F.count("*").alias("roots"))
-        cost, size = left.agg(F.sum(F.when(F.col("roots") > 1, (F.col("m") - F.col("most")) * F.col("m"))), F.sum("m")).first()
-        if not cost or cost <= 4 * size:
+        left = roots.groupBy("bucket", "root").count().groupBy("bucket").agg(F.sum("count").alias("m"), F.max("count").alias("most"))
+        before, (cost, few) = cost, left.where("m > most").agg(F.sum((F.col("m") - F.col("most")) * F.col("m")), F.sum(F.col("m") - F.col("most"))).first()
+        # Enough when a class that is left has few partners, or when a turn hardly joins any more.
+        if not cost or cost <= 3 * few or before and 20 * cost > 19 * before:
             break
 
-    # What is left: pairs across components of one bucket, its largest component only against the others.
-    per = roots.groupBy("bucket", "root").count().groupBy("bucket").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").select("bucket", "main")
-    mixed = tables.write(per, "mixed")
-    side = tables.write(roots.join(mixed, "bucket"), "side")
-    few = side.where("root <> main").select("bucket", F.col("doc_id").alias("p"), F.col("n_shingles").alias("p_n"), F.col("root").alias("p_root"))
-    pairs = side.join(few, "bucket").where((F.col("root") != F.col("p_root")) & ratio).select(F.greatest("doc_id", "p").alias("a"), F.least("doc_id", "p").alias("b")).distinct()
+    def mixed():
+        """Members of buckets that lie in several components, and the largest component of each bucket."""
+        per = roots.groupBy("bucket", "root").count().groupBy("bucket").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.count("*").alias("roots"))
+        per = tables.write(per.where("roots > 1").select("bucket", "main"), "mixed")
+        return tables.write(roots.join(per, "bucket"), "side")
+
+    new, chains = block_links(mixed(), every, docs, n, percent, tables)
+    if not new.isEmpty():
+        joined(new)
+    # Pairs of one bucket that no chain holds.
+    side = mixed().join(chains, "doc_id", "left").withColumn("chain", F.coalesce("chain", "doc_id"))
+    side = tables.write(side, "outer")
+    rest = block_agreeing(side, reps, least, percent).groupBy("a", "b").agg(F.max("est").alias("est"))
     if tried is not None:
-        pairs = pairs.join(tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti")
-    rest = tables.write(agreeing(pairs, reps, least), "rest")
-    tables.drop(side, mixed)
+        rest = rest.join(tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti")
+    rest = tables.write(rest, "rest")
     for most in (1, 16, None):
         if rest.isEmpty():
             break
@@ -250,6 +346,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     else:
         classes = classes.withColumn("component_id", F.col("class_id"))
     classes = tables.write(classes.withColumnRenamed("key", "k"), "ids")
+    tables.only(rows, classes)
     out = rows.select("doc_id", "n_shingles", "key").join(classes, F.col("key") == F.col("k"), "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
