@@ -36,14 +36,20 @@ END_ID = 2
 NO_ID = -(1 << 63)
 
 
+#: White space next to a space: there a cut before the space could split one pre-token. And white space beyond ASCII.
+PAIRS = [" " + c for c in " \t\n\x0b\x0c\r"] + [c + " " for c in "\t\n\x0b\x0c\r"]
+ODD = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+
+
 class Encoder:
-    """Ids of texts as little-endian 32-bit integers. Pre-tokens are encoded by the library once and then remembered.
+    """Ids of texts as little-endian 32-bit integers. Each different word is encoded by the library once and remembered.
 
-    Byte-level BPE never merges across pre-tokens, so joining their ids gives the ids of the whole text. A text with the
-    string of an added token goes to the library whole.
+    Byte-level BPE never merges across pre-tokens, and a pre-token has a space at its start only, so a text may be cut
+    before its single spaces and the ids of the cuts joined. A text with other white space beside a space is cut into
+    pre-tokens, and one with the string of an added token goes to the library whole.
     """
 
-    LIMIT = 150_000
+    LIMIT = 1_000_000
 
     def __init__(self, spec: str, pattern: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -54,18 +60,67 @@ class Encoder:
         self.find = regex.compile(pattern).findall
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
-
-    def ids(self, text: str) -> bytes:
-        if any(t in text for t in self.added):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        pieces = self.find(text)
-        if new := [p for p in set(pieces) if p not in self.known]:
-            if len(self.known) + len(new) > self.LIMIT:
-                self.known.clear()
-                new = list(set(pieces))
-            for p, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-                self.known[p] = np.array(e.ids, "<u4").tobytes()
-        return b"".join(map(self.known.__getitem__, pieces))
+        vocabulary = self.tokenizer.get_vocab()
+        self.space = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.space[[i for t, i in vocabulary.items() if t.startswith("Ġ")]] = True
+
+    @classmethod
+    def shared(cls, spec: str, pattern: str) -> Encoder:
+        """One for all tasks of a worker process: kept at the library, which is a module of the process."""
+        import tokenizers
+
+        kept = vars(tokenizers).setdefault("_sparkforge", {})
+        name = (hash(spec), pattern)
+        if name not in kept:
+            kept.clear()
+            kept[name] = cls(spec, pattern)
+        return kept[name]
+
+    def library(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def cuts(self, text: str) -> list[str]:
+        if "\0" in text or any(p in text for p in PAIRS) or not text.isascii() and ODD.search(text):
+            return self.find(text)
+        return text.replace(" ", "\0 ").split("\0")
+
+    def learn(self, new: set[str]) -> None:
+        known, pieces, rest = self.known, [], {}
+        for c in new:
+            if c[:1] == " " and c[1:].isalpha():
+                pieces.append(c)
+            else:
+                rest[c] = self.find(c)
+        more = {p for ps in rest.values() for p in ps if p not in known}
+        more.difference_update(pieces)
+        words = [p for p in more if p[:1] == " " and p[1:].isalpha()]
+        pieces += words
+        # Words that start with their only space can be told apart in the ids of a text of many.
+        for i in range(0, len(pieces), 500):
+            some = pieces[i : i + 500]
+            ids = np.array(self.tokenizer.encode("".join(some), add_special_tokens=False).ids, "<u4")
+            raw, at = ids.tobytes(), [*(4 * np.flatnonzero(self.space[ids])).tolist(), 4 * len(ids)]
+            if len(at) == len(some) + 1:
+                for p, x, y in zip(some, at, at[1:]):
+                    known[p] = raw[x:y]
+            else:
+                for p in some:
+                    known[p] = self.library(p)
+        others = list(more.difference(words))
+        for p, e in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False)):
+            known[p] = np.array(e.ids, "<u4").tobytes()
+        for c, ps in rest.items():
+            known[c] = b"".join(map(known.__getitem__, ps))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        whole = [any(t in text for t in self.added) for text in texts]
+        cut = [[] if w else self.cuts(t) for t, w in zip(texts, whole)]
+        if len(self.known) > self.LIMIT:
+            self.known.clear()
+        if new := set().union(*cut).difference(self.known):
+            self.learn(new)
+        get = self.known.__getitem__
+        return [self.library(t) if w else b"".join(map(get, c)) for t, w, c in zip(texts, whole, cut)]
 
 
 def to_planes(ids: np.ndarray, unit: str = "byte") -> list[bytes]:
@@ -185,15 +240,19 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: tuple[str, str] | None =
     end = struct.pack("<I", end_id)
 
     def run(batches):
-        encoder = None
+        encoder = Encoder.shared(spec.value, pattern)
 
         def documents():
-            nonlocal encoder
             for b in batches:
-                encoder = encoder or Encoder(spec.value, pattern)
-                for i, t in zip(b.column(0), b.column(1)):
-                    doc_id = i.as_py()
-                    yield NO_ID if doc_id is None else doc_id, encoder.ids(t.as_py()) + end
+                ids, texts, at = b.column(0).to_pylist(), b.column(1), 0
+                while at < len(ids):
+                    some, size = [], 0
+                    while at + len(some) < len(ids) and size < 1 << 19:
+                        some.append(texts[at + len(some)].as_py())
+                        size += len(some[-1])
+                    for doc_id, raw in zip(ids[at:], encoder.encode(some)):
+                        yield NO_ID if doc_id is None else doc_id, raw + end
+                    at += len(some)
 
         for record in file_records(documents(), unit):
             yield pa.RecordBatch.from_arrays([pa.array([record], pa.binary())], names=["record"])
