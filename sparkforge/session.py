@@ -46,11 +46,11 @@ class Engine:
         df.createOrReplaceTempView(name)
         return df
 
-    def sql(self, text: str, dialect: str | None = None) -> DataFrame:
-        """One or more statements; the last one's result."""
-        from .plans.statements import execute
+    def sql(self, text: str, dialect: str | None = None, args: list | None = None) -> DataFrame:
+        """One or more statements; the last one's result. args stand for ? in turn, or for $1, $2.. ."""
+        from .plans.statements import bound, execute
 
-        return execute(self, text, dialect or self.dialect)
+        return execute(self, bound(text, args) if args else text, dialect or self.dialect)
 
     def scan(self, name: str):
         from .plans.builder import Query

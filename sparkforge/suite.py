@@ -188,6 +188,10 @@ def win_distinct(e):
     return t.select("n_nationkey", windows.count_distinct_over("l", w).alias("n"), windows.sum_distinct_over("l", w).alias("s"))
 
 
+q("win_distinct_sql", "SELECT n_nationkey, count(DISTINCT n_regionkey % 2) OVER (PARTITION BY length(n_name)) AS c, sum(DISTINCT n_regionkey) OVER (PARTITION BY length(n_name)) AS s FROM nation",
+  "SELECT n_nationkey, CAST(count(DISTINCT n_regionkey % 2) OVER (PARTITION BY length(n_name)) AS BIGINT) AS c, CAST(sum(DISTINCT n_regionkey) OVER (PARTITION BY length(n_name)) AS DOUBLE) AS s FROM nation")
+
+
 @op("SELECT event_id, CAST(1 + sum(b) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS session FROM (SELECT *, CASE WHEN s - lag(s) OVER (PARTITION BY user_id ORDER BY ts, event_id) > 86400 THEN 1 ELSE 0 END AS b FROM (SELECT event_id, user_id, ts, CAST(floor(epoch(ts)) AS BIGINT) AS s FROM events))", "events")
 def win_session_number(e):
     t = e.spark.table("events").withColumn("s", F.unix_seconds(F.col("ts").cast("timestamp")))
@@ -316,6 +320,13 @@ def file_csv_roundtrip(e):
     return e.sql(f"SELECT CAST(r_regionkey AS INT) AS r_regionkey, r_name FROM read_csv('{path}', header=true, delim=',')")
 
 
+@op("SELECT r_regionkey, r_name FROM region WHERE r_regionkey < 3", "region")
+def copy_statement(e):
+    path = f"{e.store.folder()}/copy-{uuid.uuid4().hex}"
+    e.sql(f"COPY (SELECT r_regionkey, r_name FROM region) TO '{path}' WITH (HEADER true); CREATE TABLE back (r_regionkey INT, r_name STRING); COPY back FROM '{path}' WITH (HEADER true)")
+    return e.sql("SELECT r_regionkey, r_name FROM back WHERE r_regionkey < ?", args=[3])
+
+
 @op("SELECT CAST(r_regionkey AS BIGINT) AS r_regionkey, r_name FROM region", "region")
 def file_json_roundtrip(e):
     path = f"{e.store.folder()}/json-{uuid.uuid4().hex}.json"
