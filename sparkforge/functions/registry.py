@@ -236,9 +236,11 @@ COMPOSED: dict[str, object] = {
     "count_distinct": lambda a: f"count(DISTINCT {', '.join(a)})", "approx_count_distinct": "count(DISTINCT {0})", "ndv": "count(DISTINCT {0})", "multi_distinct_count": "count(DISTINCT {0})", "approx_count_distinct_hll_sketch": "count(DISTINCT {0})", "bitmap_union_int": "count(DISTINCT {0})",
     "multi_distinct_sum": "sum(DISTINCT {0})", "median": "percentile({0}, 0.5)", "percentile_cont": "percentile({0}, {1})", "percentile": "percentile({0}, {1})",
     "percentile_disc": "get(array_sort(collect_list({0})), cast(greatest(ceil(({1}) * count({0})), 1) as int) - 1)", "percentile_disc_lc": "get(array_sort(collect_list({0})), cast(greatest(ceil(({1}) * count({0})), 1) as int) - 1)",
+    "percentile_approx_weighted": lambda a: _weighted(*a[:3]),
     "percentile_approx": lambda a: _percentile(*a[:2]),
     "corr": "nanvl(corr({0}, {1}), NULL)", "variance": "var_pop({0})", "stddev": "stddev_pop({0})",
     "first": "first({0}, true)", "last": "last({0}, true)",
+    "approx_top_k": lambda a: f"transform(array(collect_list(struct({a[0]} AS v))), l -> slice(transform(array_sort(transform(array_distinct(l), e -> named_struct('c', -size(filter(l, z -> z <=> e)), 'n', if(e.v IS NULL, 0, 1), 'v', e.v))), r -> named_struct('item', r.v, 'count', cast(-r.c as bigint))), 1, {a[1] if len(a) > 1 else 5}))[0]",
     "bitmap_agg": "array_sort(collect_set(cast({0} as bigint)))", "bitmap_union": "array_sort(array_distinct(flatten(collect_list({0}))))", "bitmap_union_count": "size(array_distinct(flatten(collect_list({0}))))",
     "bitmap_intersect": "aggregate(collect_list({0}), cast(NULL as array<bigint>), (acc, z) -> coalesce(array_intersect(acc, z), z))",
     "array_agg": "transform(collect_list(struct({0} AS v)), z -> z.v)", "array_agg_distinct": "array_sort(collect_set({0}))", "array_unique_agg": "array_distinct(flatten(collect_list({0})))",
@@ -267,6 +269,17 @@ def _percentile(x: str, p: str) -> str:
     return f"transform(array(array_sort(collect_list(cast({x} as double)))), v -> get(v, int(floor({at}))) + ({at} - floor({at})) * (get(v, int(ceil({at}))) - get(v, int(floor({at})))))[0]"
 
 
+def _weighted(x: str, w: str, p: str) -> str:
+    """Values are centroids of their whole weights; linear between centres at p of the total, one pass over the sorted group."""
+    rows = f"array_sort(filter(collect_list(struct(cast({x} as double) AS v, cast({w} as bigint) AS w)), z -> z.v IS NOT NULL AND NOT isnan(z.v) AND z.w >= 1))"
+    none = "cast(NULL as double)"
+    at = "q.s + z.w / 2D"
+    found = f"coalesce(q.a, CASE WHEN {at} >= t THEN CASE WHEN q.c IS NULL THEN z.v ELSE q.v + (t - q.c) / ({at} - q.c) * (z.v - q.v) END END)"
+    step = f"named_struct('s', q.s + z.w, 'c', {at}, 'v', z.v, 'a', {found})"
+    scan = f"aggregate(l, named_struct('s', 0D, 'c', {none}, 'v', {none}, 'a', {none}), (q, z) -> {step}, q -> coalesce(q.a, q.v))"
+    return f"transform(array({rows}), l -> transform(array(({p}) * aggregate(l, 0D, (b, y) -> b + y.w)), t -> {scan})[0])[0]"
+
+
 #: Specifiers of date_format and str_to_date as pattern letters of Spark.
 DATE_SPECIFIERS = {"%Y": "yyyy", "%y": "yy", "%m": "MM", "%c": "M", "%d": "dd", "%e": "d", "%H": "HH", "%k": "H", "%h": "hh", "%I": "hh", "%l": "h", "%i": "mm", "%s": "ss", "%S": "ss", "%f": "SSSSSS", "%p": "a", "%M": "MMMM", "%b": "MMM", "%W": "EEEE", "%a": "EEE", "%j": "DDD", "%T": "HH:mm:ss", "%r": "hh:mm:ss a", "%%": "%"}
 TERA = {"yyyy": "yyyy", "mm": "MM", "dd": "dd", "hh24": "HH", "hh": "hh", "mi": "mm", "ss": "ss", "am": "a", "pm": "a"}

@@ -279,13 +279,8 @@ def register(spark: SparkSession) -> None:
     for name, (f, kind) in UDFS.items():
         spark.udf.register(f"sf_{name}", vectorised(f, kind))
 
-    @F.pandas_udf("double")
-    def percentile_approx_weighted(x: pd.Series, w: pd.Series, p: pd.Series) -> float:
-        return weighted_percentile(x, w, float(p.iloc[0]) if len(p) else 0.5)
-
     @F.pandas_udf("string")
     def mann_whitney_u_test(x: pd.Series, i: pd.Series) -> str:
         return mann_whitney(x, i)
 
-    spark.udf.register("percentile_approx_weighted", percentile_approx_weighted)
     spark.udf.register("mann_whitney_u_test", mann_whitney_u_test)

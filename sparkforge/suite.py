@@ -188,6 +188,11 @@ def win_distinct(e):
     return t.select("n_nationkey", windows.count_distinct_over("l", w).alias("n"), windows.sum_distinct_over("l", w).alias("s"))
 
 
+q("win_groups_session_sql", "SELECT o_orderkey, sum(o_custkey) OVER (PARTITION BY o_orderstatus ORDER BY o_orderpriority GROUPS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS s, session_number(o_custkey, 3) OVER (PARTITION BY o_orderstatus ORDER BY o_custkey, o_orderkey) AS n FROM orders WHERE o_orderkey < 20000",
+  "SELECT o_orderkey, CAST(sum(o_custkey) OVER (PARTITION BY o_orderstatus ORDER BY o_orderpriority GROUPS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS BIGINT) AS s, CAST(1 + sum(b) OVER (PARTITION BY o_orderstatus ORDER BY o_custkey, o_orderkey) AS BIGINT) AS n FROM (SELECT *, CASE WHEN o_custkey - lag(o_custkey) OVER (PARTITION BY o_orderstatus ORDER BY o_custkey, o_orderkey) > 3 THEN 1 ELSE 0 END AS b FROM orders WHERE o_orderkey < 20000)")
+q("agg_top_k_sql", "SELECT o_orderstatus, t.item AS item, t.`count` AS n FROM (SELECT o_orderstatus, explode(approx_top_k(o_orderpriority, 2)) AS t FROM orders GROUP BY o_orderstatus)".replace("`", ""),
+  "SELECT o_orderstatus, o_orderpriority AS item, n FROM (SELECT o_orderstatus, o_orderpriority, count(*) AS n, row_number() OVER (PARTITION BY o_orderstatus ORDER BY count(*) DESC, o_orderpriority) AS r FROM orders GROUP BY 1, 2) WHERE r <= 2")
+q("agg_weighted_percentile", "SELECT n_regionkey, percentile_approx_weighted(n_nationkey, 1, 0.5) AS p, percentile_approx(n_nationkey, 0.5) AS q FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, CAST(median(n_nationkey) AS DOUBLE) AS p, CAST(median(n_nationkey) AS DOUBLE) AS q FROM nation GROUP BY n_regionkey")
 q("win_distinct_sql", "SELECT n_nationkey, count(DISTINCT n_regionkey % 2) OVER (PARTITION BY length(n_name)) AS c, sum(DISTINCT n_regionkey) OVER (PARTITION BY length(n_name)) AS s FROM nation",
   "SELECT n_nationkey, CAST(count(DISTINCT n_regionkey % 2) OVER (PARTITION BY length(n_name)) AS BIGINT) AS c, CAST(sum(DISTINCT n_regionkey) OVER (PARTITION BY length(n_name)) AS DOUBLE) AS s FROM nation")
 
