@@ -121,15 +121,22 @@ def bloom(spark: SparkSession, ids: DataFrame) -> bytes:
     return bits.tobytes()
 
 
-def needed(docs: DataFrame, bits) -> DataFrame:
+def needed(docs: DataFrame, bits, make=None, schema: str = "id long, text binary") -> DataFrame:
+    """(id, text) of the documents in the bit table, or (id, make(text)): one Python process for each task does both."""
+
     def run(batches):
         table = np.frombuffer(bits.value, np.int64)
+        f = make() if make else None
         for x in batches:
             h = x.column(2).to_numpy(zero_copy_only=False)
             on = (table[h & (BLOOM_WORDS - 1)] >> ((h.view(np.uint64) >> np.uint64(32)).astype(np.int64) & 63)) & 1
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(on.astype(bool))) for c in x.columns[:2]], names=["id", "text"])
+            ids, texts = (c.filter(pa.array(on.astype(bool))) for c in x.columns[:2])
+            if f:
+                texts = pa.array([f(t.as_py()) for t in texts], pa.binary())
+            yield pa.RecordBatch.from_arrays([ids, texts], names=["id", "text"])
 
-    return docs.where("doc_id is not null").select(F.col("doc_id").alias("id"), as_bytes(), F.xxhash64("doc_id").alias("h")).mapInArrow(run, "id long, text binary")
+    out = docs.where("doc_id is not null").select(F.col("doc_id").alias("id"), as_bytes(), F.xxhash64("doc_id").alias("h"))
+    return out.mapInArrow(run, schema)
 
 
 def verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int, tables: Tables) -> DataFrame:
@@ -182,12 +189,11 @@ def block_links(side: DataFrame, near: DataFrame, docs: DataFrame, n: int, perce
     one = tables.write(one.withColumn("size", F.floor(F.log("n_shingles") / F.lit(float(np.log(100 / percent)) * 1.0001)).cast("int")), "inner")
     bits = spark.sparkContext.broadcast(bloom(spark, one.select(F.col("doc_id").alias("id"))))
 
-    def sets(batches):
+    def sets():
         hashes = WordHashes()
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(t.as_py(), n, hashes).tobytes() for t in b.column(1)], pa.binary())], names=["id", "shingles"])
+        return lambda t: shingle_set(t, n, hashes).tobytes()
 
-    full = needed(docs, bits).mapInArrow(sets, "id long, shingles binary").dropDuplicates(["id"]).withColumnRenamed("id", "doc_id")
+    full = needed(docs, bits, sets).dropDuplicates(["id"]).toDF("doc_id", "shingles")
     most = F.greatest(F.lit(1), F.least(F.lit(64), F.floor(F.lit(20_000) / F.pow(F.lit(100 / percent), "size"))))
     parts = one.groupBy("chain", "size").agg(F.ceil(F.count("*") / F.max(most)).alias("parts"))
     full = one.join(full, "doc_id").join(parts, ["chain", "size"]).withColumn("part", F.pmod(F.xxhash64("doc_id"), "parts"))
