@@ -24,6 +24,8 @@ from .common import WORD, Tables
 BLOCKS, LEVELS, MOST, SHARDS, SEED = 256, 3, 3, 64, 20_240_229
 #: Up to so many sources their rows are sent to every task.
 FEW_SOURCES = 10_000
+#: Permutations that a source may try, and the share of its target that is near enough.
+TRIES, NEAR = 8, 0.002
 
 
 def targets(sizes: list[int], weights: list[float] | None = None, total: float | None = None, most: int = MOST) -> list[float]:
@@ -72,73 +74,83 @@ def permuted(block, turn: int, seed: int):
     return (block * a + c) % BLOCKS
 
 
-def keyed(docs: DataFrame, seed: int) -> DataFrame:
-    """docs as one struct `row`, with the digits of the hash that places each document."""
-    h = F.xxhash64(F.col("doc_id").cast("long").cast("string"), F.lit(seed))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), h.alias("h"))
-    digits = [F.shiftrightunsigned("h", 56 - 8 * i).bitwiseAND(F.lit(255)).cast("int").alias(f"d{i}") for i in range(LEVELS)]
-    return rows.select("row", "doc_id", "source", *digits)
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs as one struct `row`, with what places a document."""
+    return docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"))
 
 
-def rank_of(seed: int):
-    """Place of a document's block in the partial pass, which comes after `base` whole ones."""
-    return F.coalesce(*(F.when(F.col("base") == i, permuted(F.col("d0"), i, seed)) for i in range(MOST + 1)))
+def placed(rows: DataFrame, stops: DataFrame) -> DataFrame:
+    """rows with their source's columns of stops, the digits of their hash under the source's seed, and the rank of their block in the partial pass."""
+    out = rows.join(stops, F.col("source").eqNullSafe(F.col("of")))
+    out = out.withColumn("h", F.xxhash64(F.col("doc_id").cast("string"), "seed"))
+    for i in range(LEVELS):
+        out = out.withColumn(f"d{i}", F.shiftrightunsigned("h", 56 - 8 * i).bitwiseAND(F.lit(255)).cast("int"))
+    return out.withColumn("rank", F.coalesce(*(F.when(F.col("base") == i, permuted(F.col("d0"), i, SEED)) for i in range(MOST + 1))))
 
 
-def same_source(other: str):
-    return F.col("source").eqNullSafe(F.col(other))
-
-
-def stops_of(rows: DataFrame, weights: list[float] | None, shards: int, seed: int, tables: Tables, keep: bool = False) -> DataFrame:
-    """A row for each source: of, source_size, target, base (whole passes), k0.. (stop of the partial pass), bounds (of shards)."""
-    spark = rows.sparkSession
-    found = rows.groupBy("source").agg(F.sum("size").alias("size")).collect()
-    found.sort(key=lambda r: (r["source"] is None, (r["source"] or "").encode()))
-    sizes = [r["size"] for r in found]
-    goal = targets(sizes, weights)
-    base = [min(MOST, int(t // s)) if s else 0 for t, s in zip(goal, sizes)]
-    need = [t - b * s for t, b, s in zip(goal, base, sizes)]
-    head = "of string, source_size long, target double, base int, need double"
-    stops = spark.createDataFrame([(r["source"], s, t, b, n) for r, s, t, b, n in zip(found, sizes, goal, base, need)], head)
-    rank = rank_of(seed)
+def search(rows: DataFrame, wanted: list[tuple], tables: Tables) -> list[dict]:
+    """The stop of the partial pass of each source: of wanted rows (of, base, need, seed), also k0.. and what is missing then."""
+    stops = rows.sparkSession.createDataFrame(wanted, "of string, base int, need double, seed long")
     # Digit by digit: the last one whose running sum is still within what is needed.
     for level in range(LEVELS):
-        part = rows.join(stops, same_source("of"))
+        part = placed(rows, stops)
         for i in range(level):
-            part = part.where((rank if i == 0 else F.col(f"d{i}")) == F.col(f"k{i}"))
-        sums = part.groupBy("source", (rank if level == 0 else F.col(f"d{level}")).alias("digit")).agg(F.sum("size").alias("n"))
+            part = part.where((F.col("rank") if i == 0 else F.col(f"d{i}")) == F.col(f"k{i}"))
+        sums = part.groupBy("source", F.col("rank" if level == 0 else f"d{level}").alias("digit")).agg(F.sum("size").alias("n"))
         run = F.sum("n").over(Window.partitionBy("source").orderBy("digit")) - F.col("n")
         sums = sums.select("digit", "n", run.alias("before"), F.col("source").alias("at"))
         stop = stops.join(sums, F.col("of").eqNullSafe(F.col("at")), "left").where("before is null or before <= need")
         stop = stop.groupBy(*stops.columns).agg(F.max(F.struct("digit", "before", "n")).alias("x"))
         # At the last digit the whole part goes in where that comes nearer to the target.
-        more = " + if(2 * (need - x.before) >= x.n and x.n > 0, 1, 0)" if level == LEVELS - 1 else ""
-        keep = [c for c in stops.columns if c != "need"]
-        left = (F.col("need") - F.coalesce("x.before", F.lit(0))).alias("need")
-        stops = tables.write(stop.select(*keep, left, F.expr(f"cast(coalesce(x.digit, -1){more} as int)").alias(f"k{level}")), f"stop{level}")
-    got = {r["of"]: r for r in stops.collect()}
-    drawn = [b * BLOCKS + (max(0, got[r["source"]]["k0"] + 1) if n > 0 else 0) for r, b, n in zip(found, base, need)]
-    quotas = splitting_tree(drawn, shards, seed)
-    bounds = spark.createDataFrame([(r["source"], [int(x) for x in np.cumsum(quotas[:, i])]) for i, r in enumerate(found)], "at string, bounds array<long>")
-    stops = tables.write(stops.join(bounds, F.col("of").eqNullSafe(F.col("at"))).drop("at", "need"), "stops")
-    tables.only(stops, *([rows] if keep else []))
+        last = F.expr("if(2 * (need - x.before) >= x.n and x.n > 0, 1, 0)") if level == LEVELS - 1 else F.lit(0)
+        left = F.col("need") - F.coalesce("x.before", F.lit(0)) - last * F.coalesce("x.n", F.lit(0))
+        stops = stop.select(*(c for c in stops.columns if c != "need"), left.alias("need"), F.coalesce(F.col("x.digit") + last, F.lit(-1)).cast("int").alias(f"k{level}"))
+        stops = tables.write(stops, f"stop{level}", len(wanted))
+    return [r.asDict() for r in stops.collect()]
+
+
+def stops_of(rows: DataFrame, weights: list[float] | None, shards: int, seed: int, tables: Tables, keep: bool = False) -> DataFrame:
+    """A row for each source: of, source_size, target, base (whole passes), seed, k0.. (stop of the partial pass), bounds (of shards).
+
+    A source of few documents may stop a large document away from its target; other permutations are tried for it.
+    """
+    spark = rows.sparkSession
+    found = rows.groupBy("source").agg(F.sum("size").alias("size")).collect()
+    found.sort(key=lambda r: (r["source"] is None, (r["source"] or "").encode()))
+    names, sizes = [r["source"] for r in found], [r["size"] for r in found]
+    goal = dict(zip(names, targets(sizes, weights)))
+    base = {n: min(MOST, int(goal[n] // s)) if s else 0 for n, s in zip(names, sizes)}
+    need = {n: goal[n] - base[n] * s for n, s in zip(names, sizes)}
+    best: dict = {}
+    for turn in range(TRIES):
+        wanted = [n for n in names if n not in best or abs(best[n]["need"]) > goal[n] * NEAR]
+        if not wanted:
+            break
+        for r in search(rows, [(n, base[n], need[n], seed + turn) for n in wanted], tables):
+            if r["of"] not in best or abs(r["need"]) < abs(best[r["of"]]["need"]):
+                best[r["of"]] = r
+    drawn = [base[n] * BLOCKS + (max(0, best[n]["k0"] + 1) if need[n] > 0 else 0) for n in names]
+    quotas = np.cumsum(splitting_tree(drawn, shards, seed), 0)
+    out = [(n, s, goal[n], base[n], best[n]["seed"], *(best[n][f"k{i}"] for i in range(LEVELS)), [int(x) for x in quotas[:, i]]) for i, (n, s) in enumerate(zip(names, sizes))]
+    head = "of string, source_size long, target double, base int, seed long, " + ", ".join(f"k{i} int" for i in range(LEVELS)) + ", bounds array<long>"
+    tables.only(*([rows] if keep else []))
+    stops = tables.write(spark.createDataFrame(out, head), "stops")
     return F.broadcast(stops) if len(found) <= FEW_SOURCES else stops
 
 
-def drawn(rows: DataFrame, stops: DataFrame, seed: int) -> DataFrame:
+def drawn(rows: DataFrame, stops: DataFrame) -> DataFrame:
     """rows with their source's columns of stops, copies, and the shard of each copy."""
-    out, rank = rows.join(stops, same_source("of")), rank_of(seed)
-    place = F.struct(rank.alias("a"), *(F.col(f"d{i}").alias(f"b{i}") for i in range(1, LEVELS)))
+    out = placed(rows, stops)
+    place = F.struct(F.col("rank").alias("a"), *(F.col(f"d{i}").alias(f"b{i}") for i in range(1, LEVELS)))
     extra = (place < F.struct(*(F.col(f"k{i}").alias(f"c{i}") for i in range(LEVELS)))) & (F.col("target") > 0)
-    turns = F.array(*(F.when(F.col("base") > i, i * BLOCKS + permuted(F.col("d0"), i, seed)) for i in range(MOST)), F.when(extra, F.col("base") * BLOCKS + rank))
+    turns = F.array(*(F.when(F.col("base") > i, i * BLOCKS + permuted(F.col("d0"), i, SEED)) for i in range(MOST)), F.when(extra, F.col("base") * BLOCKS + F.col("rank")))
     out = out.withColumn("turns", F.filter(turns, lambda x: x.isNotNull()))
     return out.withColumn("copies", F.size("turns")).withColumn("shards", F.expr("transform(turns, t -> size(filter(bounds, b -> b <= t)))"))
 
 
-def sized(docs: DataFrame, seed: int, tables: Tables) -> DataFrame:
+def sized(docs: DataFrame, tables: Tables) -> DataFrame:
     size = F.coalesce(F.regexp_count(F.col("row.text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
-    rows = keyed(docs.select("doc_id", "source", "text"), seed).withColumn("size", size).drop("row")
-    return tables.write(rows, "sizes")
+    return tables.write(keyed(docs.select("doc_id", "source", "text")).withColumn("size", size).drop("row"), "sizes")
 
 
 def plan(docs: DataFrame, weights: list[float] | None = None, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
@@ -148,8 +160,8 @@ def plan(docs: DataFrame, weights: list[float] | None = None, shards: int = SHAR
     repeat are separate documents that are drawn alike. An empty table gives no rows; other columns are not looked at.
     """
     tables = Tables(docs.sparkSession, "mixing")
-    rows = sized(docs, seed, tables)
-    out = drawn(rows, stops_of(rows, weights, shards, seed, tables, keep=True), seed)
+    rows = sized(docs, tables)
+    out = drawn(rows, stops_of(rows, weights, shards, seed, tables, keep=True))
     return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"), "shards")
 
 
@@ -160,8 +172,8 @@ def mix(docs: DataFrame, weights: list[float] | None = None, shards: int = SHARD
     of documents and move once, to their shards.
     """
     tables = Tables(docs.sparkSession, "mixing")
-    stops = stops_of(sized(docs, seed, tables), weights, shards, seed, tables)
-    out = drawn(keyed(docs, seed), stops, seed).select("row", "doc_id", F.posexplode("shards").alias("turn", "shard"))
+    stops = stops_of(sized(docs, tables), weights, shards, seed, tables)
+    out = drawn(keyed(docs), stops).select("row", "doc_id", F.posexplode("shards").alias("turn", "shard"))
     order = F.xxhash64(F.col("doc_id").cast("string"), "turn", F.lit(seed + 1)).alias("order")
     out = out.select("row", "shard", order).repartition("shard", F.pmod("order", F.lit(16))).sortWithinPartitions("shard", "order")
     return out.select("row.*", "shard")

@@ -223,6 +223,8 @@ def align(a: list[dict], b: list[dict]) -> list[dict]:
     while head < min(len(x), len(y)) and x[head] == y[head]:
         head += 1
     n, m = len(x) - head, len(y) - head
+    if n * m > 250_000:
+        return [both(p, q) for p, q in zip(a[:head], b[:head])] + align_long(a[head:], b[head:])
     best = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(n - 1, -1, -1):
         for j in range(m - 1, -1, -1):
@@ -242,6 +244,26 @@ def align(a: list[dict], b: list[dict]) -> list[dict]:
     return out
 
 
+def align_long(a: list[dict], b: list[dict]) -> list[dict]:
+    """The same in one pass for very long sequences: a group meets the next equal one that is not behind the last match."""
+    places: dict[tuple, list[int]] = {}
+    for j in range(len(b) - 1, -1, -1):
+        places.setdefault(key(b[j]), []).append(j)
+    out, at = [], 0
+    for g in a:
+        next_places = places.get(key(g), [])
+        while next_places and next_places[-1] < at:
+            next_places.pop()
+        if next_places:
+            j = next_places.pop()
+            out += [x | {"o": True} for x in b[at:j]]
+            out.append(both(g, b[j]))
+            at = j + 1
+        else:
+            out.append(g | {"o": True})
+    return out + [x | {"o": True} for x in b[at:]]
+
+
 def both(a: dict, b: dict) -> dict:
     return {"r": a["r"] or b["r"], "o": a["o"] or b["o"], "q": [merge(p, q, True) for p, q in zip(a["q"], b["q"])]}
 

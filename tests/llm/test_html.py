@@ -47,3 +47,10 @@ def test_edges(spark):
     out = sorted(((r.page_id or 0), r.url or "", r.text, r.n_chars) for r in main_text(spark.createDataFrame(rows, SCHEMA)).collect())
     assert out == [(0, "http://a/", "x", 1), (1, "", "", 0), (2, "http://a/", "", 0), (3, "::bad", "y", 1), (3, "::bad", "y", 1)]
     assert main_text(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_very_long_sequences_are_aligned_too():
+    node = lambda label: {"l": label, "t": label, "x": False, "n": 1, "c": 1, "k": 0, "s": "", "g": []}
+    a, b = fold([node(f"x{i}") for i in range(700)]), fold([node(f"x{i}") for i in range(0, 1400, 2)])
+    both = align(a, b)
+    assert len(both) == 1050 and sum(not g["o"] for g in both) == 350

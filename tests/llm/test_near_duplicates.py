@@ -69,7 +69,8 @@ def test_one_large_group_of_copies_with_edits(spark):
 
 
 def test_edges(spark):
-    long = " ".join(random.Random(1).choice(WORDS) for _ in range(30_000))
+    rng = random.Random(1)
+    long = " ".join(rng.choice(WORDS) for _ in range(30_000))
     rows = [(1, None), (2, ""), (3, " \n\t"), (4, "Word"), (5, "word"), (6, "a b"), (7, "A  B"), (8, long), (9, long + " x"), (10, long), (10, long)]
     out = near_duplicates(frame(spark, rows), 2, 80).collect()
     assert len(out) == len(rows)

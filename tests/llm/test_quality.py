@@ -30,7 +30,7 @@ def test_repeated_words():
 
 
 def test_counts():
-    assert counts("Ab é#*\n\nAb é#*\nx y\x0bz !!") == (7, 15, 4, 1, 0, 3, 1, 0)
+    assert counts("Ab é#*\n\nAb é#*\nx y\x0bz !!") == (7, 16, 4, 1, 0, 3, 1, 0)
     assert counts(None) == counts("") == (0,) * 8 and counts(" \t\n")[:2] == (0, 0)
 
 
