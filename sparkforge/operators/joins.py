@@ -69,7 +69,7 @@ def salted(left: DataFrame, right: DataFrame, key: str, salts: int = 16, how: st
 def small(df: DataFrame, most: int = 10_000_000) -> DataFrame:
     """df with a broadcast hint if Catalyst's estimate of its size is at most `most` bytes; else df for a shuffled join."""
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return F.broadcast(df) if int(size.toString()) <= most else df
+    return F.broadcast(df) if int(str(size)) <= most else df
 
 
 def opaque(left: DataFrame, right: DataFrame, on: Column, predicate) -> DataFrame:

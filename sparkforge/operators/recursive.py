@@ -77,17 +77,17 @@ def run_with(engine, nodes: list, dialect: str) -> DataFrame | None:
         r = Rewriter(dialect, engine.variables, engine.store)
         u = distinct_union(body)
         if u >= 0 and mentions(body[u:], name):
-            anchor = engine.spark.sql(text_of(r.query(body[:u])))
+            anchor = engine.run(text_of(r.query(body[:u])))
             if columns:
                 anchor = anchor.toDF(*columns)
             step = text_of(r.query(body[u + 1 :]))
 
             def rounds(df: DataFrame, name=name, step=step) -> DataFrame:
                 engine.view(name, df)
-                return engine.spark.sql(step)
+                return engine.run(step)
 
             engine.view(name, fixpoint(anchor, rounds))
         else:
-            df = engine.spark.sql(text_of(r.query(body)))
+            df = engine.run(text_of(r.query(body)))
             engine.view(name, df.toDF(*columns) if columns else df)
-    return engine.spark.sql(text_of(Rewriter(dialect, engine.variables, engine.store).query(nodes[at:])))
+    return engine.run(text_of(Rewriter(dialect, engine.variables, engine.store).query(nodes[at:])))

@@ -13,7 +13,7 @@ class Query:
     def _expr(self, x) -> Column:
         from .dialect import Rewriter
 
-        return x if isinstance(x, Column) else F.expr(Rewriter(self.engine.dialect, self.engine.variables).rewrite(x))
+        return x if isinstance(x, Column) else F.expr(self.engine.ready(Rewriter(self.engine.dialect, self.engine.variables).rewrite(x)))
 
     def _next(self, df: DataFrame) -> Query:
         return Query(self.engine, df)

@@ -28,8 +28,7 @@ class Engine:
         self.spark = spark.newSession()
         for k, v in RULES.items():
             self.spark.conf.set(k, v)
-        self.dialect, self.variables, self.functions = dialect, {}, {}
-        udfs.register(self.spark)
+        self.dialect, self.variables, self.functions, self.udfs = dialect, {}, {}, False
         from .sources.tables import Store
 
         self.store = Store(self, root)
@@ -52,6 +51,16 @@ class Engine:
 
         return execute(self, bound(text, args) if args else text, dialect or self.dialect)
 
+    def ready(self, text: str) -> str:
+        """Registers the functions that need Python when a text first names one."""
+        if not self.udfs and (" sf_" in f" {text}".replace("(", " ") or "mann_whitney" in text):
+            udfs.register(self.spark)
+            self.udfs = True
+        return text
+
+    def run(self, text: str) -> DataFrame:
+        return self.spark.sql(self.ready(text))
+
     def scan(self, name: str):
         from .plans.builder import Query
 

@@ -159,7 +159,7 @@ class Store:
         stamp = {c: e["on_update"] for c, e in self.extra.get(n, {}).items() if e.get("on_update")}
         values = stamp | {c: v for c, v in changes.items()}
         picks = ", ".join(f"{v} AS `__v_{c}`" for c, v in values.items())
-        hit = self.engine.spark.sql(f"SELECT {t}.__row AS __hit, {picks} FROM {source} WHERE {where}").dropDuplicates(["__hit"])
+        hit = self.engine.run(f"SELECT {t}.__row AS __hit, {picks} FROM {source} WHERE {where}").dropDuplicates(["__hit"])
         both = base.join(hit, F.col("__row") == F.col("__hit"), "left")
         names = {c.lower(): c for c in values}
         cols = [F.when(F.col("__hit").isNotNull(), F.col(f"__v_{names[c.lower()]}").cast(now.schema[c].dataType)).otherwise(F.col(c)).alias(c) if c.lower() in names else F.col(c) for c in now.columns]
@@ -174,7 +174,7 @@ class Store:
         base.write.parquet(path)
         base = self.engine.spark.read.schema(base.schema).parquet(path)
         self.engine.view(n, base)
-        hit = self.engine.spark.sql(f"SELECT DISTINCT {alias or n}.__row AS __hit FROM {source} WHERE {where}")
+        hit = self.engine.run(f"SELECT DISTINCT {alias or n}.__row AS __hit FROM {source} WHERE {where}")
         before = base.count()
         self.replace(name, base.join(hit, F.col("__row") == F.col("__hit"), "left_anti").select(*now.columns))
         return before - self.read(name).count()
