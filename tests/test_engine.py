@@ -148,3 +148,20 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_weighted_percentile_in_sql(e):
+    assert e.sql("SELECT percentile_approx_weighted(x, x, 0.5) AS v, percentile_approx_weighted(x, 0, 0.5) AS n FROM VALUES (1), (2), (4) AS t(x)").first() == (3.0, None)
+
+
+def test_windows_with_helper_columns(e):
+    rows = e.sql("SELECT t.id, session_number(t.x, 5) OVER (ORDER BY t.id) AS s FROM VALUES (1, 1), (2, NULL), (3, 9), (4, 10) AS t(id, x)").collect()
+    assert [r.s for r in sorted(rows)] == [1, 1, 2, 2]
+    with pytest.raises(SqlError):
+        e.sql("SELECT sum(count(*)) OVER (ORDER BY x GROUPS 1 PRECEDING) FROM VALUES (1) AS t(x) GROUP BY x")
+
+
+def test_copy_and_parameters(e, tmp_path):
+    e.sql(f"COPY (SELECT 1 AS a, 'x;y' AS b) TO '{tmp_path}/out' WITH (HEADER true, DELIMITER ';'); CREATE TABLE copied (a INT, b STRING); COPY copied FROM '{tmp_path}/out' WITH (HEADER true, DELIMITER ';')")
+    assert e.sql("SELECT b FROM copied WHERE a = ? AND b <> '?'", args=[1]).first().b == "x;y"
+    assert e.sql("SELECT $2 AS v", args=[1, "o'k"]).first().v == "o'k"
