@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 from .functions import udfs
@@ -58,8 +60,21 @@ class Engine:
             self.udfs = True
         return text
 
+    def named(self, text: str) -> str:
+        """Names of two parts, of catalog tables and of stored ones, are one name here: information_schema.tables, db.t."""
+        if re.search(r"\b(information_schema|pg_catalog)\s*\.", text, re.I):
+            from .sources import catalog
+
+            catalog.register(self)
+            text = re.sub(r"\b(information_schema|pg_catalog)\s*\.\s*(\w+)", lambda m: f"{m[1]}__{m[2]}".lower(), text, flags=re.I)
+        for name in self.store.versions:
+            if "__" in name:
+                a, b = name.split("__", 1)
+                text = re.sub(rf"\b{re.escape(a)}\s*\.\s*{re.escape(b)}\b", name, text, flags=re.I)
+        return text
+
     def run(self, text: str) -> DataFrame:
-        return self.spark.sql(self.ready(text))
+        return self.spark.sql(self.ready(self.named(text)))
 
     def scan(self, name: str):
         from .plans.builder import Query

@@ -165,3 +165,10 @@ def test_copy_and_parameters(e, tmp_path):
     e.sql(f"COPY (SELECT 1 AS a, 'x;y' AS b) TO '{tmp_path}/out' WITH (HEADER true, DELIMITER ';'); CREATE TABLE copied (a INT, b STRING); COPY copied FROM '{tmp_path}/out' WITH (HEADER true, DELIMITER ';')")
     assert e.sql("SELECT b FROM copied WHERE a = ? AND b <> '?'", args=[1]).first().b == "x;y"
     assert e.sql("SELECT $2 AS v", args=[1, "o'k"]).first().v == "o'k"
+
+
+def test_names_of_two_parts(e):
+    e.sql("CREATE TABLE shop.items (id INT PRIMARY KEY, n INT); INSERT INTO shop.items VALUES (1, 2), (3, 4)")
+    assert e.sql("SELECT sum(n) AS v FROM shop.items").first().v == 6
+    assert e.sql("SELECT count(*) AS v FROM information_schema.columns WHERE table_name = 'shop__items'").first().v == 2
+    e.sql("UPDATE shop.items SET n = 0 WHERE id = 1; DROP TABLE shop.items")
