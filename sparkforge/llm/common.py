@@ -45,9 +45,14 @@ class Tables:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.name, self.paths = spark, name, set()
+        # Batches for Python hold blocks of texts or sets here; a few megabytes at a time keep executors small.
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
+    def write(self, df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+        """rows: as many as df has at most, if that is known; few rows then make few tasks and files."""
         path = new_path(self.spark, f"{self.name}-{name}")
+        if rows is not None:
+            df = df.coalesce(max(12, rows // 50_000))
         df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths.add(path)
@@ -115,25 +120,23 @@ def components(edges: DataFrame, tables: Tables) -> DataFrame:
     written and joined back, so that Spark can split the rows of a node with very many neighbours.
     """
     now = tables.write(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    n = now.count()
 
-    def sign(df: DataFrame):
-        return df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    def stars(df: DataFrame) -> bool:
+        """Whether every node has one parent at most and no parent has one."""
+        ends = df.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(df.select("v", F.lit(0), F.lit(1)))
+        return ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or up = 1 and down = 1").isEmpty()
 
-    before = sign(now)
-    while before[0]:
+    while n and not stars(now):
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        mins = tables.write(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "min")
+        mins = tables.write(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "min", 2 * n)
         large = both.where("v > u").join(mins, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = tables.write(large, "large")
-        low = tables.write(large.groupBy("u").agg(F.min("v").alias("m")), "low")
+        large = tables.write(large, "large", n)
+        low = tables.write(large.groupBy("u").agg(F.min("v").alias("m")), "low", n)
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        small = tables.write(small.where("u <> v").distinct(), "small")
-        after = sign(small)
+        small = tables.write(small.where("u <> v").distinct(), "small", 2 * n)
         tables.drop(mins, low, large, now)
-        now = small
-        if after == before:
-            break
-        before = after
+        now, n = small, small.count()
     return now.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node").union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 

@@ -139,10 +139,10 @@ def needed(docs: DataFrame, bits, make=None, schema: str = "id long, text binary
     return out.mapInArrow(run, schema)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int, tables: Tables) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int, tables: Tables, rows: int | None = None) -> DataFrame:
     """Those of pairs (a, b) whose full shingle sets have 100 * intersection >= percent * union."""
     spark = docs.sparkSession
-    pairs = tables.write(pairs.select("a", "b").distinct(), "pairs")
+    pairs = tables.write(pairs.select("a", "b").distinct(), "pairs", rows)
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id")))
     bits = spark.sparkContext.broadcast(bloom(spark, ids))
     text = needed(docs, bits)
@@ -172,7 +172,7 @@ def verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int, tables: Ta
     return out
 
 
-def block_links(side: DataFrame, near: DataFrame, docs: DataFrame, n: int, percent: int, tables: Tables) -> tuple[DataFrame, DataFrame]:
+def block_links(side: DataFrame, near: DataFrame, docs: DataFrame, n: int, percent: int, tables: Tables, rows: int) -> tuple[DataFrame, DataFrame]:
     """Links across components inside a chain, and the chains: (a, b), (doc_id, chain).
 
     A chain is a component of the pairs that agreed in the star rounds, verified or not. A large group of copies with
@@ -181,12 +181,12 @@ def block_links(side: DataFrame, near: DataFrame, docs: DataFrame, n: int, perce
     matrices, and only one link of a member with any component leaves it.
     """
     spark = docs.sparkSession
-    chains = tables.write(components(near.toDF("u", "v"), tables).toDF("doc_id", "chain"), "chains")
+    chains = tables.write(components(near.toDF("u", "v"), tables).toDF("doc_id", "chain"), "chains", rows)
     one = side.select("doc_id", "n_shingles", "root").distinct().join(chains, "doc_id")
     sizes = one.groupBy("chain", "root").count().groupBy("chain").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.count("*").alias("roots"))
     one = one.join(sizes.where("roots > 1"), "chain")
     # Similar sets have sizes whose classes differ by one at most.
-    one = tables.write(one.withColumn("size", F.floor(F.log("n_shingles") / F.lit(float(np.log(100 / percent)) * 1.0001)).cast("int")), "inner")
+    one = tables.write(one.withColumn("size", F.floor(F.log("n_shingles") / F.lit(float(np.log(100 / percent)) * 1.0001)).cast("int")), "inner", rows)
     bits = spark.sparkContext.broadcast(bloom(spark, one.select(F.col("doc_id").alias("id"))))
 
     def sets():
@@ -277,6 +277,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     shared = bands.groupBy("bucket").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("bucket")
     shared = tables.write(shared, "buckets")
     members = tables.write(bands.join(shared, "bucket"), "members")
+    n_classes, n_members = reps.count(), members.count()
     links = done = None
     roots = members.withColumn("root", F.col("doc_id"))
     tried = every = None
@@ -284,27 +285,27 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
 
     def joined(new: DataFrame):
         nonlocal links, done, roots
-        links = tables.write(new if links is None else links.union(new), "all-links")
-        done = tables.write(components(links.toDF("u", "v"), tables), "components")
-        roots = tables.write(members.join(done.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("bucket", "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("root")), "roots")
+        links = tables.write(new if links is None else links.union(new), "all-links", 4 * n_classes)
+        done = tables.write(components(links.toDF("u", "v"), tables), "components", n_classes)
+        roots = tables.write(members.join(done.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("bucket", "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("root")), "roots", n_members)
 
     cost = None
     for turn in range(12):
         # First the smallest member; then another for every bucket, so that a class is held against many and keeps the best.
         order = F.xxhash64("doc_id", "bucket", F.lit(turn)) if turn else F.col("doc_id")
         pivot = F.min(F.struct(order.alias("o"), F.col("doc_id").alias("p"), F.col("n_shingles").alias("p_n"), F.col("root").alias("p_root"))).alias("x")
-        pivots = tables.write(roots.groupBy("bucket").agg(pivot, F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("bucket", "x.*").drop("o"), "pivots")
+        pivots = tables.write(roots.groupBy("bucket").agg(pivot, F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("bucket", "x.*").drop("o"), "pivots", n_members)
         pairs = roots.join(pivots, "bucket").where((F.col("root") != F.col("p_root")) & ratio)
         pairs = pairs.select(F.col("doc_id").alias("a"), F.col("p").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        near = tables.write(agreeing(pairs, reps, least), "near")
+        near = tables.write(agreeing(pairs, reps, least), "near", n_members)
         best = near.groupBy("a").agg(F.max_by("b", F.struct("est", "b")).alias("b"))
-        best = tables.write(best, "best")
+        best = tables.write(best, "best", n_classes)
         every = near.select("a", "b") if every is None else every.union(near.select("a", "b"))
         tables.drop(pivots)
-        tried = best if tried is None else tables.write(tried.union(best), "tried")
-        new = verified(best, docs, n, percent, tables)
+        tried = best if tried is None else tables.write(tried.union(best), "tried", 4 * n_classes)
+        new = verified(best, docs, n, percent, tables, n_classes)
         if new.isEmpty():
             break
         joined(new)
@@ -317,19 +318,19 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     def mixed():
         """Members of buckets that lie in several components, and the largest component of each bucket."""
         per = roots.groupBy("bucket", "root").count().groupBy("bucket").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.count("*").alias("roots"))
-        per = tables.write(per.where("roots > 1").select("bucket", "main"), "mixed")
-        return tables.write(roots.join(per, "bucket"), "side")
+        per = tables.write(per.where("roots > 1").select("bucket", "main"), "mixed", n_members)
+        return tables.write(roots.join(per, "bucket"), "side", n_members)
 
-    new, chains = block_links(mixed(), every, docs, n, percent, tables)
+    new, chains = block_links(mixed(), every, docs, n, percent, tables, n_classes)
     if not new.isEmpty():
         joined(new)
     # Pairs of one bucket that no chain holds.
     side = mixed().join(chains, "doc_id", "left").withColumn("chain", F.coalesce("chain", "doc_id"))
-    side = tables.write(side, "outer")
+    side = tables.write(side, "outer", n_members)
     rest = block_agreeing(side, reps, least, percent).groupBy("a", "b").agg(F.max("est").alias("est"))
     if tried is not None:
         rest = rest.join(tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti")
-    rest = tables.write(rest, "rest")
+    rest = tables.write(rest, "rest", n_members)
     for most in (1, 16, None):
         if rest.isEmpty():
             break
@@ -340,8 +341,8 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
         else:
             rest = rest.select("a", "b", "est", F.col("a").alias("ra"), F.col("b").alias("rb"))
         pick = rest.withColumn("i", F.row_number().over(Window.partitionBy(F.least("ra", "rb"), F.greatest("ra", "rb")).orderBy(F.desc("est"), "a", "b")))
-        pick = tables.write((pick.where(f"i <= {most}") if most else pick).select("a", "b"), "pick")
-        rest = tables.write(rest.select("a", "b", "est").join(pick, ["a", "b"], "left_anti"), "rest")
+        pick = tables.write((pick.where(f"i <= {most}") if most else pick).select("a", "b"), "pick", n_members)
+        rest = tables.write(rest.select("a", "b", "est").join(pick, ["a", "b"], "left_anti"), "rest", n_members)
         new = verified(pick, docs, n, percent, tables)
         if not new.isEmpty():
             joined(new)
