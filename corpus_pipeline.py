@@ -18,7 +18,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 def without(docs: DataFrame, ids: DataFrame, tables: Tables) -> DataFrame:
     """Rows of docs whose doc_id is none of ids. The ids are written first, so Spark knows their size when it plans the join."""
     gone = tables.write(ids.toDF("gone").where("gone is not null").distinct(), "gone")
-    return docs.join(gone, F.col("doc_id") == F.col("gone"), "left_anti").select(*COLUMNS)
+    return docs.select(*COLUMNS).join(gone, F.col("doc_id") == F.col("gone"), "left_anti")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +51,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files of the mix, read back: doc_id, start, n_tokens, ids_crc32 of each document in them."""
-    return token_planes(docs)
+    return token_planes(docs.select(*COLUMNS))
 
 
 STAGES = [

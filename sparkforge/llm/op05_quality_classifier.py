@@ -95,7 +95,7 @@ def shallow_tree(g: np.ndarray, h: np.ndarray, leaves: int, smooth: float = 1.0)
 class Model:
     """Edges of bins, lookup tables of features and of pairs, intercept."""
 
-    def __init__(self, bins: int = 32, pair_bins: int = 8, rounds: int = 60, pairs: int = 5, pair_rounds: int = 20, rate: float = 0.2, leaves: int = 3):
+    def __init__(self, bins: int = 32, pair_bins: int = 8, rounds: int = 60, pairs: int = 5, pair_rounds: int = 30, rate: float = 0.2, leaves: int = 3):
         self.bins, self.pair_bins, self.rounds, self.n_pairs, self.pair_rounds, self.rate, self.leaves = bins, pair_bins, rounds, pairs, pair_rounds, rate, leaves
 
     @staticmethod
@@ -103,7 +103,8 @@ class Model:
         return np.stack([np.searchsorted(e, x[:, j], "right") for j, e in enumerate(edges)], 1) if len(edges) else np.zeros((len(x), 0), np.int64)
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> Model:
-        x, y = np.asarray(x, float).reshape(len(y), -1), np.asarray(y, float)
+        y = np.asarray(y, float)
+        x = np.asarray(x, float).reshape(len(y), -1) if len(y) else np.zeros((0, 0))
         quantiles = lambda n: [np.unique(np.quantile(c, np.arange(1, n) / n)) for c in x.T] if len(y) else []
         self.edges, self.pair_edges, self.pairs, self.pair_tables = quantiles(self.bins), quantiles(self.pair_bins), [], []
         base = (y.sum() + 1) / (len(y) + 2)
@@ -141,7 +142,7 @@ class Model:
                 for value in np.unique(first):
                     on = first == value
                     step[on] = shallow_tree(g[on].sum(0), h[on].sum(0), 2)
-                step *= self.rate / 2
+                step *= self.rate
                 table += step
                 f += step[q[:, i], q[:, j]]
         return self
@@ -173,7 +174,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, thr
     rows = Tables(spark, "classifier").write(feature_table(docs), "features")
     known = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(F.col("quality").cast("int")).alias("y"))
     train = rows.join(known, "doc_id").where(~held_out()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select("x", "y").collect()
-    model = Model().fit(np.array([r.x for r in train]).reshape(len(train), -1), np.array([r.y for r in train]))
+    model = Model().fit(np.array([r.x for r in train]), np.array([r.y for r in train]))
     shipped = spark.sparkContext.broadcast(vars(model))
 
     def run(batches):
