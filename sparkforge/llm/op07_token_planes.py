@@ -30,6 +30,8 @@ from .common import Tables, new_path
 BLOCK = 1 << 16
 #: Bytes of text for each file.
 FILE_BYTES = 16 << 20
+#: Files that an estimate may lead to without a look at the texts.
+MANY_FILES = 4096
 HEAD, ENTRY = "<4sQIBBI", "<QQI"
 END_ID = 2
 #: In place of a null doc_id.
@@ -85,30 +87,33 @@ class Encoder:
         return text.replace(" ", "\0 ").split("\0")
 
     def learn(self, new: set[str]) -> None:
-        known, pieces, rest = self.known, [], {}
+        """Stores the ids of new cuts. Most are a word, or a word with one mark after it; others are cut into pre-tokens."""
+        known, words, rest, marked = self.known, set(), {}, []
         for c in new:
-            if c[:1] == " " and c[1:].isalpha():
-                pieces.append(c)
+            if c[1:].isalpha() and c[0] == " ":
+                words.add(c)
+            elif c[1:-1].isalpha() and c[0] == " " and c[-1] in ",.;:?":
+                marked.append(c)
             else:
                 rest[c] = self.find(c)
+        words.update(w for c in marked if (w := c[:-1]) not in known)
         more = {p for ps in rest.values() for p in ps if p not in known}
-        more.difference_update(pieces)
-        words = [p for p in more if p[:1] == " " and p[1:].isalpha()]
-        pieces += words
+        words.update(p for p in more if p[0] == " " and p[1:].isalpha())
+        pieces = list(words)
         # Words that start with their only space can be told apart in the ids of a text of many.
         for i in range(0, len(pieces), 500):
             some = pieces[i : i + 500]
             ids = np.array(self.tokenizer.encode("".join(some), add_special_tokens=False).ids, "<u4")
             raw, at = ids.tobytes(), [*(4 * np.flatnonzero(self.space[ids])).tolist(), 4 * len(ids)]
             if len(at) == len(some) + 1:
-                for p, x, y in zip(some, at, at[1:]):
-                    known[p] = raw[x:y]
+                known.update(zip(some, [raw[x:y] for x, y in zip(at, at[1:])]))
             else:
-                for p in some:
-                    known[p] = self.library(p)
-        others = list(more.difference(words))
+                known.update((p, self.library(p)) for p in some)
+        others = list((more | {c[-1] for c in marked}).difference(known))
         for p, e in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False)):
             known[p] = np.array(e.ids, "<u4").tobytes()
+        for c in marked:
+            known[c] = known[c[:-1]] + known[c[-1]]
         for c, ps in rest.items():
             known[c] = b"".join(map(known.__getitem__, ps))
 
@@ -233,7 +238,11 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: tuple[str, str] | None =
     Rows with equal ids follow each other in the order of a hash of their texts. No rows make one file without chunks.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    total = rows.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
+    # The number of files follows Catalyst's estimate of the input, in which text is compressed; where that says there
+    # are many, as it does for joins whatever their size, the texts are measured.
+    total = 2 * int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if total > MANY_FILES * file_bytes:
+        total = rows.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     file, pattern = tokenizer or tokenizer_file()
     with open(file, encoding="utf-8") as f:
         spec = docs.sparkSession.sparkContext.broadcast(f.read())
