@@ -71,11 +71,23 @@ class Tables:
             remove(self.spark, path)
 
 
+def release() -> None:
+    """Gives back what tasks of the tokenizer kept in this worker process; other tasks may have it next."""
+    import sys
+
+    if library := sys.modules.get("tokenizers"):
+        vars(library).pop("_sparkforge", None)
+
+
 class WordHashes(dict):
     """64-bit hash of a word, remembered up to a bound on entries."""
 
     LIMIT = 200_000
 
+    def __init__(self):
+        super().__init__()
+        release()
+
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:
             self.clear()
@@ -140,4 +152,4 @@ def components(edges: DataFrame, tables: Tables) -> DataFrame:
     return now.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node").union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-__all__ = ["SPACES", "WORD", "Tables", "WordHashes", "as_bytes", "components", "mix", "new_path", "remove", "shared_root", "shingles"]
+__all__ = ["SPACES", "WORD", "Tables", "WordHashes", "as_bytes", "components", "mix", "new_path", "release", "remove", "shared_root", "shingles"]

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MIX1, SPACES, Tables, mix
+from .common import MIX1, SPACES, Tables, mix, release
 
 COUNTS = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_marks long, n_upper long"
 SYMBOLS = "#*$%&|<>"
@@ -109,6 +109,7 @@ def quality_rules(docs: DataFrame, slope: int = 3, carry: tuple[str, ...] = ())
     schema = COUNTS + ", lang string, source string" + "".join(f", _{c} {docs.schema[c].dataType.simpleString()}" for c in carry)
 
     def run(batches):
+        release()
         for b in batches:
             got = [counts(t.as_py()) for t in b.column(1)]
             arrays = [b.column(0), *(pa.array(c, pa.int64()) for c in (zip(*got) if got else [[]] * 8)), *b.columns[2:]]

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Tables, as_bytes, shingles
+from .common import Tables, as_bytes, release, shingles
 
 N = 8
 SHARE = 0.5
@@ -109,6 +109,7 @@ def canonical_windows(rows: DataFrame, n: int, bits=None, total: bool = False) -
     """
 
     def run(batches):
+        release()
         canon = Canon()
         table = np.frombuffer(bits.value, np.uint64) if bits else None
         for b in batches:

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Tables, WordHashes, as_bytes, components, mix, shingles
+from .common import Tables, WordHashes, as_bytes, components, mix, release, shingles
 
 BANDS, ROWS = 40, 5
 K = BANDS * ROWS
@@ -125,6 +125,7 @@ def needed(docs: DataFrame, bits, make=None, schema: str = "id long, text binary
     """(id, text) of the documents in the bit table, or (id, make(text)): one Python process for each task does both."""
 
     def run(batches):
+        release()
         table = np.frombuffer(bits.value, np.int64)
         f = make() if make else None
         for x in batches:
