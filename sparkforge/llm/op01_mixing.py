@@ -89,17 +89,17 @@ def placed(rows: DataFrame, stops: DataFrame) -> DataFrame:
 
 
 def search(rows: DataFrame, wanted: list[tuple], tables: Tables) -> list[dict]:
-    """The stop of the partial pass of each source: of wanted rows (of, base, need, seed), also k0.. and what is missing then."""
+    """The stop of the partial pass of each source and seed: of wanted rows (of, base, need, seed), also k0.. and what is missing then."""
     stops = rows.sparkSession.createDataFrame(wanted, "of string, base int, need double, seed long")
     # Digit by digit: the last one whose running sum is still within what is needed.
     for level in range(LEVELS):
         part = placed(rows, stops)
         for i in range(level):
             part = part.where((F.col("rank") if i == 0 else F.col(f"d{i}")) == F.col(f"k{i}"))
-        sums = part.groupBy("source", F.col("rank" if level == 0 else f"d{level}").alias("digit")).agg(F.sum("size").alias("n"))
-        run = F.sum("n").over(Window.partitionBy("source").orderBy("digit")) - F.col("n")
-        sums = sums.select("digit", "n", run.alias("before"), F.col("source").alias("at"))
-        stop = stops.join(sums, F.col("of").eqNullSafe(F.col("at")), "left").where("before is null or before <= need")
+        sums = part.groupBy("source", "seed", F.col("rank" if level == 0 else f"d{level}").alias("digit")).agg(F.sum("size").alias("n"))
+        run = F.sum("n").over(Window.partitionBy("source", "seed").orderBy("digit")) - F.col("n")
+        sums = sums.select("digit", "n", run.alias("before"), F.col("source").alias("at"), F.col("seed").alias("at_seed"))
+        stop = stops.join(sums, F.col("of").eqNullSafe(F.col("at")) & (F.col("seed") == F.col("at_seed")), "left").where("before is null or before <= need")
         stop = stop.groupBy(*stops.columns).agg(F.max(F.struct("digit", "before", "n")).alias("x"))
         # At the last digit the whole part goes in where that comes nearer to the target.
         last = F.expr("if(2 * (need - x.before) >= x.n and x.n > 0, 1, 0)") if level == LEVELS - 1 else F.lit(0)
@@ -122,11 +122,12 @@ def stops_of(rows: DataFrame, weights: list[float] | None, shards: int, seed: in
     base = {n: min(MOST, int(goal[n] // s)) if s else 0 for n, s in zip(names, sizes)}
     need = {n: goal[n] - base[n] * s for n, s in zip(names, sizes)}
     best: dict = {}
-    for turn in range(TRIES):
+    for turns in ([0], range(1, TRIES)):
         wanted = [n for n in names if n not in best or abs(best[n]["need"]) > goal[n] * NEAR]
         if not wanted:
             break
-        for r in search(rows, [(n, base[n], need[n], seed + turn) for n in wanted], tables):
+        found_stops = search(rows, [(n, base[n], need[n], seed + t) for n in wanted for t in turns], tables)
+        for r in sorted(found_stops, key=lambda r: r["seed"]):
             if r["of"] not in best or abs(r["need"]) < abs(best[r["of"]]["need"]):
                 best[r["of"]] = r
     drawn = [base[n] * BLOCKS + (max(0, best[n]["k0"] + 1) if need[n] > 0 else 0) for n in names]
