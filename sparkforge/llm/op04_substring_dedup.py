@@ -1,9 +1,10 @@
 """Passages of 50 words or more that repeat across documents.
 
 A paragraph here is a window of `least` words at any place of a text, so a passage is found wherever it was put in.
-Each of BANDS bands has a hash minimum over the five-word shingles of every window; neighbouring windows share most of
-them, so a text has about one minimum for every 23 words and band. An exact passage agrees in all bands for certain, and
-one with an edit for every 30 words in one of three bands with a chance above 0.98.
+Its hash minimum over five-word shingles is at a place that depends on the window's words only; neighbouring windows
+share most of them, so a text has about one minimum for every 23 words. Each gives two band keys: the minimum with the
+words before it, and with those after it. An exact passage agrees in one of them for certain; one with an edit in its
+middle does unless its minimum lies in the edit, with a chance of about 0.9 for each of BANDS hash functions.
 
 Paragraphs that collide are held against the first document with that minimum, never against all. Both texts are then
 aligned at the collisions: exact runs are extended as far as they go and chained over short edits, and a chain counts if
@@ -23,7 +24,9 @@ from pyspark.sql import functions as F
 from .common import MIX1, Tables, WordHashes, as_bytes, components, mix, shingles
 from .op10_minhash_dedup import bloom, needed
 
-BANDS, SHINGLE, LEAST, PERCENT = 3, 5, 50, 80
+BANDS, SHINGLE, LEAST, PERCENT = 2, 5, 50, 80
+#: Words of a band key. A passage of 50 words has as many on one side of any shingle, a shared line of a dozen has not.
+CONTEXT = 16
 #: Words on either side that a chain may step over.
 STEP = 6
 
@@ -46,6 +49,8 @@ def prints(h: np.ndarray, band: int, width: int) -> tuple[np.ndarray, np.ndarray
 
 
 def fingerprints(docs: DataFrame, least: int, bands: int) -> DataFrame:
+    """doc_id, at, print: two keys for each minimum, of the CONTEXT words that end with its shingle and that start with it."""
+
     def run(batches):
         hashes = WordHashes()
         for b in batches:
@@ -54,16 +59,18 @@ def fingerprints(docs: DataFrame, least: int, bands: int) -> DataFrame:
                 words = t.as_py().lower().split()
                 if len(words) < least:
                     continue
-                h = shingles(hashes.of(words), SHINGLE)
+                w = hashes.of(words)
+                h, around = shingles(w, SHINGLE), shingles(w, CONTEXT)
                 for band in range(bands):
-                    at, k = prints(h, band, least - SHINGLE + 1)
-                    ids.append(np.full(len(at), i.as_py(), np.int64))
-                    places.append(at)
-                    keys.append(k)
+                    at, _ = prints(h, band, least - SHINGLE + 1)
+                    left, right = at[at >= CONTEXT - SHINGLE], at[at + CONTEXT <= len(w)]
+                    ids.append(np.full(len(left) + len(right), i.as_py(), np.int64))
+                    places += [left, right]
+                    keys += [around[left - (CONTEXT - SHINGLE)], ~around[right]]
             if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(places).astype(np.int64)), pa.array(np.concatenate(keys).view(np.int64))], names=["doc_id", "at", "print"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(places).astype(np.int32)), pa.array(np.concatenate(keys).view(np.int64))], names=["doc_id", "at", "print"])
 
-    return docs.where("doc_id is not null").select("doc_id", as_bytes()).mapInArrow(run, "doc_id long, at long, print long")
+    return docs.where("doc_id is not null").select("doc_id", as_bytes()).mapInArrow(run, "doc_id long, at int, print long")
 
 
 def runs(p: np.ndarray, q: np.ndarray, seeds: list[tuple[int, int]]) -> list[list[int]]:
@@ -184,6 +191,7 @@ def repeated_passages(docs: DataFrame, least: int = LEAST, percent: int = PERCEN
     linked = tables.write(spans.join(one, ["doc_id", "start_word", "end_word"]).join(two, ["kept_doc_id", "kept_start", "kept_end"]), "linked")
     parts = tables.write(components(linked.select("u", "v"), tables), "components")
     names = tables.write(region.select("node", "doc_id").distinct().join(parts, "node").groupBy("component").agg(F.min("doc_id").alias("cluster_id")), "names")
+    tables.only(linked, parts, names)
     labels = parts.join(names, "component").select(F.col("node").alias("u"), "cluster_id")
     out = linked.join(labels, "u").groupBy("doc_id", "u", "cluster_id", "start_word").agg(F.max(F.struct("end_word", -F.col("kept_doc_id"))).alias("x"))
     out = out.select("doc_id", "cluster_id", "start_word", F.col("x.end_word").alias("end_word"), (-F.col("x.col2")).alias("kept_doc_id"))
