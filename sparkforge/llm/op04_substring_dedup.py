@@ -6,7 +6,8 @@ share most of them, so a text has about one minimum for every 23 words. Each giv
 words before it, and with those after it. An exact passage agrees in one of them for certain; one with an edit in its
 middle does unless its minimum lies in the edit, with a chance of about 0.9 for each of BANDS hash functions.
 
-Paragraphs that collide are held against the first document with that minimum, never against all. Both texts are then
+Paragraphs that collide are held against the first place with their key; those that it does not match are pivots in
+turn, more of them each time, and are held against all others, until no key has an unmatched place left. Both texts are
 aligned at the collisions: exact runs are extended as far as they go and chained over short edits, and a chain counts if
 it has `least` words and the exact Jaccard similarity of its two sides is `percent` or more. Overlapping stretches of a
 document are one node, matches are edges, and connected components are the clusters. A stretch is removed only where a
@@ -147,14 +148,10 @@ def repeated_passages(docs: DataFrame, least: int = LEAST, percent: int = PERCEN
     tables = Tables(spark, "repeats")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = tables.write(fingerprints(docs, least, bands), "prints")
-    first = found.groupBy("print").agg(F.min(F.struct("doc_id", "at")).alias("x"), F.max("doc_id").alias("last")).where("x.doc_id < last")
-    first = tables.write(first.select("print", F.col("x.doc_id").alias("kept_doc_id"), F.col("x.at").alias("kept_at")), "first")
-    hits = found.join(first, "print").where("doc_id <> kept_doc_id")
-    # The seeds of two documents are at most the minima of one.
-    pairs = hits.groupBy("doc_id", "kept_doc_id").agg(F.collect_set(F.struct("at", "kept_at")).alias("seeds"))
-    pairs = tables.write(pairs, "pairs")
-    tables.drop(found, first)
-    bits = spark.sparkContext.broadcast(bloom(spark, pairs.select(F.col("doc_id").alias("id")).union(pairs.select(F.col("kept_doc_id").alias("id")))))
+    shared = found.groupBy("print").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("print")
+    members = tables.write(found.join(tables.write(shared, "shared"), "print").withColumn("matched", F.lit(False)), "members")
+    tables.drop(found)
+    bits = spark.sparkContext.broadcast(bloom(spark, members.select(F.col("doc_id").alias("id"))))
     text = needed(docs, bits)
 
     def run(batches):
@@ -175,9 +172,34 @@ def repeated_passages(docs: DataFrame, least: int = LEAST, percent: int = PERCEN
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=names)
 
-    both = pairs.join(text.toDF("doc_id", "text"), "doc_id").join(text.toDF("kept_doc_id", "kept_text"), "kept_doc_id")
-    spans = both.select("doc_id", "kept_doc_id", "seeds", "text", "kept_text").mapInArrow(run, "doc_id long, start_word long, end_word long, kept_doc_id long, kept_start long, kept_end long")
-    spans = tables.write(spans.distinct(), "spans")
+    spans, turn = None, 0
+    while turn == 0 or not members.isEmpty():
+        # The first places that no pivot of their print has matched yet, more of them each turn, are held against all others.
+        rank = F.row_number().over(Window.partitionBy("print").orderBy("matched", "doc_id", "at"))
+        ranked = members.withColumn("pivot", ~F.col("matched") & (rank <= 4**turn))
+        ranked = tables.write(ranked, "ranked")
+        pivots = ranked.where("pivot").select("print", F.col("doc_id").alias("p"), F.col("at").alias("p_at"))
+        hits = ranked.join(pivots, "print").where("doc_id <> p")
+        ahead = F.col("doc_id") > F.col("p")
+        sides = (("doc_id", "p", "doc_id"), ("p", "doc_id", "kept_doc_id"), ("at", "p_at", "at"), ("p_at", "at", "kept_at"))
+        hits = hits.select("print", F.col("doc_id").alias("m"), F.col("at").alias("m_at"), *(F.when(ahead, F.col(x)).otherwise(F.col(y)).alias(z) for x, y, z in sides))
+        # The seeds of two documents are at most the minima of one.
+        pairs = hits.groupBy("doc_id", "kept_doc_id").agg(F.collect_set(F.struct("at", "kept_at")).alias("seeds"))
+        both = pairs.join(text.toDF("doc_id", "text"), "doc_id").join(text.toDF("kept_doc_id", "kept_text"), "kept_doc_id")
+        new = both.select("doc_id", "kept_doc_id", "seeds", "text", "kept_text").mapInArrow(run, "doc_id long, start_word long, end_word long, kept_doc_id long, kept_start long, kept_end long")
+        new = tables.write(new.distinct(), "spans")
+        spans = new if spans is None else spans.union(new)
+        inside = "at >= start_word and at < end_word and kept_at >= kept_start and kept_at < kept_end"
+        done = hits.join(new, ["doc_id", "kept_doc_id"]).where(inside).select("print", F.col("m").alias("doc_id"), F.col("m_at").alias("at")).distinct()
+        # Pivots have met all places of their print; prints without an unmatched place are settled.
+        rest = ranked.where("not pivot").join(done.withColumn("found", F.lit(True)), ["print", "doc_id", "at"], "left")
+        rest = tables.write(rest.select("print", "doc_id", "at", (F.col("matched") | F.coalesce("found", F.lit(False))).alias("matched")), "rest")
+        open_ = rest.groupBy("print").agg(F.min("matched").alias("settled"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("not settled and low < high").select("print")
+        tables.drop(members)
+        members = tables.write(rest.join(open_, "print"), "members")
+        tables.drop(ranked, rest)
+        turn += 1
+    spans = tables.write(spans.distinct(), "all-spans")
 
     # Stretches of a document that overlap are one region.
     every = spans.select("doc_id", "start_word", "end_word").union(spans.select("kept_doc_id", "kept_start", "kept_end")).distinct()

@@ -50,6 +50,17 @@ def test_copies_keep_one(spark):
     assert {(r.doc_id, r.start_word, r.end_word, r.kept_doc_id) for r in out} == {(i, 0, 150, 2) for i in range(3, 9)}
 
 
+def test_copies_behind_a_first_place_that_does_not_match(spark):
+    rng = random.Random(6)
+    rows, fill = [], lambda w: (i := len(rows), " ".join(words(rng, 70) + w + words(rng, 70)))
+    for _ in range(8):
+        passage = words(rng, 60)
+        for part in (passage[:45], passage[15:], passage, passage):
+            rows.append(fill(part))
+    out = repeated_passages(frame(spark, rows)).collect()
+    assert {(r.doc_id, r.kept_doc_id) for r in out} == {(4 * g + 3, 4 * g + 2) for g in range(8)} and all(r.n_words == 60 for r in out)
+
+
 def test_passages_edges(spark):
     long = " ".join(words(random.Random(4), 40_000))
     rows = [(1, None), (2, ""), (None, long), (3, long), (4, long + " tail"), (4, long + " tail"), (5, "a " * 500), (6, "a " * 500)]
