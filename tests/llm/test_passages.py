@@ -103,3 +103,21 @@ def test_leaks_edges(spark):
     rows = [(1, None), (2, "only five words are here"), (None, QUESTION), (3, "... !!! ???")]
     assert {(r.doc_id, r.item_id) for r in decontaminate(frame(spark, rows), items).collect()} == {(2, 1)}
     assert decontaminate(frame(spark, []), items).collect() == [] and decontaminate(frame(spark, rows), benchmark(spark, [])).collect() == []
+
+
+def test_leaks_of_names_at_sentence_starts(spark):
+    item = "Anna has 12 apples. Anna gives 3 to Ben. How many apples does Anna have left?"
+    other = item.replace("Anna", "Maria").replace("12", "57").replace("3", "8").replace("Ben", "Oskar")
+    rows = [(1, other), (2, "Some words before: " + other), (3, item), (4, "we say Bright kettles hum softly under old wooden shelves today")]
+    items = benchmark(spark, [(1, item), (2, "Bright kettles hum softly under old wooden shelves")])
+    got = {(r.doc_id, r.item_id): r.changed_slots for r in decontaminate(frame(spark, rows), items).collect()}
+    assert got == {(1, 1): True, (2, 1): True, (3, 1): False, (4, 2): False}
+
+
+def test_leaks_of_short_items_and_of_items_of_numbers(spark):
+    rng = random.Random(7)
+    fill = lambda: " ".join(words(rng, 40))
+    short, numbers = "What is the capital of France?", "12 7 19 4 33 8 15 2 60 1"
+    rows = [(1, f"{fill()}. {short} {fill()}"), (2, f"{fill()} {numbers} {fill()}"), (3, f"{fill()} 13 7 19 4 33 8 15 2 61 1 {fill()}"), (4, fill())]
+    got = {(r.doc_id, r.item_id) for r in decontaminate(frame(spark, rows), benchmark(spark, [(1, short), (2, numbers)])).collect()}
+    assert got == {(1, 1), (2, 2)}
