@@ -18,6 +18,7 @@ import re
 from urllib.parse import urlsplit
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -158,8 +159,8 @@ def parse(page: str) -> Node:
     return root
 
 
-# A wrapper node: l label, t tag, x out, n pages, c characters outside links, k characters in links, s slot (constant
-# text, or null once variable), g groups. A group: r repeated, o optional, q its sequence of nodes.
+# A wrapper node: l label, t tag, x out, n pages, c characters outside links, k characters in links, s slot (hash of
+# the constant text, or null once variable), g groups. A group: r repeated, o optional, q its sequence of nodes.
 
 
 def shape(root: Node) -> dict:
@@ -178,7 +179,7 @@ def shape(root: Node) -> dict:
                 own.append(" ".join(item[0].split()))
             else:
                 stack.append((item, w))
-        w["s"] = " ".join(own)[:200]
+        w["s"] = xxhash.xxh3_128_hexdigest(" ".join(own).encode("utf-8", "surrogatepass")) if own else ""
         order.append((w, parent))
     kids: dict[int, list] = {}
     for w, parent in order:

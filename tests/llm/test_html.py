@@ -54,3 +54,10 @@ def test_very_long_sequences_are_aligned_too():
     a, b = fold([node(f"x{i}") for i in range(700)]), fold([node(f"x{i}") for i in range(0, 1400, 2)])
     both = align(a, b)
     assert len(both) == 1050 and sum(not g["o"] for g in both) == 350
+
+
+def test_texts_with_one_beginning_are_variable():
+    lead = "The same long lead of every page of this host. " * 6
+    page = lambda i: f"<body><div class='story'>{lead} Story {i} goes on in its own way.</div><div class='box'>Box {i}</div></body>"
+    w = merge(*(shape(parse(page(i))) for i in (1, 2)), True)
+    assert centres(w) == [["", "body", "div.story"]]
