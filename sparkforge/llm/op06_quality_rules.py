@@ -1,16 +1,17 @@
 """Quality rules with thresholds that adapt to each language and source.
 
-Each text gives counts; three of them become scores in thousandths. Per (lang, source) a quantile sketch of each score
-is a histogram over fixed bins of one thousandth: counts of equal bins add, so sketches of parts merge exactly, in any
-order, and reruns agree. Their quartiles give an upper fence, which is joined to the documents and filters them.
+Each text gives counts; four of them become scores. Per (lang, source) a quantile sketch of each score over the texts
+that pass the base rules is a histogram of whole numbers: counts of equal bins add, so sketches of parts merge exactly,
+in any order, and reruns agree. The fences of a group are its quartiles less or plus `slope` times their distance. No
+cutoff is fixed: what is much punctuation, or a long word, is what lies far from the middle half of its own group.
 
-A fence is never below a floor: in a group of clean texts the quartiles lie close together, and a fence from them alone
-would reject ordinary documents. A group in which junk is common gets no higher fence than `ceiling`.
+A group of fewer than `least` texts, or one whose middle half is a single value, takes the fence of its language's
+sketch, then that of the whole corpus, both merged from those of the groups. A score that varies nowhere sets no fence.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import string
 
 import numpy as np
 import pyarrow as pa
@@ -19,15 +20,19 @@ from pyspark.sql import functions as F
 
 from .common import MIX1, SPACES, Tables, mix, release
 
-COUNTS = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_marks long, n_upper long"
+COUNTS = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_marks long, n_capitals long"
 SYMBOLS = "#*$%&|<>"
-#: Score: (numerator, denominator, floor and ceiling of its fence, all in thousandths).
+#: Score: (numerator, denominator, unit, whether a fence below holds too).
 SCORES = {
-    "symbols": ("n_symbols", "word_chars", 60, 250),
-    "dup_lines": ("n_dup_lines", "n_lines", 300, 600),
-    "marks": ("n_marks", "n_words", 200, 500),
-    "upper": ("n_upper", "n_words", 400, 700),
+    "marks": ("n_marks", "word_chars", 1000, False),
+    "capitals": ("n_capitals", "word_chars", 1000, False),
+    "dup_lines": ("n_dup_lines", "n_lines", 1000, False),
+    "word_length": ("word_chars", "n_words", 100, True),
 }
+#: Highest bin of a sketch; bounds its size.
+BINS = 2000
+SLOPE = 4
+LEAST = 30
 WINDOW = 8
 
 
@@ -68,14 +73,13 @@ def counts(text: str | None) -> tuple[int, ...]:
     words = raw.split()
     word_chars = len(text) - sum(map(text.count, SPACES))
     lines = [x for x in raw.split(b"\n") if x.split()]
-    marks = raw.count(b"!!") + raw.count(b" | ")
-    upper = sum(c for w, c in Counter(words).items() if len(w) > 1 and w.decode("utf-8", "replace").isupper())
-    return len(words), word_chars, sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), repeated_words(words), len(lines), marks, upper
+    marks, capitals = (len(raw) - len(raw.translate(None, x.encode())) for x in (string.punctuation, string.ascii_uppercase))
+    return len(words), word_chars, sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), repeated_words(words), len(lines), marks, capitals
 
 
 def score(name: str):
-    top, bottom, *_ = SCORES[name]
-    return F.when(F.col(bottom) > 0, F.expr(f"least(1000, {top} * 1000 div {bottom})")).otherwise(F.lit(0)).cast("int")
+    top, bottom, unit, _ = SCORES[name]
+    return F.when(F.col(bottom) > 0, F.expr(f"least({BINS}, {top} * {unit} div {bottom})")).otherwise(F.lit(0)).cast("int")
 
 
 def sketches(scored: DataFrame) -> DataFrame:
@@ -84,24 +88,30 @@ def sketches(scored: DataFrame) -> DataFrame:
     return scored.select("lang", "source", bins).groupBy("lang", "source", "x.score", "x.bin").agg(F.count("*").alias("n"))
 
 
-def fences(sketch: DataFrame, slope: int = 3) -> DataFrame:
-    """(lang, source, fence of each score): third quartile plus slope times the distance of the quartiles, within floor and ceiling."""
-    # A group has at most 1001 bins for each score, whatever the number of documents.
-    at = F.expr("sort_array(collect_list(struct(bin, n)))")
-    g = sketch.groupBy("lang", "source", "score").agg(at.alias("h"), F.sum("n").alias("total"))
-    rank = lambda q: F.expr(f"aggregate(h, named_struct('seen', 0L, 'at', -1), (a, x) -> named_struct('seen', a.seen + x.n, 'at', if(a.at < 0 and (a.seen + x.n) * 4 >= total * {q}, x.bin, a.at))).at")
-    low = F.element_at(F.create_map(*(F.lit(v) for k, (_, _, a, _) in SCORES.items() for v in (k, a))), F.col("score"))
-    high = F.element_at(F.create_map(*(F.lit(v) for k, (_, _, _, b) in SCORES.items() for v in (k, b))), F.col("score"))
-    g = g.select("lang", "source", "score", rank(1).alias("q1"), rank(3).alias("q3"), low.alias("low"), high.alias("high"))
-    g = g.select("lang", "source", "score", F.least("high", F.greatest("low", F.expr(f"q3 + {slope} * (q3 - q1)"))).alias("fence"))
-    return g.groupBy("lang", "source").agg(*(F.max(F.when(F.col("score") == k, F.col("fence"))).alias(f"f_{k}") for k in SCORES))
+def fences(sketch: DataFrame, slope: int = SLOPE, least: int = LEAST) -> DataFrame:
+    """(lang, source, x_<score>: struct of low, high, level); level 0 is the group's own sketch, 1 its language's, 2 all."""
 
+    def quartiles(level: int, *by: str) -> DataFrame:
+        merged = sketch.groupBy(*by, "score", "bin").agg(F.sum("n").alias("n"))
+        # A sketch has at most BINS + 1 rows, whatever the number of documents.
+        g = merged.groupBy(*by, "score").agg(F.expr("sort_array(collect_list(struct(bin, n)))").alias("h"), F.sum("n").alias("total"))
+        rank = lambda q: F.expr(f"aggregate(h, named_struct('seen', 0L, 'at', -1), (a, x) -> named_struct('seen', a.seen + x.n, 'at', if(a.at < 0 and (a.seen + x.n) * 4 >= total * {q}, x.bin, a.at))).at")
+        g = g.select(*by, "score", "total", rank(1).alias("q1"), rank(3).alias("q3"))
+        fence = F.struct((F.col("q1") - slope * (F.col("q3") - F.col("q1"))).alias("low"), (F.col("q3") + slope * (F.col("q3") - F.col("q1"))).alias("high"), F.lit(level).alias("level"))
+        return g.select(*by, "score", F.when((F.col("total") >= least) & (F.col("q3") > F.col("q1")), fence).alias(f"x{level}"))
 
-def quality_rules(docs: DataFrame, slope: int = 3, carry: tuple[str, ...] = ()) -> DataFrame:
-    """One row per document: counts, base_failed, scores, fences, kept, and `row`, a struct of the carried columns.
+    own, lang, whole = quartiles(0, "lang", "source"), quartiles(1, "lang").withColumnsRenamed({"lang": "l", "score": "k"}), quartiles(2)
+    g = own.join(lang, F.col("lang").eqNullSafe(F.col("l")) & (F.col("score") == F.col("k")), "left").join(whole, "score", "left")
+    return g.groupBy("lang", "source").agg(*(F.max(F.when(F.col("score") == k, F.coalesce("x0", "x1", "x2"))).alias(f"x_{k}") for k in SCORES))
 
-    A null text counts as empty and fails the base rule (no words). Null lang or source form groups of their own. Rows
-    that repeat are judged one by one alike. An empty table gives no rows. Other columns are not looked at.
+
+def quality_rules(docs: DataFrame, slope: int = SLOPE, least: int = LEAST, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: counts, base_failed, scores s_*, fences x_*, kept, and `row`, a struct of the carried columns.
+
+    A share of few characters or lines is uncertain, so one above its fence is rejected only if it is by more than twice
+    the square root of the number that the fence allows. A null text counts as empty and fails the base rule (no words).
+    Null lang or source form groups of their own. Rows that repeat are judged one by one alike. An empty table gives no
+    rows. Other columns are not looked at.
     """
     names = [x.split()[0] for x in COUNTS.split(", ")]
     cols = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source")]
@@ -122,11 +132,15 @@ def quality_rules(docs: DataFrame, slope: int = 3, carry: tuple[str, ...] = ())
     got = got.withColumns({f"s_{k}": score(k) for k in SCORES})
     tables = Tables(docs.sparkSession, "quality")
     got = tables.write(got, "counts")
-    limits = tables.write(fences(sketches(got), slope).withColumnsRenamed({"lang": "g_lang", "source": "g_source"}), "fences")
+    limits = tables.write(fences(sketches(got.where("not base_failed")), slope, least).withColumnsRenamed({"lang": "g_lang", "source": "g_source"}), "fences")
     out = got.join(limits, F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source")), "left")
     bad = F.lit(False)
-    for k in SCORES:
-        bad = bad | (F.col(f"s_{k}") > F.col(f"f_{k}"))
+    for k, (top, bottom, unit, both) in SCORES.items():
+        if both:
+            bad = bad | F.expr(f"s_{k} > x_{k}.high or s_{k} < x_{k}.low")
+        else:
+            over, room = f"double({top}) * {unit} - double(x_{k}.high) * {bottom}", f"4D * {unit} * x_{k}.high * {bottom}"
+            bad = bad | F.expr(f"s_{k} > x_{k}.high and ({over}) * ({over}) > {room}")
     return out.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(bad, F.lit(False))).drop("g_lang", "g_source")
 
 

@@ -15,26 +15,31 @@ w AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS pos FROM l),
 v AS (SELECT doc_id, pos, w, concat_ws(' ', w, {", ".join(f"lead(w, {i}) OVER o" for i in range(1, 8))}) AS win, lead(w, 7) OVER o IS NOT NULL AS whole FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
 f AS (SELECT doc_id, pos, w, CASE WHEN whole AND count(*) FILTER (WHERE whole) OVER (PARTITION BY doc_id, win) > 1 THEN 1 ELSE 0 END AS twice FROM v),
 c AS (SELECT doc_id, w, max(twice) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS rep FROM f),
-g AS (SELECT doc_id, count(*) AS n_words, sum(length(w)) AS word_chars, sum(rep) AS n_repeat_words, count(*) FILTER (WHERE strlen(w) > 1 AND w = upper(w) AND w <> lower(w)) AS n_upper FROM c GROUP BY doc_id),
+g AS (SELECT doc_id, count(*) AS n_words, sum(length(w)) AS word_chars, sum(rep) AS n_repeat_words FROM c GROUP BY doc_id),
 h AS (SELECT d.doc_id, lang, source, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(word_chars, 0)::BIGINT AS word_chars,
     (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
     list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{W}')) AS lines,
-    coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, coalesce(n_upper, 0) AS n_upper,
-    (length(t) - length(replace(t, '!!', ''))) // 2 + (length(t) - length(replace(t, ' | ', ''))) // 3 AS n_marks
+    coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
+    length(t) - length(regexp_replace(t, '[!-/:-@\[-`\{{-~]', '', 'g')) AS n_marks, length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')) AS n_capitals
   FROM d LEFT JOIN g USING (doc_id)),
 b AS (SELECT *, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, len(lines) AS n_lines, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM h),
-s AS (SELECT *, CASE WHEN word_chars > 0 THEN least(1000, n_symbols * 1000 // word_chars) ELSE 0 END AS symbols, CASE WHEN n_lines > 0 THEN least(1000, n_dup_lines * 1000 // n_lines) ELSE 0 END AS dup_lines,
-    CASE WHEN n_words > 0 THEN least(1000, n_marks * 1000 // n_words) ELSE 0 END AS marks, CASE WHEN n_words > 0 THEN least(1000, n_upper * 1000 // n_words) ELSE 0 END AS upper_words FROM b),
-x AS (SELECT lang, source, 'symbols' AS score, symbols AS bin FROM s UNION ALL SELECT lang, source, 'dup_lines', dup_lines FROM s UNION ALL SELECT lang, source, 'marks', marks FROM s UNION ALL SELECT lang, source, 'upper', upper_words FROM s),
-k AS (SELECT lang, source, score, bin, count(*) AS n FROM x GROUP BY ALL),
-q AS (SELECT lang, source, score, bin, sum(n) OVER (PARTITION BY lang, source, score ORDER BY bin) AS seen, sum(n) OVER (PARTITION BY lang, source, score) AS total FROM k),
-r AS (SELECT lang, source, score, min(bin) FILTER (WHERE seen * 4 >= total) AS q1, min(bin) FILTER (WHERE seen * 4 >= total * 3) AS q3 FROM q GROUP BY ALL),
-e AS (SELECT lang, source, score, least(CASE score WHEN 'symbols' THEN 250 WHEN 'dup_lines' THEN 600 WHEN 'marks' THEN 500 ELSE 700 END,
-    greatest(CASE score WHEN 'symbols' THEN 60 WHEN 'dup_lines' THEN 300 WHEN 'marks' THEN 200 ELSE 400 END, q3 + 3 * (q3 - q1))) AS fence FROM r),
-p AS (SELECT lang, source, max(fence) FILTER (WHERE score = 'symbols') AS f1, max(fence) FILTER (WHERE score = 'dup_lines') AS f2, max(fence) FILTER (WHERE score = 'marks') AS f3, max(fence) FILTER (WHERE score = 'upper') AS f4 FROM e GROUP BY ALL)
+s AS (SELECT *, CASE WHEN word_chars > 0 THEN least(2000, n_marks * 1000 // word_chars) ELSE 0 END AS marks, CASE WHEN word_chars > 0 THEN least(2000, n_capitals * 1000 // word_chars) ELSE 0 END AS capitals,
+    CASE WHEN n_lines > 0 THEN least(2000, n_dup_lines * 1000 // n_lines) ELSE 0 END AS dup_lines, CASE WHEN n_words > 0 THEN least(2000, word_chars * 100 // n_words) ELSE 0 END AS word_length FROM b),
+x AS (SELECT lang, source, unnest(['marks', 'capitals', 'dup_lines', 'word_length']) AS score, unnest([marks, capitals, dup_lines, word_length]) AS bin FROM s WHERE NOT base_failed),
+k AS (SELECT 0 AS level, lang, source, score, bin, count(*) AS n FROM x GROUP BY ALL UNION ALL SELECT 1, lang, NULL, score, bin, count(*) FROM x GROUP BY lang, score, bin UNION ALL SELECT 2, NULL, NULL, score, bin, count(*) FROM x GROUP BY score, bin),
+q AS (SELECT level, lang, source, score, bin, sum(n) OVER (PARTITION BY level, lang, source, score ORDER BY bin) AS seen, sum(n) OVER (PARTITION BY level, lang, source, score) AS total FROM k),
+r AS (SELECT level, lang, source, score, total, min(bin) FILTER (WHERE seen * 4 >= total) AS q1, min(bin) FILTER (WHERE seen * 4 >= total * 3) AS q3 FROM q GROUP BY ALL),
+e AS (SELECT level, lang, source, score, q1 - 4 * (q3 - q1) AS low, q3 + 4 * (q3 - q1) AS high FROM r WHERE total >= 30 AND q3 > q1),
+u AS (SELECT o.lang, o.source, o.score, coalesce(e0.low, e1.low, e2.low) AS low, coalesce(e0.high, e1.high, e2.high) AS high FROM (SELECT DISTINCT lang, source, score FROM x) o
+  LEFT JOIN e e0 ON e0.level = 0 AND e0.score = o.score AND e0.lang IS NOT DISTINCT FROM o.lang AND e0.source IS NOT DISTINCT FROM o.source
+  LEFT JOIN e e1 ON e1.level = 1 AND e1.score = o.score AND e1.lang IS NOT DISTINCT FROM o.lang
+  LEFT JOIN e e2 ON e2.level = 2 AND e2.score = o.score),
+p AS (SELECT lang, source, max(high) FILTER (WHERE score = 'marks') AS f1, max(high) FILTER (WHERE score = 'capitals') AS f2, max(high) FILTER (WHERE score = 'dup_lines') AS f3, max(low) FILTER (WHERE score = 'word_length') AS f4, max(high) FILTER (WHERE score = 'word_length') AS f5 FROM u GROUP BY ALL)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND NOT (symbols > f1 OR dup_lines > f2 OR marks > f3 OR upper_words > f4) AS kept
-FROM s JOIN p ON s.lang IS NOT DISTINCT FROM p.lang AND s.source IS NOT DISTINCT FROM p.source"""
+  NOT base_failed AND NOT (coalesce(marks > f1 AND (n_marks::DOUBLE * 1000 - f1 * word_chars) ** 2 > 4.0 * 1000 * f1 * word_chars, false)
+    OR coalesce(capitals > f2 AND (n_capitals::DOUBLE * 1000 - f2 * word_chars) ** 2 > 4.0 * 1000 * f2 * word_chars, false)
+    OR coalesce(dup_lines > f3 AND (n_dup_lines::DOUBLE * 1000 - f3 * n_lines) ** 2 > 4.0 * 1000 * f3 * n_lines, false) OR coalesce(word_length < f4 OR word_length > f5, false)) AS kept
+FROM s LEFT JOIN p ON s.lang IS NOT DISTINCT FROM p.lang AND s.source IS NOT DISTINCT FROM p.source"""
 
 NEAR = rf"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{W}') AS ws FROM documents),

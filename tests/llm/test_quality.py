@@ -30,7 +30,7 @@ def test_repeated_words():
 
 
 def test_counts():
-    assert counts("Ab é#*\n\nAb é#*\nx y\x0bz !!") == (7, 16, 4, 1, 0, 3, 1, 0)
+    assert counts("Ab é#*\n\nAb é#*\nx y\x0bz !!") == (7, 16, 4, 1, 0, 3, 6, 2)
     assert counts(None) == counts("") == (0,) * 8 and counts(" \t\n")[:2] == (0, 0)
 
 
@@ -63,6 +63,32 @@ def test_sketches_of_parts_merge(spark):
     assert fences(both).collect() == fences(sketch(rows)).collect()
 
 
+def test_fences_differ_between_groups_and_decide(spark):
+    rng = random.Random(6)
+    plain = [(i, "".join(w + rng.choice((" ", " ", ", ")) for w in text(rng).split()), "en", "prose") for i in range(60)]
+    code = [(100 + i, " ".join(w + rng.choice(("();", "{}", "=[]")) for w in text(rng).split()), "en", "code") for i in range(60)]
+    same = " ".join(w + "();" for w in text(rng).split())
+    rows = quality_rules(frame(spark, [*plain, *code, (200, same, "en", "prose"), (201, same, "en", "code")])).collect()
+    out = {r.doc_id: r for r in rows}
+    assert not out[200].kept and out[201].kept and out[200].x_marks.high * 3 < out[201].x_marks.high
+    assert all(out[r[0]].kept for r in plain + code) and {r.x_word_length.level for r in rows} == {0}
+
+
+def test_small_groups_take_the_fence_of_their_language(spark):
+    rng = random.Random(7)
+    rows = [(i, text(rng), "en", "big") for i in range(60)] + [(100 + i, text(rng), "en", f"s{i}") for i in range(5)] + [(200, text(rng), "xx", "s0"), (201, "a!!! " * 3 + " ".join(w + "###" for w in text(rng).split()), "xx", "s0")]
+    out = {r.doc_id: r for r in quality_rules(frame(spark, rows)).collect()}
+    assert [out[i].x_word_length.level for i in (0, 100, 200)] == [0, 1, 2]
+    assert out[100].x_word_length.high == out[104].x_word_length.high and not out[201].kept and out[200].kept
+
+
+def test_fences_of_the_corpus_come_from_its_groups(spark, sf):
+    docs = spark.read.parquet(f"{sf.replace('0.001', '0.1')}/documents.parquet")
+    fence = quality_rules(docs).where("x_marks is not null").select("lang", "source", "x_marks", "x_word_length").distinct().collect()
+    assert sum(r.x_marks.level == 0 for r in fence) * 10 > 9 * len(fence)
+    assert len({(r.x_marks.high, r.x_word_length.low, r.x_word_length.high) for r in fence}) * 2 > len(fence)
+
+
 def test_rules_edges(spark):
     assert quality_rules(frame(spark, [])).collect() == []
     rows = [(None, "a b", None, None), (1, "a " * 200_000, "en", "s"), (1, "a " * 200_000, "en", "s")]
