@@ -6,8 +6,12 @@ optional; texts become slots, constant while all pages agree and variable after.
 pages by host, and the partial wrappers of a host are aligned in two further rounds, so every page takes part and no
 task needs all pages of a host.
 
-The host's wrapper says where the article is: the outermost article or main elements outside menus and the like, or else
-the smallest part that holds most of the variable text without links. Pages are then cut by that.
+The host's expression says what is what. The article is where the variable text without links is: article or main
+elements if they hold half of it, or else the smallest part that holds four fifths. Inside, parts that are constant on
+half of the pages or more (three at least, headings apart), and repeated groups that are nearly all links, are template.
+Each page is then matched against the expression of its host: the blocks that meet the article's parts are the text, less
+those that meet template. Marked menus, adverts, comments and the like never are text. A page whose host has no other
+page, no name or no variable text, or that matches no article, is cut by its own wrapper and its marks alone.
 """
 
 from __future__ import annotations
@@ -15,8 +19,11 @@ from __future__ import annotations
 import html
 import json
 import re
+from collections import Counter
+from functools import lru_cache
 from urllib.parse import urlsplit
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -29,6 +36,7 @@ TOKEN = re.compile(
     re.S,
 )
 ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+SHORT = re.compile(r"[a-zA-Z]{1,3}\d{1,2}")
 
 # Elements that form blocks, elements whose content is raw text, elements without an end.
 BLOCKS = frozenset("address article aside audio blockquote body button canvas center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html iframe legend li main menu nav noscript object ol option p pre search section select summary svg table tbody td template textarea tfoot th thead title tr ul video".split())
@@ -42,28 +50,39 @@ ARTICLE_OUT = frozenset("comment comments reply replies ad ads advert sponsored
 NEGATING = frozenset("with has no without".split())
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("tr", "td", "th", "thead"), "body": ("head", "title")}
 SCOPES = {"li": ("ul", "ol", "menu", "dir"), "dt": ("dl",), "dd": ("dl",), "tr": ("table", "tbody", "thead", "tfoot"), "td": ("tr", "table"), "th": ("tr", "table")}
-DEPTH = 100
 CENTRES = ("article", "main")
+HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
+#: Elements that are alike whatever they hold; other elements without a class are alike if they hold the same elements.
+ITEMS = frozenset(["p", "li", "tr", "td", "th", "dt", "dd", "option", "hr", *HEADINGS])
+ARTICLE, TEMPLATE = 1, 2
 
 
 class Node:
-    __slots__ = ("tag", "label", "out", "items")
+    """An element of a page; items are nodes or (text, whether in a link), mark what the host's expression says of it."""
 
-    def __init__(self, tag: str, label: str, out: bool):
-        self.tag, self.label, self.out, self.items = tag, label, out, []
+    __slots__ = ("name", "tag", "label", "out", "items", "mark")
+
+    def __init__(self, name: str, tag: str, label: str, out: bool):
+        self.name, self.tag, self.label, self.out, self.items, self.mark = name, tag, label, out, [], 0
 
 
 def words_of(value: str) -> list[str]:
     return re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower())
 
 
-def element(tag: str, raw: str) -> Node:
+@lru_cache(4096)
+def kind(tag: str, raw: str) -> tuple[str, str, str, bool]:
+    """Name, tag, label and whether it is out, of an element with these attributes."""
     attrs = {}
     if raw.strip(" /\n\t\r"):
         for name, a, b, c in ATTRIBUTE.findall(raw):
             attrs.setdefault(name.lower(), a or b or c)
     marks = [words_of(x) for x in (attrs.get("class", "") + " " + attrs.get("id", "")).split()]
-    label = tag + "".join(f".{'-'.join(m)}" for m in sorted(marks) if m)
+    short = [x.lower() for x in attrs.get("class", "").split() if SHORT.fullmatch(x)]
+    label = name = tag
+    if tag not in ("html", "body"):
+        # Numbers name single pages and items, save in short codes of classes.
+        label += "".join(f".{m}" for m in sorted([*("-".join(m) for m in marks if m), *short]))
     role = attrs.get("role", "").lower()
     out = tag in OUT_TAGS or role in OUT_ROLES or "hidden" in attrs or attrs.get("aria-hidden") == "true" or bool(re.search(r"display\s*:\s*none", attrs.get("style", "")))
     if tag not in ("html", "body", "main"):
@@ -71,13 +90,15 @@ def element(tag: str, raw: str) -> Node:
         out = out or any(any(w in bad for w in m) and not (m[0] in NEGATING) for m in marks)
     if tag == "div" and (role == "main" or attrs.get("itemprop") == "articleBody"):
         tag = "main"
-    return Node(tag, label, out)
+    return name, tag, label, out
 
 
 def parse(page: str) -> Node:
-    """Tree of blocks; items are nodes or (text, whether in a link). Elements open at the end are closed there."""
-    root = Node("", "", False)
+    """Tree of blocks. Elements open at the end are closed there."""
+    root = Node("", "", "", False)
     stack, at, link, text = [root], 0, 0, []
+    # How many elements of a name are open, so that no end tag looks through all of a deep page for nothing.
+    held: Counter = Counter()
     end = len(page)
 
     def flush():
@@ -88,7 +109,7 @@ def parse(page: str) -> Node:
                 stack[-1].items.append((s, link > 0))
 
     def close_to(i: int):
-        flush()
+        held.subtract(x.name for x in stack[i:])
         del stack[i:]
 
     while at < end:
@@ -112,14 +133,13 @@ def parse(page: str) -> Node:
                 stack[-1].items.append(("", None))
                 link -= 1
             elif tag in BLOCKS:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].tag == tag or stack[i].label.split(".")[0] == tag:
+                if held[tag] or tag != "p":
+                    flush()
+                for i in range(len(stack) - 1, 0, -1) if held[tag] else ():
+                    if stack[i].name == tag:
                         close_to(i)
                         link = 0
                         break
-                else:
-                    if tag != "p":
-                        flush()
             continue
         if tag in RAW and not m[3].endswith("/"):
             stop = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
@@ -135,199 +155,336 @@ def parse(page: str) -> Node:
             text.append(" ")
         elif tag in BLOCKS:
             flush()
-            if tag not in ("option",):
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].tag in ("div", "article", "section", "td", "body", "main", "table", "blockquote"):
-                        break
-                    if stack[i].tag == "p":
-                        del stack[i:]
-                        break
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1, 0, -1) if held["p"] else ():
+                if stack[i].tag in ("div", "article", "section", "td", "body", "main", "table", "blockquote"):
+                    break
+                if stack[i].tag == "p":
+                    close_to(i)
+                    break
+            closes = CLOSES.get(tag, ())
+            for i in range(len(stack) - 1, 0, -1) if any(held[x] for x in closes) else ():
                 if stack[i].tag in SCOPES.get(tag, ("table",)):
                     break
-                if stack[i].tag in CLOSES.get(tag, ()):
-                    del stack[i:]
+                if stack[i].tag in closes:
+                    close_to(i)
                     break
-            node = element(tag, m[3])
-            if tag in EMPTY:
-                stack[-1].items.append(node)
-            else:
-                stack[-1].items.append(node)
-                if len(stack) < DEPTH:
-                    stack.append(node)
+            node = Node(*(kind if len(m[3]) < 200 else kind.__wrapped__)(tag, m[3]))
+            stack[-1].items.append(node)
+            if tag not in EMPTY:
+                stack.append(node)
+                held[tag] += 1
     flush()
     return root
 
 
-# A wrapper node: l label, t tag, x out, n pages, c characters outside links, k characters in links, s slot (hash of
-# the constant text, or null once variable), g groups. A group: r repeated, o optional, q its sequence of nodes.
+class Part:
+    """A node of a wrapper.
+
+    n pages, c characters outside links, k characters in links, slot (hash of the constant text, "" for none, null once
+    variable), inner (names of the elements in it), groups, nodes (elements of the one page that it stands for), mark.
+    """
+
+    __slots__ = ("label", "tag", "out", "n", "c", "k", "slot", "inner", "groups", "nodes", "mark")
+
+    def __init__(self, label, tag, out, n=1, c=0, k=0, slot="", mark=0, inner=frozenset()):
+        self.label, self.tag, self.out, self.n, self.c, self.k, self.slot, self.mark, self.inner = label, tag, out, n, c, k, slot, mark, inner
+        self.groups, self.nodes = [], []
+
+    def alike(self):
+        return self.label if self.tag in ITEMS or "." in self.label else (self.label, self.inner)
+
+
+class Group:
+    """Parts that follow one another, perhaps repeated or optional."""
+
+    __slots__ = ("repeated", "optional", "parts")
 
+    def __init__(self, parts: list[Part], repeated: bool = False, optional: bool = False):
+        self.parts, self.repeated, self.optional = parts, repeated, optional
 
-def shape(root: Node) -> dict:
+
+def preorder(root: Part) -> list[Part]:
+    out, stack = [], [root]
+    while stack:
+        out.append(stack.pop())
+        stack += [y for g in reversed(out[-1].groups) for y in reversed(g.parts)]
+    return out
+
+
+def shape(root: Node) -> Part:
     """Wrapper of one page."""
     order, stack = [], [(root, None)]
+    kids: dict[int, list[Part]] = {}
     while stack:
         node, parent = stack.pop()
-        w = {"l": node.label, "t": node.tag, "x": node.out, "n": 1, "c": 0, "k": 0, "s": "", "g": []}
+        w = Part(node.label, node.tag, node.out)
+        w.nodes.append(node)
         own = []
         for item in node.items:
-            if isinstance(item, tuple):
-                if item[1] is None:
-                    continue
-                size = len("".join(item[0].split()))
-                w["k" if item[1] else "c"] += size
-                own.append(" ".join(item[0].split()))
-            else:
-                stack.append((item, w))
-        w["s"] = xxhash.xxh3_128_hexdigest(" ".join(own).encode("utf-8", "surrogatepass")) if own else ""
-        order.append((w, parent))
-    kids: dict[int, list] = {}
-    for w, parent in order:
+            if isinstance(item, Node):
+                continue
+            words = item[0].split()
+            if words:
+                size = sum(map(len, words))
+                if item[1]:
+                    w.k += size
+                else:
+                    w.c += size
+                own += words
+        if own:
+            w.slot = xxhash.xxh3_128_hexdigest(" ".join(own).encode("utf-8", "surrogatepass"))
+        inside = [x for x in node.items if isinstance(x, Node)]
+        if inside:
+            w.inner = frozenset(x.name for x in inside)
+            stack += [(x, w) for x in reversed(inside)]
+        order.append(w)
         if parent is not None:
             kids.setdefault(id(parent), []).append(w)
-    for w, _ in reversed(order):
-        # The stack reverses children; each has its own children folded before it is folded itself.
-        w["g"] = fold(kids.get(id(w), [])[::-1])
-    return order[0][0]
+    for w in reversed(order):
+        # Children come after their parents in page order, so they are folded first.
+        if id(w) in kids:
+            w.groups = fold(kids[id(w)])
+    return order[0]
 
 
-def key(group: dict) -> tuple:
-    return tuple(w["l"] for w in group["q"])
-
-
-def fold(nodes: list[dict]) -> list[dict]:
-    """Groups of a sequence of nodes: runs of one to four labels that repeat at once become one repeated group."""
-    out, i, labels = [], 0, [w["l"] for w in nodes]
-    while i < len(nodes):
+def fold(parts: list[Part]) -> list[Group]:
+    """Groups of a sequence: runs of one to four parts that repeat at once become one repeated group."""
+    out, i, keys = [], 0, [w.alike() for w in parts]
+    while i < len(parts):
         for k in (1, 2, 3, 4):
-            run = labels[i : i + k]
+            run = keys[i : i + k]
             end = i + k
-            while len(run) == k and labels[end : end + k] == run:
+            while len(run) == k and keys[end : end + k] == run:
                 end += k
             if end > i + k:
-                seq = nodes[i : i + k]
-                for j in range(i + k, end, k):
-                    seq = [merge(a, b, False) for a, b in zip(seq, nodes[j : j + k])]
-                out.append({"r": True, "o": False, "q": seq})
+                for j in range(i + k, end):
+                    merge(parts[i + (j - i) % k], parts[j], False)
+                out.append(Group(parts[i : i + k], True))
                 i = end
                 break
         else:
-            out.append({"r": False, "o": False, "q": [nodes[i]]})
+            out.append(Group([parts[i]]))
             i += 1
     return out
 
 
-def align(a: list[dict], b: list[dict]) -> list[dict]:
-    """Groups of two sequences: equal ones, in the longest common order, are merged; the others become optional."""
-    x, y = [key(g) for g in a], [key(g) for g in b]
+def lattice(x: list[int], y: list[int], weight: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs (i, j), ascending in both, of the greatest sum of weight[x[i], y[j]]; a weight of 0 makes no pair.
+
+    Rows of scores are vectors. Where all of them would not fit, the split of y at the middle of x is found from the
+    scores of both halves first, so memory stays in proportion to one row.
+    """
+    out, stack = [], [(0, len(x), 0, len(y))]
+    xs, ys = np.asarray(x, np.int64), np.asarray(y, np.int64)
+
+    def rows(a, b, c, d, back):
+        """Scores of x[a:b] against every suffix (back) or prefix of y[c:d], row by row from the empty one."""
+        row = np.zeros(d - c + 1, np.int32)
+        yield row
+        for i in range(b - 1, a - 1, -1) if back else range(a, b):
+            w = weight[xs[i], ys[c:d]]
+            new = row.copy()
+            if back:
+                new[:-1] = np.maximum(new[:-1], np.where(w > 0, row[1:] + w, 0))
+                row = np.maximum.accumulate(new[::-1])[::-1]
+            else:
+                new[1:] = np.maximum(new[1:], np.where(w > 0, row[:-1] + w, 0))
+                row = np.maximum.accumulate(new)
+            yield row
+
+    while stack:
+        a, b, c, d = stack.pop()
+        if a == b or c == d:
+            continue
+        if (b - a) * (d - c) > 1 << 22 and b - a > 1:
+            mid = (a + b) // 2
+            *_, up = rows(a, mid, c, d, False)
+            *_, down = rows(mid, b, c, d, True)
+            cut = c + int(np.argmax(up + down))
+            stack += [(a, mid, c, cut), (mid, b, cut, d)]
+            continue
+        best = list(rows(a, b, c, d, True))[::-1]
+        i, j = a, c
+        while i < b and j < d:
+            w = weight[xs[i], ys[j]]
+            here, below = best[i - a], best[i - a + 1]
+            if w > 0 and here[j - c] == below[j - c + 1] + w:
+                out.append((i, j))
+                i, j = i + 1, j + 1
+            elif below[j - c] >= here[j - c + 1]:
+                i += 1
+            else:
+                j += 1
+    return sorted(out)
+
+
+def align(a: list[Group], b: list[Group]) -> list[tuple[int | None, int | None]]:
+    """Places of two sequences side by side: groups of equal labels, those that hold like elements before others."""
+    x, y = [tuple(w.alike() for w in g.parts) for g in a], [tuple(w.alike() for w in g.parts) for g in b]
     head = 0
     while head < min(len(x), len(y)) and x[head] == y[head]:
         head += 1
-    n, m = len(x) - head, len(y) - head
-    if n * m > 250_000:
-        return [both(p, q) for p, q in zip(a[:head], b[:head])] + align_long(a[head:], b[head:])
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if x[head + i] == y[head + j] else max(best[i + 1][j], best[i][j + 1])
-    out = [both(p, q) for p, q in zip(a[:head], b[:head])]
-    i = j = 0
-    while i < n or j < m:
-        if i < n and j < m and x[head + i] == y[head + j]:
-            out.append(both(a[head + i], b[head + j]))
+    tail = 0
+    while tail < min(len(x), len(y)) - head and x[-1 - tail] == y[-1 - tail]:
+        tail += 1
+    out: list[tuple[int | None, int | None]] = [(i, i) for i in range(head)]
+    i, j, n, m = head, head, len(x) - tail, len(y) - tail
+    met = []
+    if i < n and j < m:
+        forms: dict = {}
+        xs, ys = ([forms.setdefault((tuple(w.label for w in g.parts), tuple(w.inner for w in g.parts)), len(forms)) for g in z] for z in (a[i:n], b[j:m]))
+        weight = np.zeros((len(forms), len(forms)), np.int32)
+        for (p, p_in), u in forms.items():
+            for (q, q_in), v in forms.items():
+                if p == q:
+                    weight[u, v] = 4 + sum(4 * len(s & t) // len(s | t) if s or t else 4 for s, t in zip(p_in, q_in)) // len(p)
+        met = lattice(xs, ys, weight)
+    for p, q in [*met, (n - head, m - head)]:
+        out += [(k, None) for k in range(i, head + p)] + [(None, k) for k in range(j, head + q)]
+        i, j = head + p, head + q
+        if i < n and j < m:
+            out.append((i, j))
             i, j = i + 1, j + 1
-        elif j == m or i < n and best[i + 1][j] >= best[i][j + 1]:
-            out.append(a[head + i] | {"o": True})
-            i += 1
-        else:
-            out.append(b[head + j] | {"o": True})
-            j += 1
-    return out
+    return out + [(len(x) - k, len(y) - k) for k in range(tail, 0, -1)]
 
 
-def align_long(a: list[dict], b: list[dict]) -> list[dict]:
-    """The same in one pass for very long sequences: a group meets the next equal one that is not behind the last match."""
-    places: dict[tuple, list[int]] = {}
-    for j in range(len(b) - 1, -1, -1):
-        places.setdefault(key(b[j]), []).append(j)
-    out, at = [], 0
-    for g in a:
-        next_places = places.get(key(g), [])
-        while next_places and next_places[-1] < at:
-            next_places.pop()
-        if next_places:
-            j = next_places.pop()
-            out += [x | {"o": True} for x in b[at:j]]
-            out.append(both(g, b[j]))
-            at = j + 1
-        else:
-            out.append(g | {"o": True})
-    return out + [x | {"o": True} for x in b[at:]]
+def merge(a: Part, b: Part, pages: bool = True) -> Part:
+    """b joins a. pages: they are of different pages, else of one."""
+    stack = [(a, b)]
+    while stack:
+        p, q = stack.pop()
+        p.n = p.n + q.n if pages else max(p.n, q.n)
+        p.c, p.k, p.inner = p.c + q.c, p.k + q.k, p.inner | q.inner
+        p.slot = p.slot if p.slot == q.slot else None
+        p.nodes += q.nodes
+        if not p.groups and not q.groups:
+            continue
+        groups = []
+        for i, j in align(p.groups, q.groups):
+            if i is None or j is None:
+                groups.append(p.groups[i] if j is None else q.groups[j])
+                groups[-1].optional = True
+            else:
+                g, h = p.groups[i], q.groups[j]
+                g.repeated, g.optional = g.repeated or h.repeated, g.optional or h.optional
+                stack += zip(g.parts, h.parts)
+                groups.append(g)
+        p.groups = groups
+    return a
 
 
-def both(a: dict, b: dict) -> dict:
-    return {"r": a["r"] or b["r"], "o": a["o"] or b["o"], "q": [merge(p, q, True) for p, q in zip(a["q"], b["q"])]}
+def dump(root: Part) -> str:
+    """The wrapper as JSON, in page order; flat, whatever its depth."""
+    return json.dumps([[w.label, w.tag, int(w.out), w.n, w.c, w.k, w.slot, w.mark, sorted(w.inner), [[int(g.repeated), int(g.optional), len(g.parts)] for g in w.groups]] for w in preorder(root)])
 
 
-def merge(a: dict, b: dict, pages: bool) -> dict:
-    """Two wrappers of one label. pages: they are of different pages, else of one."""
-    same = a["s"] is not None and a["s"] == b["s"]
-    return a | {"n": a["n"] + b["n"] if pages else max(a["n"], b["n"]), "c": a["c"] + b["c"], "k": a["k"] + b["k"], "s": a["s"] if same else None, "g": align(a["g"], b["g"])}
+def load(text: str) -> Part:
+    done: list[Part] = []
+    for label, tag, out, n, c, k, slot, mark, inner, groups in reversed(json.loads(text)):
+        w = Part(label, tag, bool(out), n, c, k, slot, mark, frozenset(inner))
+        w.groups = [Group([done.pop() for _ in range(size)], bool(repeated), bool(optional)) for repeated, optional, size in groups]
+        done.append(w)
+    return done[0]
 
 
-def regular_expression(w: dict) -> str:
+def regular_expression(root: Part) -> str:
     """The wrapper as text: ( )+ repeated, ( )? optional, #TEXT a slot."""
-    inner = ("#TEXT" if w["s"] is None else "") + "".join("(" + "".join(map(regular_expression, g["q"])) + ")" + ("+" if g["r"] else "") + ("?" if g["o"] else "") for g in w["g"])
-    return f"<{w['l']}>{inner}</{w['t']}>"
-
-
-def mass(w: dict) -> int:
-    """Characters of variable text that aren't in links, outside what is out."""
-    total, stack = 0, [w]
+    out, stack = [], [root]
     while stack:
         x = stack.pop()
-        if not x["x"] and not (x["t"] == "header"):
-            if x["s"] is None or x["n"] == 1:
-                total += max(0, x["c"] - x["k"])
-            stack += [y for g in x["g"] for y in g["q"]]
-    return total
-
-
-def centres(w: dict) -> list[list[str]]:
-    """Label paths of the parts that hold the article."""
-    found, stack = [], [(w, [])]
-    while stack:
-        x, path = stack.pop()
-        path = [*path, x["l"]]
-        if x["t"] in CENTRES and not x["x"]:
-            found.append((x, path))
+        if isinstance(x, str):
+            out.append(x)
             continue
-        if not x["x"]:
-            stack += [(y, path) for g in x["g"] for y in g["q"]]
-    inner = []
-    for x, path in found:
+        out.append(f"<{x.label}>" + ("#TEXT" if x.slot is None else ""))
+        stack.append(f"</{x.tag}>")
+        for g in reversed(x.groups):
+            stack += [")" + ("+" if g.repeated else "") + ("?" if g.optional else ""), *reversed(g.parts), "("]
+    return "".join(out)
+
+
+def decide(root: Part) -> bool:
+    """Marks the parts that hold the article and, in them, those of the template. False if several pages show no variable text."""
+    order, pages = preorder(root), root.n
+    mass, chars, links, fixed = {}, {}, {}, {}
+    for w in reversed(order):
+        kids = [y for g in w.groups for y in g.parts]
+        # Characters of variable text that aren't in links, outside what is out.
+        varies = (w.slot is None or pages == 1) and not w.out and w.tag != "header"
+        mass[id(w)] = 0 if w.out or w.tag == "header" else (max(0, w.c - w.k) if varies else 0) + sum(mass[id(y)] for y in kids)
+        chars[id(w)], links[id(w)] = w.c + sum(chars[id(y)] for y in kids), w.k + sum(links[id(y)] for y in kids)
+        fixed[id(w)] = w.slot is not None and all(fixed[id(y)] for y in kids)
+    whole = mass[id(root)]
+    if pages > 1 and not whole:
+        return False
+
+    def outermost(top: Part, tags: tuple[str, ...]) -> list[Part]:
+        found, stack = [], [y for g in reversed(top.groups) for y in reversed(g.parts)]
+        while stack:
+            x = stack.pop()
+            if x.out:
+                continue
+            if x.tag in tags:
+                found.append(x)
+            else:
+                stack += [y for g in reversed(x.groups) for y in reversed(g.parts)]
+        return found
+
+    centres = []
+    for x in outermost(root, CENTRES):
         # An article inside main says more than main, if it holds most of its text.
-        deeper, stack = [], [(y, path) for g in x["g"] for y in g["q"]]
-        while x["t"] == "main" and stack:
-            y, p = stack.pop()
-            if not y["x"]:
-                if y["t"] == "article":
-                    deeper.append((y, [*p, y["l"]]))
-                else:
-                    stack += [(z, [*p, y["l"]]) for g in y["g"] for z in g["q"]]
-        inner += [p for _, p in deeper] if deeper and 2 * sum(mass(y) for y, _ in deeper) >= mass(x) else [path]
-    if inner:
-        return inner
-    at, path, whole = w, [w["l"]], mass(w)
-    while whole:
-        down = [(mass(y), y) for g in at["g"] for y in g["q"] if not y["x"] and y["t"] not in ("p", "h1", "h2", "h3", "li", "blockquote", "pre", "td")]
-        if not down:
-            break
-        most, best = max(down, key=lambda p: p[0])
-        if 10 * most < 8 * whole:
-            break
-        at, path = best, [*path, best["l"]]
-    return [path]
+        inner = outermost(x, ("article",)) if x.tag == "main" else []
+        centres += inner if inner and 2 * sum(mass[id(y)] for y in inner) >= mass[id(x)] else [x]
+    if pages > 1 and 2 * sum(mass[id(x)] for x in centres) < whole:
+        centres = []
+    if not centres:
+        at = root
+        while whole:
+            down = [y for g in at.groups for y in g.parts if not y.out and y.tag not in ITEMS and y.tag not in ("blockquote", "pre")]
+            best = max(down, key=lambda y: mass[id(y)], default=None)
+            if best is None or 10 * mass[id(best)] < 8 * whole:
+                break
+            at = best
+        centres = [at]
+    for x in centres:
+        x.mark = ARTICLE
+        stack = [(y, g.repeated) for g in x.groups for y in g.parts] if pages > 2 else []
+        while stack:
+            y, repeated = stack.pop()
+            often = y.n > 2 and 2 * y.n >= pages
+            many = repeated or any(g.repeated for g in y.groups)
+            if often and (fixed[id(y)] and chars[id(y)] + links[id(y)] and y.tag not in HEADINGS or many and links[id(y)] > 9 * chars[id(y)]):
+                y.mark = TEMPLATE
+            else:
+                stack += [(z, g.repeated) for g in y.groups for z in g.parts]
+    return True
+
+
+def rule(root: Part) -> str | None:
+    """What matching needs of a host's expression: marked parts, those above them and what stands beside these."""
+    if not decide(root):
+        return None
+    order, wanted = preorder(root), set()
+    for w in reversed(order):
+        if w.mark or any(id(y) in wanted for g in w.groups for y in g.parts):
+            wanted.add(id(w))
+    for w in order:
+        if id(w) not in wanted or not any(id(y) in wanted for g in w.groups for y in g.parts):
+            w.groups = []
+        w.slot = ""
+    return dump(root)
+
+
+def match(wrapper: Part, page: Part) -> None:
+    """Marks the elements of a page that meet marked parts of the wrapper."""
+    stack = [(wrapper, page)]
+    while stack:
+        w, p = stack.pop()
+        for node in p.nodes if w.mark else ():
+            node.mark = w.mark
+        if w.groups and w.mark != TEMPLATE:
+            for i, j in align(w.groups, p.groups):
+                if i is not None and j is not None:
+                    stack += zip(w.groups[i].parts, p.groups[j].parts)
 
 
 def blocks_of(roots: list[tuple[Node, bool]]) -> str:
@@ -350,31 +507,39 @@ def blocks_of(roots: list[tuple[Node, bool]]) -> str:
                 text.append(item[0])
             else:
                 flush()
-                if not item.out and (article or item.tag != "header"):
+                if not item.out and item.mark != TEMPLATE and (article or item.tag != "header"):
                     stack.append(iter(item.items))
         flush()
     return "\n\n".join(out)
 
 
-def extract(page: str, paths: list[list[str]] | None) -> str:
-    """The article's text by the host's paths; where a page has none of them, by its own wrapper."""
+def extract(page: str, wrapper: Part | None) -> tuple[str, bool]:
+    """The article's text by the host's expression, else by the page's own; and whether the host's decided."""
     root = parse(page)
 
-    def at(paths) -> list[tuple[Node, bool]]:
-        wanted, found = {tuple(p) for p in paths}, []
-        heads = {p[:i] for p in wanted for i in range(1, len(p) + 1)}
-        stack = [(root, (root.label,))]
+    def text() -> str:
+        found, stack = [], [root]
         while stack:
-            node, path = stack.pop()
-            if path in wanted:
+            node = stack.pop()
+            if node.mark == ARTICLE:
                 found.append((node, node.tag in CENTRES))
-            elif path in heads and not node.out:
-                stack += [(x, (*path, x.label)) for x in reversed(node.items) if isinstance(x, Node)]
-        return found
-
-    got = at(paths) if paths else []
-    text = blocks_of(got)
-    return text if text else blocks_of(at(centres(shape(root))))
+            elif not node.out:
+                stack += [x for x in reversed(node.items) if isinstance(x, Node)]
+        return blocks_of(found)
+
+    own = shape(root)
+    if wrapper:
+        match(wrapper, own)
+        if got := text():
+            return got, True
+    for w in preorder(own):
+        for node in w.nodes:
+            node.mark = 0
+    decide(own)
+    for w in preorder(own):
+        for node in w.nodes:
+            node.mark = w.mark
+    return text(), False
 
 
 def host_of(url: str | None) -> str:
@@ -386,35 +551,43 @@ def host_of(url: str | None) -> str:
 
 #: Hosts whose wrappers a task holds before it hands them on.
 HELD = 2000
+#: Rules of hosts that a task remembers in the form that matching needs.
+RULES = 500
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """host, wrapper (JSON), pages."""
+    """host, wrapper (JSON), pages; of pages whose url names a host."""
 
     def fold_pages(batches):
-        held: dict[str, tuple[dict, int]] = {}
+        held: dict[str, Part] = {}
 
         def out():
-            c = list(zip(*((h, json.dumps(w), n) for h, (w, n) in held.items())))
+            c = list(zip(*((h, dump(w), w.n) for h, w in held.items())))
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array(c[0]), pa.array(c[1]), pa.array(c[2], pa.int64())], names=["host", "wrapper", "pages"])
 
         for b in batches:
             for url, page in zip(b.column(0), b.column(1)):
-                host, w = host_of(url.as_py()), shape(parse(page.as_py() or ""))
-                old = held.get(host)
-                held[host] = (w, 1) if old is None else (merge(old[0], w, True), old[1] + 1)
+                if not (host := host_of(url.as_py())):
+                    continue
+                w = shape(parse(page.as_py() or ""))
+                for x in preorder(w):
+                    x.nodes = []
+                if host in held:
+                    merge(held[host], w)
+                else:
+                    held[host] = w
                 if len(held) >= HELD:
                     yield out()
         if held:
             yield out()
 
     def join(table: pa.Table) -> pa.Table:
-        rows = sorted(table.select(["host", "wrapper", "pages"]).to_pylist(), key=lambda r: r["wrapper"])
-        w = json.loads(rows[0]["wrapper"])
-        for r in rows[1:]:
-            w = merge(w, json.loads(r["wrapper"]), True)
-        return pa.table({"host": [rows[0]["host"]], "wrapper": [json.dumps(w)], "pages": pa.array([sum(r["pages"] for r in rows)], pa.int64())})
+        first, *more = sorted(table.column("wrapper").to_pylist())
+        w = load(first)
+        for x in more:
+            merge(w, load(x))
+        return pa.table({"host": table.column("host")[:1], "wrapper": [dump(w)], "pages": pa.array([w.n], pa.int64())})
 
     schema = "host string, wrapper string, pages long"
     parts = pages.select(F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(fold_pages, schema).withColumn("salt", F.spark_partition_id() % 32)
@@ -423,31 +596,42 @@ def wrappers(pages: DataFrame) -> DataFrame:
 
 
 def main_text(pages: DataFrame) -> DataFrame:
-    """One row per row of pages: page_id, url, text, n_chars.
+    """One row per row of pages: page_id, url, text, n_chars, by_host (whether the host's expression found the text).
 
-    A null or empty html gives an empty text. A null url belongs to the host without a name. Repeated rows give equal
-    rows, an empty table none; other columns are not looked at.
+    A null or empty html gives an empty text. Pages whose url is null or names no host stand alone. Repeated rows give
+    equal rows, an empty table none; other columns are not looked at. Which of several equally good alignments a host's
+    expression has may depend on the order of its pages.
     """
 
-    def paths(batches):
+    def rules(batches):
         for b in batches:
-            got = [json.dumps(centres(json.loads(w.as_py()))) for w in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got)], names=["of", "paths"])
+            got = [(h, r) for h, w in zip(b.column(0), b.column(1)) if (r := rule(load(w.as_py())))]
+            yield pa.RecordBatch.from_arrays([pa.array([h.as_py() for h, _ in got], pa.string()), pa.array([r for _, r in got], pa.string())], names=["of", "rule"])
 
     def cut(batches):
+        known: dict[str, Part] = {}
         for b in batches:
-            texts = [extract(h.as_py() or "", json.loads(p.as_py()) if p.as_py() else None) for h, p in zip(b.column(2), b.column(3))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
+            got = []
+            for h, r in zip(b.column(2), b.column(3)):
+                r = r.as_py()
+                if r is not None and r not in known:
+                    if len(known) >= RULES:
+                        known.clear()
+                    known[r] = load(r)
+                got.append(extract(h.as_py() or "", known.get(r)))
+            texts = [t for t, _ in got]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64()), pa.array([x for _, x in got], pa.bool_())], names=["page_id", "url", "text", "n_chars", "by_host"])
 
     def hosts(batches):
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([host_of(u.as_py()) for u in b.column(1)], pa.string())], names=["page_id", "url", "html", "host"])
 
-    known = Tables(pages.sparkSession, "html").write(wrappers(pages).select("host", "wrapper").mapInArrow(paths, "of string, paths string"), "paths")
+    several = wrappers(pages).where("pages > 1").select("host", "wrapper")
+    known = Tables(pages.sparkSession, "html").write(several.mapInArrow(rules, "of string, rule string"), "rules")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     rows = rows.mapInArrow(hosts, "page_id long, url string, html string, host string")
-    rows = rows.join(known, F.col("host") == F.col("of"), "left").select("page_id", "url", "html", "paths")
-    return rows.mapInArrow(cut, "page_id long, url string, text string, n_chars long")
+    rows = rows.join(known, F.col("host") == F.col("of"), "left").select("page_id", "url", "html", "rule")
+    return rows.mapInArrow(cut, "page_id long, url string, text string, n_chars long, by_host boolean")
 
 
 def op2_html_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
