@@ -4,9 +4,9 @@ Writing: of the pages with equal payloads the one with the largest page_id is th
 refer to it. Each task sorts its own records by (URL key, time, page) and writes archives of bounded size with Spark's
 committer, so an archive is a locally sorted run of captures.
 
-Index: the archives are read back. Splitters cut every run into slices; the slices of one range of keys meet in one task,
-where a loser tree merges them. Ranges follow one another, so their captures are the global order by URL key and time.
-Keys end in the page, so even a URL with very many captures spreads over ranges.
+Index: the archives are read back. A shuffle by ranges of keys cuts every run into slices; the slices of one range meet in
+one task, where a loser tree merges them. Ranges follow one another, so their captures are the global order by URL key and
+time. Keys end in the page and the record's place, so even a URL with very many captures spreads over ranges.
 """
 
 from __future__ import annotations
@@ -19,15 +19,16 @@ from urllib.parse import urlsplit
 
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Tables, new_path
 
 EPOCH = datetime(2020, 1, 1, tzinfo=timezone.utc)
-FILE_BYTES = 24 << 20
+FILE_BYTES = 64 << 20
 #: Captures for each range of the merge.
-RANGE_ROWS = 50_000
+RANGE_ROWS = 100_000
 RECORD_URN = "urn:sparkforge:page:"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -51,7 +52,7 @@ def url_key(url: str | None) -> str:
 def captured(page_id: int | None) -> str:
     """The table has no capture time; page_id counts seconds."""
     seconds = max(-60_000_000_000, min(250_000_000_000, page_id or 0))
-    return (EPOCH + timedelta(seconds=seconds)).strftime("%Y-%m-%dT%H:%M:%SZ")
+    return (EPOCH + timedelta(seconds=seconds)).isoformat().replace("+00:00", "Z")
 
 
 def sha1_base32(payload: bytes) -> str:
@@ -118,7 +119,8 @@ def write_archives(pages: DataFrame, path: str, least: int = 0, file_bytes: int
             yield pa.RecordBatch.from_arrays([pa.array(got, pa.binary())], names=["record"])
 
     key = F.pandas_udf(keys, "string")
-    rows = rows.withColumn("key", key("url")).sortWithinPartitions("key", "page_id").drop("key")
+    # In the order of capture times: a row without an id has that of id 0.
+    rows = rows.withColumn("key", key("url")).sortWithinPartitions("key", F.coalesce("page_id", F.lit(0)), "page_id").drop("key")
     out = rows.mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("value"))
     out.write.option("lineSep", "\n").option("maxRecordsPerFile", most).text(path)
 
@@ -167,17 +169,12 @@ def merge_runs(runs: list) -> list:
             return heads[b] is None and (heads[a] is not None or a < b)
         return heads[a] < heads[b] or heads[a] == heads[b] and a < b
 
-    tree = [0] * k
-
-    def play(node: int) -> int:
-        if node >= k:
-            return node - k
-        a, b = play(2 * node), play(2 * node + 1)
-        win, lose = (a, b) if beats(a, b) else (b, a)
-        tree[node] = lose
-        return win
-
-    winner, out = play(1), []
+    # Leaves are the nodes from k on; matches are played from the last inner node up.
+    tree, won = [0] * k, [*[0] * k, *range(k)]
+    for node in range(k - 1, 0, -1):
+        a, b = won[2 * node], won[2 * node + 1]
+        won[node], tree[node] = (a, b) if beats(a, b) else (b, a)
+    winner, out = won[1], []
     while heads[winner] is not None:
         out.append(heads[winner])
         heads[winner] = next(iters[winner], None)
@@ -189,52 +186,34 @@ def merge_runs(runs: list) -> list:
     return out
 
 
-def merged_index(captures: DataFrame, tables: Tables) -> DataFrame:
+def merged_index(captures: DataFrame, tables: Tables, range_rows: int = RANGE_ROWS) -> DataFrame:
     """captures in global order: their columns and capture_seq, the place in that order (from 0)."""
-    key = F.struct(F.coalesce("url_key", F.lit("")), F.coalesce("timestamp", F.lit("")), F.coalesce("page_id", F.lit(-(1 << 63))))
-    total = captures.count()
-    parts = max(1, -(-total // RANGE_ROWS))
-    cuts = []
-    if parts > 1:
-        # A sample by hash of about 64 keys for each range sets the splitters; it decides sizes only, not results.
-        share = max(1, total // (64 * parts))
-        found = sorted(tuple(r.k) for r in captures.where(F.pmod(F.xxhash64("page_id", "url", "offset"), F.lit(share)) == 0).select(key.alias("k")).collect())
-        cuts = [found[i * len(found) // parts] for i in range(1, parts)] if found else []
-    bound = F.array(*(F.struct(F.lit(a), F.lit(b), F.lit(c).cast("long")) for a, b, c in cuts)) if cuts else None
-    place = F.size(F.filter(bound, lambda c: c <= key)) if cuts else F.lit(0)
-    names = [c for c in captures.columns]
-    schema = captures.schema
-
-    def slices(batches):
-        """Packs each run's rows of a range; rows of an archive come in order."""
-        for b in batches:
-            rows = b.to_pandas()
-            for (part, run), g in rows.groupby(["part", "archive"], sort=False):
-                t = pa.Table.from_pandas(g[names], schema=arrow, preserve_index=False)
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, arrow) as w:
-                    w.write_table(t)
-                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([run]), pa.array([int(g["offset"].iloc[0])], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["part", "run", "at", "rows"])
-
-    def merge(table: pa.Table) -> pa.Table:
-        runs, pdf = [], table.to_pandas().sort_values(["run", "at"])
-        for _, g in pdf.groupby("run"):
-            rows = pa.concat_tables([pa.ipc.open_stream(x).read_all() for x in g["rows"]]).to_pylist()
-            # Archive and offset make keys unique; the row itself is never compared.
-            run = [(r["url_key"] or "", r["timestamp"] or "", -(1 << 63) if r["page_id"] is None else r["page_id"], r["archive"], r["offset"], r) for r in rows]
-            if any(x[:5] > y[:5] for x, y in zip(run, run[1:])):
-                raise ValueError("a run is not in order")
-            runs.append(run)
-        out = pa.Table.from_pylist([x[5] for x in merge_runs(runs)], schema=arrow)
-        return out.append_column("part", pa.array([int(pdf["part"].iloc[0])] * len(out), pa.int32())).append_column("rank", pa.array(range(len(out)), pa.int64()))
+    least = -(1 << 63)
+    names = captures.columns
+    order = [F.coalesce("url_key", F.lit("")), F.coalesce("timestamp", F.lit("")), F.coalesce("page_id", F.lit(least)), F.col("archive"), F.col("offset")]
+
+    def merge(batches):
+        """Merges the slices of one range; a slice is what it holds of an archive, in the order of the archive."""
+        table = pa.Table.from_batches(batches, schema=arrow).sort_by([("archive", "ascending"), ("offset", "ascending")])
+        if not len(table):
+            return
+        columns = [table.column(c).to_pylist() for c in ("url_key", "timestamp", "page_id", "archive", "offset")]
+        keys = [(u or "", t or "", least if p is None else p, a, o, i) for i, (u, t, p, a, o) in enumerate(zip(*columns))]
+        cuts = [0, *(i for i in range(1, len(keys)) if keys[i][3] != keys[i - 1][3]), len(keys)]
+        runs = [keys[a:b] for a, b in zip(cuts, cuts[1:])]
+        if any(x > y for run in runs for x, y in zip(run, run[1:])):
+            raise ValueError("a run is not in order")
+        out = table.take(pa.array([x[5] for x in merge_runs(runs)], pa.int64()))
+        out = out.append_column("part", pa.array([TaskContext.get().partitionId()] * len(out), pa.int32()))
+        yield from out.append_column("rank", pa.array(range(len(out)), pa.int64())).combine_chunks().to_batches(10_000)
 
     kinds = {"string": pa.string(), "bigint": pa.int64()}
-    arrow = pa.schema([(f.name, kinds[f.dataType.simpleString()]) for f in schema])
-
-    cut = captures.withColumn("part", place.cast("int")).mapInArrow(slices, "part int, run string, at long, rows binary")
-    whole = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema) + ", part int, rank long"
-    out = tables.write(cut.groupBy("part").applyInArrow(merge, whole), "merged")
+    arrow = pa.schema([(f.name, kinds[f.dataType.simpleString()]) for f in captures.schema])
+    parts = max(1, -(-captures.count() // range_rows))
+    whole = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in captures.schema) + ", part int, rank long"
+    out = tables.write(captures.select(*names).repartitionByRange(parts, *order).mapInArrow(merge, whole), "merged")
     tables.only(out)
+    # One row for each range.
     ends = out.groupBy("part").agg(F.count("*").alias("n"))
     ends = ends.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
     return out.join(ends, "part").withColumn("capture_seq", F.col("before") + F.col("rank")).drop("part", "rank", "before")

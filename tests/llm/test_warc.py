@@ -53,18 +53,34 @@ def test_least_size(spark):
     assert sorted((r.page_id, r.record_type) for r in warc(frame(spark, rows), least=5).collect()) == [(1, "response"), (2, "response"), (3, "revisit"), (4, "response")]
 
 
-def test_merge_over_many_ranges(spark, monkeypatch):
-    import sparkforge.llm.op03_warc as m
-
-    monkeypatch.setattr(m, "RANGE_ROWS", 20)
+def test_merge_over_many_ranges(spark):
     rows = [(i, "http://hot.example/" if i % 3 else f"http://c.example/{i}", f"<p>{i}</p>") for i in range(400)]
     path = new_path(spark, "test")
     write_archives(frame(spark, rows).repartition(4), path, file_bytes=20_000)
-    out = merged_index(read_archives(spark, path), Tables(spark, "test")).collect()
+    out = merged_index(read_archives(spark, path), Tables(spark, "test"), range_rows=20).collect()
     ordered = [(r.url_key, r.timestamp) for r in sorted(out, key=lambda r: r.capture_seq)]
     assert len(out) == 400 and ordered == sorted(ordered) and sorted(r.capture_seq for r in out) == list(range(400))
 
 
+def test_any_ids_stay_as_they_are(spark):
+    """Ids beyond the whole numbers of a double, negative ones and nulls, all in one task."""
+    ids = [9007199254740993, 9007199254740983, None, -5, 0, -1, -70_000_000_000, -(1 << 63), (1 << 63) - 1, -62_000_000_000, 3]
+    rows = [(i, "http://h.example/", h) for i in ids for h in ("same", f"own {i}")]
+    out = warc(frame(spark, rows).coalesce(1)).collect()
+    want = {(i, "response" if h != "same" or i == (1 << 63) - 1 else "revisit", (1 << 63) - 1 if h == "same" and i != (1 << 63) - 1 else None) for i, _, h in rows}
+    assert len(out) == len(rows) and {(r.page_id, r.record_type, r.refers_to) for r in out} == want
+    ordered = sorted(out, key=lambda r: r.capture_seq)
+    assert [r.timestamp for r in ordered] == sorted(r.timestamp for r in out) and all(len(r.timestamp) == 14 for r in out)
+
+
+def test_one_page_longer_than_an_archive(spark):
+    rows = [(i, f"http://h.example/{i}", "x" * 3_000_000 if i == 7 else f"<p>{i}</p>") for i in range(40)]
+    path = new_path(spark, "test")
+    write_archives(frame(spark, rows).repartition(2), path, file_bytes=50_000)
+    out = {r.page_id: r.payload_bytes for r in read_archives(spark, path).collect()}
+    assert len(out) == 40 and out[7] == 3_000_000
+
+
 def test_edges(spark):
     rows = [(None, None, None), (None, "u", "x"), (5, "u", "x"), (5, "u", "x"), (7, "a b\nc", "y")]
     out = warc(frame(spark, rows)).collect()
