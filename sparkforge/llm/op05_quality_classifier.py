@@ -173,7 +173,18 @@ def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, thr
     spark = docs.sparkSession
     rows = Tables(spark, "classifier").write(feature_table(docs), "features")
     known = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(F.col("quality").cast("int")).alias("y"))
-    train = rows.join(known, "doc_id").where(~held_out()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select("x", "y").collect()
+    known = known.where(~held_out()).withColumn("h", F.xxhash64("doc_id"))
+
+    def first(most: int) -> list:
+        return rows.join(known.where(F.col("h") <= most), "doc_id").orderBy("h", "doc_id").limit(sample).select("x", "y").collect()
+
+    # The labels with the lowest hashes, one and a half times what is wanted, so that no task sends more than its share of
+    # these; all of them only if too many have no document.
+    n = known.count()
+    share = min(1.0, 1.5 * sample / n) if n else 1.0
+    train = first(min((1 << 63) - 1, int(share * (1 << 64)) - (1 << 63)))
+    if len(train) < sample and share < 1:
+        train = first((1 << 63) - 1)
     model = Model().fit(np.array([r.x for r in train]), np.array([r.y for r in train]))
     shipped = spark.sparkContext.broadcast(vars(model))
 

@@ -125,6 +125,23 @@ def test_held_out_accuracy(spark, sf):
     assert len(out) > 40 and sum(r.predicted == r.quality for r in out) / len(out) > 0.95
 
 
+def test_sample_is_the_first_by_hash(spark, monkeypatch):
+    """Whatever share of the labels is looked at first, also if most of them have no document."""
+    import sparkforge.llm.op05_quality_classifier as m
+
+    docs = frame(spark, [(i, f"word{i} " * (i % 7 + 1), "en", "a") for i in range(400)])
+    seen = []
+    fit = Model.fit
+    monkeypatch.setattr(m.Model, "fit", lambda self, x, y: seen.append(sorted(map(tuple, np.round(x, 9)))) or fit(self, x, y))
+    for ids in (range(400), [*range(30), *range(10_000, 14_000)]):
+        labels = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, quality int")
+        quality_scores(docs, labels, sample=20)
+        seen_small = seen.pop()
+        order = docs.join(labels, "doc_id").where(~m.held_out()).selectExpr("doc_id", "xxhash64(doc_id) AS h").orderBy("h").limit(20)
+        want = m.feature_table(docs).join(order, "doc_id").select("x").collect()
+        assert seen_small == sorted(map(tuple, np.round([r.x for r in want], 9)))
+
+
 def test_scores_edges(spark):
     labels = spark.createDataFrame([(1, 1), (2, 0), (None, 1), (3, None)], "doc_id long, quality int")
     out = quality_scores(frame(spark, [(1, None, None, None), (2, "", "en", "a"), (None, "x", "en", "a"), (2, "", "en", "a")]), labels).collect()
