@@ -173,6 +173,19 @@ def verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int, tables: Ta
     return out
 
 
+def tiles(few: DataFrame, whole: DataFrame, keys: list[str], pairs: int = 64) -> DataFrame:
+    """(few, whole) for all blocks with equal keys, dealt in tiles of about `pairs` pairs, so that no key is one task.
+
+    few and whole have the keys, `part` (the number of the block) and the block. The blocks of `few` are repeated for
+    every column of tiles and those of `whole` for every row, not for every pair.
+    """
+    f, w = (x.groupBy(*keys).agg(F.count("*").alias(n)) for x, n in ((few, "f"), (whole, "w")))
+    n = f.join(w, keys).select(*keys, F.least("w", F.ceil(F.col("f") * F.col("w") / pairs)).alias("columns"), F.ceil(F.col("f") / pairs).alias("rows"))
+    left = few.join(n, keys).select(*keys, "few", F.pmod("part", "rows").alias("row"), F.explode(F.sequence(F.lit(0), F.col("columns") - 1)).alias("column"))
+    right = whole.join(n, keys).select(*keys, "whole", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("row"), F.pmod("part", "columns").alias("column"))
+    return left.join(right, [*keys, "row", "column"]).select("few", "whole")
+
+
 def block_links(side: DataFrame, near: DataFrame, docs: DataFrame, n: int, percent: int, tables: Tables, rows: int) -> tuple[DataFrame, DataFrame]:
     """Links across components inside a chain, and the chains: (a, b), (doc_id, chain).
 
@@ -201,7 +214,7 @@ def block_links(side: DataFrame, near: DataFrame, docs: DataFrame, n: int, perce
     full = tables.write(full.select("chain", "size", "part", "doc_id", "root", "main", "shingles"), "full")
     pack = F.collect_list(F.struct("doc_id", "root", "shingles"))
     few = full.where("root <> main").groupBy("chain", "size", "part").agg(pack.alias("few"))
-    few = few.select("chain", F.explode(F.array(*(F.col("size") + i for i in (-1, 0, 1)))).alias("size"), "few")
+    few = few.select("chain", F.explode(F.array(*(F.col("size") + i for i in (-1, 0, 1)))).alias("size"), "part", "few")
     whole = full.groupBy("chain", "size", "part").agg(pack.alias("whole"))
 
     def run(batches):
@@ -226,7 +239,7 @@ def block_links(side: DataFrame, near: DataFrame, docs: DataFrame, n: int, perce
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["a", "b"])
 
-    return tables.write(few.join(whole, ["chain", "size"]).select("few", "whole").mapInArrow(run, "a long, b long"), "block-links"), chains
+    return tables.write(tiles(few, whole, ["chain", "size"]).mapInArrow(run, "a long, b long"), "block-links"), chains
 
 
 def block_agreeing(side: DataFrame, reps: DataFrame, least: int, percent: int) -> DataFrame:
@@ -239,8 +252,8 @@ def block_agreeing(side: DataFrame, reps: DataFrame, least: int, percent: int) -
     parts = side.groupBy("bucket").agg(F.ceil(F.count("*") / 64).alias("parts"))
     rows = rows.join(parts, "bucket").withColumn("part", F.pmod(F.xxhash64("doc_id"), "parts"))
     pack = F.collect_list(F.struct("doc_id", "n_shingles", "root", "chain", "sig"))
-    few = rows.where("root <> main").groupBy("bucket", "part").agg(pack.alias("few")).drop("part")
-    whole = rows.groupBy("bucket", "part").agg(pack.alias("whole")).drop("part")
+    few = rows.where("root <> main").groupBy("bucket", "part").agg(pack.alias("few"))
+    whole = rows.groupBy("bucket", "part").agg(pack.alias("whole"))
 
     def run(batches):
         for b in batches:
@@ -255,7 +268,7 @@ def block_agreeing(side: DataFrame, reps: DataFrame, least: int, percent: int) -
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*out)], names=["a", "b", "est"])
 
-    return few.join(whole, "bucket").select("few", "whole").mapInArrow(run, "a long, b long, est long")
+    return tiles(few, whole, ["bucket"]).mapInArrow(run, "a long, b long, est long")
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:

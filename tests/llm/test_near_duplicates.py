@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkforge.llm.common import Tables, components
-from sparkforge.llm.op10_minhash_dedup import near_duplicates
+from sparkforge.llm.op10_minhash_dedup import near_duplicates, tiles
 
 WORDS = [a + b for a in ("ka", "lo", "mi", "ne", "su", "ta", "ri", "po") for b in ("n", "r", "s", "l", "m", "t", "x", "z", "ra", "ko")]
 CLASHING = "doc_id long, text string, lang string, source string, key string, sig int, bands string, root long, chain long"
@@ -68,6 +68,23 @@ def test_one_large_group_of_copies_with_edits(spark):
     assert got(near_duplicates(frame(spark, rows), 2, 80)) == brute(rows, 2, 80)
 
 
+@pytest.mark.parametrize("n", [2, 5])
+def test_documents_same_as_brute_force(spark, sf, n):
+    """All pairs of the documents that share a shingle, by exact Jaccard: no link is lost and none is made up."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang", "source")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    assert got(near_duplicates(docs, n, 80)) == brute(rows, n, 80)
+
+
+def test_tiles_hold_every_pair_once(spark):
+    few = [(k, p, [k, p]) for k, f in ((1, 30), (2, 1), (3, 2)) for p in range(f)]
+    whole = [(k, p, [k, p]) for k, w in ((1, 50), (2, 9), (4, 5)) for p in range(w)]
+    out = tiles(spark.createDataFrame(few, "k long, part long, few array<long>"), spark.createDataFrame(whole, "k long, part long, whole array<long>"), ["k"])
+    pairs = [(*r.few, r.whole[1]) for r in out.collect()]
+    assert sorted(pairs) == sorted((k, p, q) for k, p, _ in few for j, q, _ in whole if j == k)
+    assert max(r["count"] for r in out.groupBy("few").count().collect()) == 50
+
+
 def test_edges(spark):
     rng = random.Random(1)
     long = " ".join(rng.choice(WORDS) for _ in range(30_000))
