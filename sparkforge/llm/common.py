@@ -115,10 +115,10 @@ def shingles(hashes: np.ndarray, n: int) -> np.ndarray:
     n = min(n, len(hashes))
     m = len(hashes) - n + 1
     out = np.full(m, np.uint64(n))
-    with np.errstate(over="ignore"):
-        for i in range(n):
-            out = mix(out * MIX1 + hashes[i : i + m])
-    return out
+    for i in range(n):
+        out *= MIX1
+        out += hashes[i : i + m]
+    return mix(out)
 
 
 def as_bytes(column: str = "text"):

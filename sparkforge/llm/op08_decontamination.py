@@ -1,9 +1,10 @@
 """Benchmark decontamination that also finds re-parameterised questions.
 
 Words become canonical: numbers, units of measure and names turn into typed placeholders, the rest is taken in lower case
-without outer punctuation. A capital at the start of a sentence is read both as a word and as a name. Windows of N canonical words of documents and items are joined by hash. A window counts only
-where at least half of its words are not placeholders. Windows of a document and an item at one distance form an
-alignment; in it every slot value of the item must stand for one value throughout (a name for one name, a number for one
+without outer punctuation. A capital at the start of a sentence is read both as a word and as a name. Windows of N
+canonical words of documents and items are joined by hash. A window counts only where at least half of its words are not
+placeholders; an item without such a window is sought by its words as they are, and one of fewer than N words by a window
+of its own length. Windows of a document and an item at one distance form an alignment; in it every slot value of the item must stand for one value throughout (a name for one name, a number for one
 number), or the alignment is dropped. A document is contaminated by an item if consistent alignments cover at least
 `share` of the item's windows.
 
@@ -18,7 +19,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Tables, as_bytes, release, shingles
@@ -34,57 +35,51 @@ HOLDERS = ("", "\x00number", "\x00unit", "\x00name")
 HOLDER = np.array([0, *(xxhash.xxh64_intdigest(h) for h in HOLDERS[1:])], np.uint64)
 NUMERIC = re.compile(r"[+-]?[$€£]?\d+(?:[.,:/]\d+)*(?:%|st|nd|rd|th)?|[$€£]\d+(?:[.,]\d+)*")
 OUTER = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in "%$") + "“”‘’«»…–—"
-
-
-class Canon:
-    """Index of each word into tables of its hash, kind, and whether a sentence ends with it."""
-
-    LIMIT = 200_000
-
-    def __init__(self):
-        self.reset()
-
-    def reset(self):
-        self.known: dict[bytes, int] = {}
-        self.table = np.zeros((1024, 4), np.uint64)
-
-    def add(self, raw: bytes) -> int:
-        word = raw.decode("utf-8", "replace")
-        core = word.strip(OUTER)
-        kind = LITERAL
-        if NUMERIC.fullmatch(core):
-            kind = NUMBER
-        elif core.lower() in UNITS:
-            kind = UNIT
-        elif core[:1].isupper() and core[1:].islower():
-            kind = NAME
-        i = len(self.known)
-        if i >= len(self.table):
-            self.table = np.vstack([self.table, np.zeros_like(self.table)])
-        self.table[i] = (xxhash.xxh64_intdigest((core.lower() or word).encode("utf-8", "replace")), kind, word.rstrip("\"')]”’»")[-1:] in ".!?:", not core)
-        self.known[raw] = i
-        return i
+OUTER_BYTES, UNIT_BYTES = OUTER.encode("ascii", "ignore"), frozenset(u.encode() for u in UNITS)
+
+
+class Canon(dict):
+    """Value of each word: its hash, with its kind and the flags in the low bits; remembered up to a bound on entries."""
+
+    LIMIT = 400_000
+    KIND, ENDS, EMPTY, FLAGS = np.uint64(3), np.uint64(4), np.uint64(8), np.uint64(15)
+
+    def __missing__(self, raw: bytes) -> int:
+        if len(self) >= self.LIMIT:
+            self.clear()
+        # Words of ASCII, most of them, are looked at as bytes.
+        word, outer, units, closing, stops = (raw, OUTER_BYTES, UNIT_BYTES, b"\"')]", b".!?:") if raw.isascii() else (raw.decode("utf-8", "replace"), OUTER, UNITS, "\"')]”’»", ".!?:")
+        flags, core = LITERAL, word.strip(outer)
+        low = core.lower()
+        if low in units:
+            flags = UNIT
+        elif core[:1].isupper():
+            flags = NAME if core[1:].islower() else LITERAL
+        elif core and not core.isalpha() and NUMERIC.fullmatch(core if word is not raw else core.decode()):
+            flags = NUMBER
+        # Whether a sentence ends with the word, and whether it has neither letters nor digits.
+        if not word[-1:].isalnum() and word.rstrip(closing)[-1:] in stops:
+            flags |= 4
+        low = low or word
+        v = self[raw] = xxhash.xxh64_intdigest(low if word is raw else low.encode("utf-8", "replace")) & ~15 | flags | (0 if core else 8)
+        return v
 
     def of(self, text: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Words that have letters or digits, canonical hashes, kinds, hashes of the words, and which open a sentence like a name."""
         words = text.split()
-        if len(self.known) > self.LIMIT:
-            self.reset()
-        known = self.known
-        ids = np.fromiter((known[w] if w in known else self.add(w) for w in words), np.int64, len(words))
-        t = self.table[ids]
-        word_hash, kind = t[:, 0], t[:, 1].astype(np.int8)
+        t = np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+        word_hash, kind = t & ~self.FLAGS, (t & self.KIND).astype(np.int8)
         # A capital is a name only inside a sentence; a unit only after a number.
         opens = np.zeros(len(words), bool)
         if len(words):
-            starts = np.concatenate([[True], t[:-1, 2] > 0])
+            starts = np.concatenate([[True], (t[:-1] & self.ENDS) > 0])
             opens = (kind == NAME) & starts
             kind[opens] = LITERAL
             after = np.concatenate([[False], kind[:-1] == NUMBER])
             kind[(kind == UNIT) & ~after] = LITERAL
         h = np.where(kind == LITERAL, word_hash, HOLDER[kind])
-        if len(words) and t[:, 3].any():
-            on = t[:, 3] == 0
+        on = (t & self.EMPTY) == 0
+        if not on.all():
             h, kind, word_hash, opens, words = h[on], kind[on], word_hash[on], opens[on], [w for w, k in zip(words, on) if k]
         return words, h, kind, word_hash, opens
 
@@ -180,7 +175,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = N, share: floa
 
     changed_slots: the document has other slot values than the item. Null, empty or wordless texts and items match
     nothing; an item of fewer than n words is one window, sought at any place of a document, and one without a window that
-    is half literal is sought by its words as they are. Documents or items that repeat an id count as one. Empty tables
+    is half literal is sought by its words as they are. Documents or items that repeat an id count as one, whatever the length of a text. Empty tables
     give no rows; other columns are not looked at.
     """
     spark = docs.sparkSession
@@ -192,7 +187,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = N, share: floa
     sizes, exact = (tuple(sorted(k for k, e in lengths if e == x)) for x in (False, True))
     found = canonical_windows(docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), as_bytes()), n, bits, sizes or (n,), exact)
     found = tables.write(found.withColumnsRenamed({"id": "doc_id"}), "windows")
-    hits = found.join(items, "hash").where((F.col("kinds") == F.col("item_kinds")) & (F.col("exact") == F.col("item_exact")) & (F.col("size") == F.col("item_size")))
+    # A document that covers `share` of an item's windows has one at least of any set of more than the rest. The items'
+    # rarest windows name the pairs, so a window that many items and many documents have makes no pair by itself.
+    common = items.groupBy("hash").agg(F.count_distinct("item_id").alias("common"))
+    rare = items.join(common, "hash").groupBy("item_id", "item_at").agg(F.max("common").alias("common"))
+    rare = rare.withColumn("i", F.row_number().over(Window.partitionBy("item_id").orderBy("common", "item_at"))).withColumn("n", F.count("*").over(Window.partitionBy("item_id")))
+    rare = rare.where(F.col("i") <= F.col("n") - F.ceil(F.col("n") * share - 1e-9) + 1).select("item_id", "item_at")
+    leads = items.join(rare, ["item_id", "item_at"]).select("hash", "item_id").distinct()
+    pairs = tables.write(found.join(leads, "hash").select("doc_id", "item_id").distinct(), "pairs")
+    hits = pairs.join(items, "item_id").join(found, ["doc_id", "hash"]).where((F.col("kinds") == F.col("item_kinds")) & (F.col("exact") == F.col("item_exact")) & (F.col("size") == F.col("item_size")))
     hits = hits.withColumn("gap", F.col("at") - F.col("item_at"))
     # Windows without a name at a sentence's start are held for consistency alone and together with those that have one.
     hits = hits.withColumn("line", F.explode(F.when(F.col("named") | F.col("item_named"), F.array(F.lit(True))).otherwise(F.array(F.lit(False), F.lit(True)))))

@@ -1,7 +1,7 @@
 import random
 
 from sparkforge.llm.op04_substring_dedup import repeated_passages, without_passages
-from sparkforge.llm.op08_decontamination import decontaminate
+from sparkforge.llm.op08_decontamination import NUMERIC, OUTER, UNITS, decontaminate
 
 SCHEMA = "doc_id long, text string, lang string, source string, at int, print string, seeds int, hash string, id int, gap string, item_id int, node string"
 
@@ -98,6 +98,102 @@ def test_leaks_like_brute_force(spark, sf):
     assert want and want <= out
 
 
+def plain_canon(text):
+    """(word, kind, whether it opens a sentence like a name) of every word with a letter or digit."""
+    out, start, before = [], True, None
+    for raw in (text or "").split():
+        core = raw.strip(OUTER)
+        if NUMERIC.fullmatch(core):
+            kind = "number"
+        elif core.lower() in UNITS:
+            kind = "unit"
+        else:
+            kind = "name" if core[:1].isupper() and core[1:].islower() else ""
+        opens = kind == "name" and start
+        if kind == "unit" and before != "number":
+            kind = ""
+        before, start = kind, raw.rstrip("\"')]”’»")[-1:] in ".!?:"
+        if core:
+            out.append((core.lower(), "" if opens else kind, opens))
+    return out
+
+
+def plain_windows(words, n, item):
+    """(at, form, slots, named) of all windows of n words in both readings; of an item without a good one, the words."""
+    out = []
+    for named in (False, True):
+        for at in range(len(words) - n + 1):
+            win = [(w, "name" if named and o else k) for w, k, o in words[at : at + n]]
+            if (not named or any(o for *_, o in words[at : at + n])) and 2 * sum(not k for _, k in win) >= n:
+                out.append((at, tuple((k or "=" + w) for w, k in win), tuple(w for w, k in win if k), named))
+    if item and out:
+        return out
+    exact = [(at, ("exact", *(w for w, *_ in words[at : at + n])), (), False) for at in range(len(words) - n + 1)]
+    return exact if item else out + exact
+
+
+def plain_leaks(docs, items, share=0.5):
+    found = set()
+    for j, b in items:
+        item = plain_canon(b)
+        n = min(8, len(item))
+        windows = plain_windows(item, n, True) if item else []
+        places = {w[0] for w in windows}
+        for i, t in docs:
+            lines = {}
+            for at, form, slots, named in plain_windows(plain_canon(t), n, False) if windows else []:
+                for at2, form2, slots2, named2 in windows:
+                    if form == form2:
+                        for line in (True,) if named or named2 else (False, True):
+                            lines.setdefault((at - at2, line), []).append((at2, set(zip(slots2, slots))))
+            held = set()
+            for got in lines.values():
+                pairs = set().union(*(p for _, p in got))
+                if len(pairs) == len({a for a, _ in pairs}):
+                    held |= {at for at, _ in got}
+            if places and len(held) >= share * len(places):
+                found.add((i, j))
+    return found
+
+
+def test_leaks_are_those_of_brute_force_and_no_others(spark):
+    """Exact, re-parameterised, inconsistent and partial copies of items with few and many literals, numbers alone too."""
+    rng = random.Random(8)
+    names, units = ["Anna", "Maria", "Peter", "Oskar", "Paris", "Rome"], ["km", "kg", "miles", "euros"]
+
+    def question(n):
+        out = []
+        for _ in range(n):
+            kind = rng.random()
+            out += [rng.choice(names)] if kind < 0.2 else [str(rng.randint(1, 99)), *([rng.choice(units)] if rng.random() < 0.5 else [])] if kind < 0.4 else [rng.choice("if then walks to buys some gives had more how many".split()) + rng.choice(["", "", ".", "?"])]
+        return " ".join(out)
+
+    def other(text, one_way):
+        known = {}
+        swap = lambda w: rng.choice(names) if w in names else str(rng.randint(100, 999)) if w.isdigit() else rng.choice(units) if w in units else w
+        return " ".join((known.setdefault(w, swap(w)) if one_way else swap(w)) for w in text.split())
+
+    items = [(j, question(rng.choice([3, 6, 9, 14, 25]))) for j in range(25)]
+    items += [(90, "In 1990 Paris 12 km 1991 Rome 14 km 1992 Anna 16 km 1993"), (91, "12 7 19 4 33 8 15 2 60 1"), (92, None), (93, "... !"), (94, items[3][1] + " and more"), (95, items[3][1])]
+    docs = []
+    for k in range(160):
+        text = rng.choice([t for _, t in items if t])
+        form = rng.randrange(5)
+        text = [text, other(text, True), other(text, False), " ".join(text.split()[: max(1, len(text.split()) * rng.randint(3, 9) // 10)]), question(30)][form]
+        docs.append((k, f"{question(rng.randint(0, 30))}{rng.choice(['', '.'])} {text} {question(rng.randint(0, 30))}"))
+    got = {(r.doc_id, r.item_id) for r in decontaminate(frame(spark, docs), benchmark(spark, items)).collect()}
+    want = plain_leaks(docs, items)
+    assert got == want and len(want) > 60
+
+
+def test_leaks_in_a_very_long_text(spark):
+    rng = random.Random(9)
+    text = words(rng, 120_000)
+    text[60_000:60_000] = QUESTION.split()
+    got = decontaminate(frame(spark, [(1, " ".join(text))]), benchmark(spark, [(1, QUESTION), (2, " ".join(words(rng, 20)))])).collect()
+    assert [(r.doc_id, r.item_id) for r in got] == [(1, 1)]
+
+
 def test_leaks_edges(spark):
     items = benchmark(spark, [(1, "only five words are here"), (1, "only five words are here"), (None, QUESTION)])
     rows = [(1, None), (2, "only five words are here"), (None, QUESTION), (3, "... !!! ???")]
