@@ -1,17 +1,22 @@
 """Passages of 50 words or more that repeat across documents.
 
-A paragraph here is a window of `least` words at any place of a text, so a passage is found wherever it was put in.
-Its hash minimum over five-word shingles is at a place that depends on the window's words only; neighbouring windows
-share most of them, so a text has about one minimum for every 23 words. Each gives two band keys: the minimum with the
-words before it, and with those after it. An exact passage agrees in one of them for certain; one with an edit in its
-middle does unless its minimum lies in the edit, with a chance of about 0.9 for each of BANDS hash functions.
-
-Paragraphs that collide are held against the first place with their key; those that it does not match are pivots in
-turn, more of them each time, and are held against all others, until no key has an unmatched place left. Both texts are
-aligned at the collisions: exact runs are extended as far as they go and chained over short edits, and a chain counts if
-it has `least` words and the exact Jaccard similarity of its two sides is `percent` or more. Overlapping stretches of a
-document are one node, matches are edges, and connected components are the clusters. A stretch is removed only where a
-document with a smaller doc_id has it too, so one copy of everything stays.
+A paragraph here is a window of words at any place of a text, so a passage is found wherever it was put in. Two stretches
+of `least` words or more whose shingles have a Jaccard similarity of `percent` differ in so few words that some run of G
+words, 25 for 50 words and 80 %, is the same in both: the bands are tuned to that run, which makes their recall certain.
+
+1. Band keys. The hash minimum over the shingles of every window of G words, with as many words before it, or after it, as
+   still lie in the window whatever its place. A text has about one minimum for every 11 words, with two keys each.
+2. Places that collide are held against the first place with their key. Both texts are aligned at the collisions: exact
+   runs are extended as far as they go and chained over short edits, and a chain counts if it has `least` words and the
+   exact Jaccard similarity of its two sides is `percent` or more.
+3. What lies in no stretch that this removes goes on: the windows of G words at such places, and at the places they collide
+   with, are joined by the hash of all their words, so lines that are shared but shorter make no more candidates. A window
+   is held against the first places of its hash, more of them each turn, until it lies in a stretch that is removed or
+   has met every place of a document with a smaller doc_id.
+
+Overlapping stretches of a document are one node, matches are edges, and connected components are the clusters. A stretch
+is removed only where a document with a smaller doc_id has it too, so one copy of everything stays. Clusters hang together
+by the matches that were needed: of stretches that are removed already not all pairs are held against each other.
 """
 
 from __future__ import annotations
@@ -25,118 +30,231 @@ from pyspark.sql import functions as F
 from .common import MIX1, Tables, WordHashes, as_bytes, components, mix, shingles
 from .op10_minhash_dedup import bloom, needed
 
-BANDS, SHINGLE, LEAST, PERCENT = 2, 5, 50, 80
-#: Words of a band key. A passage of 50 words has as many on one side of any shingle, a shared line of a dozen has not.
-CONTEXT = 16
+SHINGLE, LEAST, PERCENT = 5, 50, 80
 #: Words on either side that a chain may step over.
 STEP = 6
 
 
-def prints(h: np.ndarray, band: int, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(places, keys) of the minima of all windows of `width` shingles under the hash of a band."""
-    with np.errstate(over="ignore"):
-        v = mix(h + np.uint64(band + 1) * MIX1)
-    if len(v) < width:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+def certain_run(least: int, percent: int) -> int:
+    """Words of the longest equal run that any two stretches of `least` words or more have if their similarity is `percent`.
+
+    A changed word costs SHINGLE shingles on each side; e changes cut the equal words in e + 1 runs.
+    """
+    best = least
+    for n in range(least, 40 * least):
+        e = int((100 - percent) * (n - SHINGLE + 1) // ((100 + percent) * SHINGLE))
+        best = min(best, -(-(n - e) // (e + 1)))
+    return max(best, 2 * SHINGLE)
+
+
+def minima_of_windows(h: np.ndarray, width: int) -> np.ndarray:
+    """The place of the minimum of every window of `width` shingles, the first if equal ones are in it."""
+    if len(h) < width:
+        return np.zeros(0, np.int64)
+    low20 = np.uint64((1 << 20) - 1)
+    at = np.arange(len(h), dtype=np.uint64)
+    v = (mix(h + MIX1) & ~low20) | (at & low20)
     # Minimum of every window from minima of blocks from the left and from the right.
     pad = -len(v) % width
     full = np.concatenate([v, np.full(pad, ~np.uint64(0))]).reshape(-1, width)
     left = np.minimum.accumulate(full, 1).ravel()
     right = np.minimum.accumulate(full[:, ::-1], 1)[:, ::-1].ravel()
-    low = np.minimum(right[: len(v) - width + 1], left[width - 1 : len(v)])
-    new = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
-    at = np.unique(new + sliding_window_view(v, width)[new].argmin(1))
-    return at, v[at]
+    low = np.minimum(right[: len(v) - width + 1], left[width - 1 : len(v)]) & low20
+    start = at[: len(low)]
+    place = (start & ~low20) | low
+    return np.where(place < start, place + low20 + np.uint64(1), place).astype(np.int64)
 
 
-def fingerprints(docs: DataFrame, least: int, bands: int) -> DataFrame:
-    """doc_id, at, print: two keys for each minimum, of the CONTEXT words that end with its shingle and that start with it."""
+class Bands:
+    """Places and keys of the band minima of a text for runs of `run` words."""
 
-    def run(batches):
-        hashes = WordHashes()
+    def __init__(self, run: int):
+        self.run, self.width = run, run - SHINGLE + 1
+        #: Words of a key: with the minimum in either half of a window, as many lie in it on that side.
+        self.context = SHINGLE + (self.width - 1) // 2
+
+    def windows(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each window: the place of its minimum, and whether its key is that of the words up to the minimum."""
+        place = minima_of_windows(shingles(w, SHINGLE), self.width)
+        return place, place - np.arange(len(place)) >= self.context - SHINGLE
+
+    def keys(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(places, whether before, keys) of a text's word hashes, each once."""
+        place, before = self.windows(w)
+        if not len(place):
+            return place, before, np.zeros(0, np.int64)
+        code = np.unique(place * 2 + before)
+        place, before = code >> 1, code & 1 > 0
+        around = shingles(w, self.context)
+        return place, before, np.where(before, around[place - np.where(before, self.context - SHINGLE, 0)], ~around[np.minimum(place, len(around) - 1)]).view(np.int64)
+
+
+def fingerprints(docs: DataFrame, least: int, run: int) -> DataFrame:
+    """doc_id, at (twice the place of a minimum, plus one for the words before it), print (the key)."""
+
+    def keys(batches):
+        hashes, bands = WordHashes(), Bands(run)
         for b in batches:
-            ids, places, keys = [], [], []
+            ids, places, found = [], [], []
             for i, t in zip(b.column(0), b.column(1)):
                 words = t.as_py().lower().split()
                 if len(words) < least:
                     continue
-                w = hashes.of(words)
-                h, around = shingles(w, SHINGLE), shingles(w, CONTEXT)
-                for band in range(bands):
-                    at, _ = prints(h, band, least - SHINGLE + 1)
-                    left, right = at[at >= CONTEXT - SHINGLE], at[at + CONTEXT <= len(w)]
-                    ids.append(np.full(len(left) + len(right), i.as_py(), np.int64))
-                    places += [left, right]
-                    keys += [around[left - (CONTEXT - SHINGLE)], ~around[right]]
+                place, before, key = bands.keys(hashes.of(words))
+                ids.append(np.full(len(place), i.as_py(), np.int64))
+                places.append(place * 2 + before)
+                found.append(key)
             if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(places).astype(np.int32)), pa.array(np.concatenate(keys).view(np.int64))], names=["doc_id", "at", "print"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(places).astype(np.int32)), pa.array(np.concatenate(found))], names=["doc_id", "at", "print"])
 
-    return docs.where("doc_id is not null").select("doc_id", as_bytes()).mapInArrow(run, "doc_id long, at int, print long")
+    return docs.where("doc_id is not null").select("doc_id", as_bytes()).mapInArrow(keys, "doc_id long, at int, print long")
 
 
-def runs(p: np.ndarray, q: np.ndarray, seeds: list[tuple[int, int]]) -> list[list[int]]:
+def colliding_windows(words: DataFrame, members: DataFrame, run: int) -> DataFrame:
+    """doc_id, at, print: the windows of `run` words with their band minimum at a member, by the hash of all their words."""
+    places = members.groupBy(F.col("doc_id").alias("of")).agg(F.collect_set("at").alias("places"))
+
+    def keys(batches):
+        bands = Bands(run)
+        for b in batches:
+            ids, starts, found = [], [], []
+            for i, w, p in zip(b.column(0), b.column(1), b.column(2)):
+                w = np.frombuffer(w.as_buffer(), np.uint64)
+                place, before = bands.windows(w)
+                at = np.flatnonzero(np.isin(place * 2 + before, p.values.to_numpy()))
+                ids.append(np.full(len(at), i.as_py(), np.int64))
+                starts.append(at)
+                found.append(shingles(w, run)[at])
+            if ids:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(starts).astype(np.int32)), pa.array(np.concatenate(found).view(np.int64))], names=["doc_id", "at", "print"])
+
+    return words.join(places, F.col("id") == F.col("of")).select("id", "words", "places").mapInArrow(keys, "doc_id long, at int, print long")
+
+
+class Words:
+    """A text's word hashes, and the hashes of its shingles as plain numbers."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.words = hashes
+        self.shingles = shingles(hashes, SHINGLE).tolist() if len(hashes) >= SHINGLE else []
+
+
+def equal_ahead(p: np.ndarray, q: np.ndarray, i: int, j: int, step: int = 1) -> int:
+    """How many words from p[i] and q[j] on are equal, forwards or (step -1) backwards."""
+    done, size = 0, 64
+    most = min(len(p) - i, len(q) - j) if step > 0 else min(i, j) + 1
+    while done < most:
+        n = min(size, most - done)
+        a, b = (p[i + done : i + done + n], q[j + done : j + done + n]) if step > 0 else (p[i - done - n + 1 : i - done + 1][::-1], q[j - done - n + 1 : j - done + 1][::-1])
+        differ = a != b
+        at = int(differ.argmax())
+        if differ[at]:
+            return done + at
+        done, size = done + n, size * 4
+    return done
+
+
+def runs(p: Words, q: Words, seeds: list[tuple[int, int]]) -> list[list[int]]:
     """Longest exact runs [p start, p end, q start, q end] around the seeds, sorted."""
     found: dict[int, list[tuple[int, int]]] = {}
     for i, j in sorted(seeds):
-        gap = i - j
-        if any(a <= i < b for a, b in found.get(gap, ())):
+        known = found.setdefault(i - j, [])
+        # Seeds come in order, so only the last run of their distance can hold one.
+        if known and i < known[-1][1]:
             continue
-        n, m = min(len(p) - i, len(q) - j), min(i, j)
-        ahead = np.flatnonzero(p[i : i + n] != q[j : j + n])
-        back = np.flatnonzero(p[i - m : i] != q[j - m : j])
-        end = i + (int(ahead[0]) if len(ahead) else n)
-        start = i - m + (int(back[-1]) + 1 if len(back) else 0)
+        end = i + equal_ahead(p.words, q.words, i, j)
+        start = i - equal_ahead(p.words, q.words, i - 1, j - 1, -1)
         if end - start >= SHINGLE:
-            found.setdefault(gap, []).append((start, end))
+            known.append((start, end))
     return sorted([a, b, a - g, b - g] for g, x in found.items() for a, b in x)
 
 
-def grown(p: np.ndarray, q: np.ndarray, chain: list[int]) -> list[int]:
-    """The chain with words beyond an edit that agree again, on both ends, as far as such stretches go."""
-    a, b, c, d = chain
+#: Words left out of either side of a chain where it goes on, the shortest edits first.
+EDITS = [(x, y) for x in range(1, STEP + 1) for y in sorted(range(1, STEP + 1), key=lambda y: abs(x - y))]
+
+
+def grown(p: Words, q: Words, chain: list[list[int]]) -> list[list[int]]:
+    """The chain's runs and those beyond an edit that agree again, on both ends, as far as such stretches go."""
+    s, t, n, m = p.shingles, q.shingles, len(p.shingles), len(q.shingles)
+    before, (a, _, c, _) = [], chain[0]
     more = True
     while more:
         more = False
-        for x in range(1, STEP + 1):
-            for y in sorted(range(1, STEP + 1), key=lambda y: abs(x - y)):
-                i, j = b + x, d + y
-                if i + SHINGLE <= len(p) and j + SHINGLE <= len(q) and (p[i : i + SHINGLE] == q[j : j + SHINGLE]).all():
-                    n = min(len(p) - i, len(q) - j)
-                    ahead = np.flatnonzero(p[i : i + n] != q[j : j + n])
-                    n = int(ahead[0]) if len(ahead) else n
-                    b, d, more = i + n, j + n, True
-                    break
-            if more:
+        for x, y in EDITS:
+            i, j = a - x - SHINGLE, c - y - SHINGLE
+            if i >= 0 and j >= 0 and s[i] == t[j]:
+                ahead = equal_ahead(p.words, q.words, i + SHINGLE - 1, j + SHINGLE - 1, -1)
+                before.append([i + SHINGLE - ahead, i + SHINGLE, j + SHINGLE - ahead, j + SHINGLE])
+                a, c, more = before[-1][0], before[-1][2], ahead > 0
+                break
+    out, (_, b, _, d) = before[::-1] + chain, chain[-1]
+    more = True
+    while more:
+        more = False
+        for x, y in EDITS:
+            i, j = b + x, d + y
+            if i < n and j < m and s[i] == t[j]:
+                ahead = equal_ahead(p.words, q.words, i, j)
+                out.append([i, i + ahead, j, j + ahead])
+                b, d, more = i + ahead, j + ahead, ahead > 0
                 break
-    return [a, b, c, d]
+    return out
+
 
+def matches(p: Words, q: Words, seeds: list[tuple[int, int]], least: int, percent: int) -> list[list[int]]:
+    """Stretches [p start, p end, q start, q end] of `least` words on each side that have the similarity.
 
-def matches(p: np.ndarray, q: np.ndarray, seeds: list[tuple[int, int]], least: int, percent: int) -> list[list[int]]:
-    """Chains of runs that have `least` words on each side and the similarity; word hashes p and q."""
-    chains: list[list[int]] = []
+    A chain is a sequence of equal runs, with a few other words between them. Where the whole chain is not alike enough,
+    the longest of its parts are taken that are, from run to run.
+    """
+    chains: list[list[list[int]]] = []
+    ends: dict[int, list[list[list[int]]]] = {}
     for a, b, c, d in runs(p, q, seeds):
-        for x in chains[-4:]:
-            if -STEP <= a - x[1] <= STEP and -STEP <= c - x[3] <= STEP and b > x[1] and d > x[3]:
-                x[1], x[3] = b, d
-                break
+        near = (x for e in range(a - STEP, a + STEP + 1) for x in ends.get(e, ()))
+        x = next((x for x in near if -STEP <= c - x[-1][3] <= STEP and b > x[-1][1] and d > x[-1][3]), None)
+        if x:
+            ends[x[-1][1]].remove(x)
+            x.append([a, b, c, d])
         else:
-            chains.append([a, b, c, d])
-    out = []
+            x = [[a, b, c, d]]
+            chains.append(x)
+        ends.setdefault(b, []).append(x)
+    out: list[list[int]] = []
     for x in chains:
-        if out and out[-1][0] <= x[0] and x[1] <= out[-1][1] and out[-1][2] <= x[2] and x[3] <= out[-1][3]:
-            continue
-        back = grown(p[::-1], q[::-1], [len(p) - x[1], len(p) - x[0], len(q) - x[3], len(q) - x[2]])
-        x = grown(p, q, [len(p) - back[1], x[1], len(q) - back[3], x[3]])
-        if min(x[1] - x[0], x[3] - x[2]) < least:
+        if any(y[0] <= x[0][0] and x[-1][1] <= y[1] and y[2] <= x[0][2] and x[-1][3] <= y[3] for y in out[-1:]):
             continue
-        s, t = (np.unique(shingles(v, SHINGLE)) for v in (p[x[0] : x[1]], q[x[2] : x[3]]))
-        both = len(np.intersect1d(s, t, assume_unique=True))
-        if 100 * both >= percent * (len(s) + len(t) - both):
-            out.append(x)
+        x = np.array(grown(p, q, x))
+        # Shingles of equal runs up to each run, where runs overlap each word once; a bound on what the sides share.
+        same = np.concatenate([[0], np.cumsum(np.maximum(0, x[:, 1] - x[:, 0] - SHINGLE + 1))])
+        done = -1
+        for i in range(len(x)):
+            n, m, both = x[i:, 1] - x[i, 0], x[i:, 3] - x[i, 2], same[i + 1 :] - same[i]
+            total = np.maximum(0, n - SHINGLE + 1) + np.maximum(0, m - SHINGLE + 1)
+            fits = np.flatnonzero((np.minimum(n, m) >= least) & ((100 + percent) * both >= percent * total))
+            for j in fits[::-1]:
+                if i + j <= done:
+                    break
+                a, b, c, d = x[i, 0], x[i + j, 1], x[i, 2], x[i + j, 3]
+                s, t = (np.unique(shingles(v, SHINGLE)) for v in (p.words[a:b], q.words[c:d]))
+                shared = len(np.intersect1d(s, t, assume_unique=True))
+                if 100 * shared >= percent * (len(s) + len(t) - shared):
+                    out.append([int(a), int(b), int(c), int(d)])
+                    done = i + j
+                    break
+            if done == len(x) - 1:
+                break
     return out
 
 
-def repeated_passages(docs: DataFrame, least: int = LEAST, percent: int = PERCENT, bands: int = BANDS) -> DataFrame:
+def merged(stretches: DataFrame) -> DataFrame:
+    """Stretches (doc_id, start_word, end_word) that overlap or touch as one."""
+    ordered = Window.partitionBy("doc_id").orderBy("start_word", "end_word")
+    before = F.max("end_word").over(ordered.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = stretches.distinct().withColumn("new", F.coalesce(before < F.col("start_word"), F.lit(True)).cast("int"))
+    return fresh.withColumn("part", F.sum("new").over(ordered)).groupBy("doc_id", "part").agg(F.min("start_word").alias("start_word"), F.max("end_word").alias("end_word")).drop("part")
+
+
+def repeated_passages(docs: DataFrame, least: int = LEAST, percent: int = PERCENT) -> DataFrame:
     """The stretches to remove: doc_id, start_word, end_word (exclusive), n_words, kept_doc_id, cluster_id.
 
     kept_doc_id is a document with a smaller id that has the stretch as well, cluster_id the smallest doc_id of the
@@ -147,56 +265,82 @@ def repeated_passages(docs: DataFrame, least: int = LEAST, percent: int = PERCEN
     spark = docs.sparkSession
     tables = Tables(spark, "repeats")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = tables.write(fingerprints(docs, least, bands), "prints")
+    length = certain_run(least, percent)
+    found = tables.write(fingerprints(docs, least, length), "prints")
     shared = found.groupBy("print").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("print")
-    members = tables.write(found.join(tables.write(shared, "shared"), "print").withColumn("matched", F.lit(False)), "members")
+    members = tables.write(found.join(tables.write(shared, "shared"), "print").select("print", "doc_id", "at", F.lit(False).alias("matched")), "members")
     tables.drop(found)
     bits = spark.sparkContext.broadcast(bloom(spark, members.select(F.col("doc_id").alias("id"))))
-    text = needed(docs, bits)
+
+    def hashing():
+        hashes = WordHashes()
+        return lambda t: hashes.of(t.lower().split()).tobytes()
+
+    # Word hashes of the texts that have candidates, each once; rows that repeat a doc_id count as one.
+    words = tables.write(needed(docs, bits, hashing, "id long, words binary").dropDuplicates(["id"]), "words")
 
     def run(batches):
-        hashes, kept = WordHashes(), {}
+        kept: dict[int, Words] = {}
 
-        def get(t):
-            if t not in kept:
+        def get(i, w):
+            if i not in kept:
                 if len(kept) >= 32:
                     kept.clear()
-                kept[t] = hashes.of(t.lower().split())
-            return kept[t]
+                kept[i] = Words(np.frombuffer(w.as_buffer(), np.uint64))
+            return kept[i]
 
         names = ["doc_id", "start_word", "end_word", "kept_doc_id", "kept_start", "kept_end"]
         for b in batches:
             rows = []
-            for i, k, seeds, t, u in zip(*(c.to_pylist() for c in b.columns)):
-                rows += [(i, x[0], x[1], k, x[2], x[3]) for x in matches(get(t), get(u), [(s["at"], s["kept_at"]) for s in seeds], least, percent)]
+            for i, k, seeds, p, q in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), b.column(4)):
+                at, kept_at = (seeds.values.field(n).to_pylist() for n in ("at", "kept_at"))
+                rows += [(i, x[0], x[1], k, x[2], x[3]) for x in matches(get(i, p), get(k, q), list(zip(at, kept_at)), least, percent)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=names)
 
-    spans, turn = None, 0
-    while turn == 0 or not members.isEmpty():
-        # The first places that no pivot of their print has matched yet, more of them each turn, are held against all others.
-        rank = F.row_number().over(Window.partitionBy("print").orderBy("matched", "doc_id", "at"))
-        ranked = members.withColumn("pivot", ~F.col("matched") & (rank <= 4**turn))
-        ranked = tables.write(ranked, "ranked")
-        pivots = ranked.where("pivot").select("print", F.col("doc_id").alias("p"), F.col("at").alias("p_at"))
-        hits = ranked.join(pivots, "print").where("doc_id <> p")
-        ahead = F.col("doc_id") > F.col("p")
-        sides = (("doc_id", "p", "doc_id"), ("p", "doc_id", "kept_doc_id"), ("at", "p_at", "at"), ("p_at", "at", "kept_at"))
-        hits = hits.select("print", F.col("doc_id").alias("m"), F.col("at").alias("m_at"), *(F.when(ahead, F.col(x)).otherwise(F.col(y)).alias(z) for x, y, z in sides))
-        # The seeds of two documents are at most the minima of one.
-        pairs = hits.groupBy("doc_id", "kept_doc_id").agg(F.collect_set(F.struct("at", "kept_at")).alias("seeds"))
-        both = pairs.join(text.toDF("doc_id", "text"), "doc_id").join(text.toDF("kept_doc_id", "kept_text"), "kept_doc_id")
-        new = both.select("doc_id", "kept_doc_id", "seeds", "text", "kept_text").mapInArrow(run, "doc_id long, start_word long, end_word long, kept_doc_id long, kept_start long, kept_end long")
-        new = tables.write(new.distinct(), "spans")
-        spans = new if spans is None else spans.union(new)
-        inside = "at >= start_word and at < end_word and kept_at >= kept_start and kept_at < kept_end"
-        done = hits.join(new, ["doc_id", "kept_doc_id"]).where(inside).select("print", F.col("m").alias("doc_id"), F.col("m_at").alias("at")).distinct()
-        # Pivots have met all places of their print; prints without an unmatched place are settled.
-        rest = ranked.where("not pivot").join(done.withColumn("found", F.lit(True)), ["print", "doc_id", "at"], "left")
-        rest = tables.write(rest.select("print", "doc_id", "at", (F.col("matched") | F.coalesce("found", F.lit(False))).alias("matched")), "rest")
-        open_ = rest.groupBy("print").agg(F.min("matched").alias("settled"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("not settled and low < high").select("print")
+    def against(hits: DataFrame) -> DataFrame:
+        """Matches of documents that collide at (at, kept_at)."""
+        # Collisions at one distance whose windows share words are one seed.
+        gap = (F.col("at") - F.col("kept_at")).alias("gap")
+        seeds = hits.groupBy("doc_id", "kept_doc_id", gap, F.floor(F.col("at") / SHINGLE).alias("part")).agg(F.min("at").alias("at"))
+        pairs = seeds.groupBy("doc_id", "kept_doc_id").agg(F.collect_list(F.struct("at", (F.col("at") - F.col("gap")).alias("kept_at"))).alias("seeds"))
+        both = pairs.join(words.toDF("doc_id", "words"), "doc_id").join(words.toDF("kept_doc_id", "kept_words"), "kept_doc_id")
+        new = both.select("doc_id", "kept_doc_id", "seeds", "words", "kept_words").mapInArrow(run, "doc_id long, start_word long, end_word long, kept_doc_id long, kept_start long, kept_end long")
+        return tables.write(new.distinct(), "spans")
+
+    def covered(places: DataFrame, before: int) -> DataFrame:
+        """matched: whether the words from `before` words before a place to a run's length after it are removed."""
+        cover = merged(spans.select("doc_id", "start_word", "end_word")).toDF("d", "s", "e")
+        inside = (F.col("doc_id") == F.col("d")) & (F.col("at") - before >= F.col("s")) & (F.col("at") + length <= F.col("e"))
+        return tables.write(places.join(cover, inside, "left").select("print", "doc_id", "at", (F.col("matched") | F.col("d").isNotNull()).alias("matched")), "places")
+
+    def open_prints(places: DataFrame) -> DataFrame:
+        """Prints that a document other than the first has outside all that is removed."""
+        ends = places.groupBy("print").agg(F.min("doc_id").alias("low"), F.max(F.when(~F.col("matched"), F.col("doc_id"))).alias("high"))
+        return ends.where("low < high").select("print")
+
+    # A place is twice that of a band minimum, plus one for the key before it.
+    places = members.withColumn("at", F.shiftright("at", 1))
+    first = places.groupBy("print").agg(F.min(F.struct("doc_id", "at")).alias("x")).select("print", F.col("x.doc_id").alias("kept_doc_id"), F.col("x.at").alias("kept_at"))
+    spans = against(places.join(first, "print").where("doc_id > kept_doc_id"))
+    rest = covered(places, length - SHINGLE)
+    both_keys = members.join(open_prints(rest), "print").select("doc_id", "at").distinct()
+    windows = tables.write(colliding_windows(words, tables.write(both_keys, "open"), length), "windows")
+    tables.drop(members, rest)
+    members = covered(windows.withColumn("matched", F.lit(False)), 0)
+    members = tables.write(members.join(open_prints(members), "print"), "members")
+    tables.drop(windows)
+    turn = 0
+    while not members.isEmpty():
+        # The next places, more of them each turn, are held against all of larger documents that are not removed yet.
+        rank = F.row_number().over(Window.partitionBy("print").orderBy("doc_id", "at"))
+        ranked = tables.write(members.withColumn("pivot", rank <= 16**turn), "ranked")
+        pivots = ranked.where("pivot").select("print", F.col("doc_id").alias("kept_doc_id"), F.col("at").alias("kept_at"))
+        spans = spans.union(against(ranked.where("not matched").join(pivots, "print").where("doc_id > kept_doc_id")))
+        # Places that have been pivots have met all others.
+        rest = covered(ranked.where("not pivot"), 0)
         tables.drop(members)
-        members = tables.write(rest.join(open_, "print"), "members")
+        members = tables.write(rest.join(open_prints(rest), "print"), "members")
         tables.drop(ranked, rest)
         turn += 1
     spans = tables.write(spans.distinct(), "all-spans")

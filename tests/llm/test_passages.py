@@ -1,6 +1,8 @@
 import random
 
-from sparkforge.llm.op04_substring_dedup import repeated_passages, without_passages
+import numpy as np
+
+from sparkforge.llm.op04_substring_dedup import Bands, Words, certain_run, matches, repeated_passages, without_passages
 from sparkforge.llm.op08_decontamination import NUMERIC, OUTER, UNITS, decontaminate
 
 SCHEMA = "doc_id long, text string, lang string, source string, at int, print string, seeds int, hash string, id int, gap string, item_id int, node string"
@@ -61,6 +63,80 @@ def test_copies_behind_a_first_place_that_does_not_match(spark):
     assert {(r.doc_id, r.kept_doc_id) for r in out} == {(4 * g + 3, 4 * g + 2) for g in range(8)} and all(r.n_words == 60 for r in out)
 
 
+def test_certain_run():
+    assert certain_run(50, 80) == 25 and certain_run(50, 100) == 50 and certain_run(100, 80) == 33
+
+
+def test_equal_runs_share_a_key():
+    """Two texts with an equal run of G words, wherever it lies and whatever is around it, have a band key in common."""
+    rng = np.random.default_rng(2)
+    bands = Bands(25)
+    for k in range(300):
+        run = rng.integers(0, 2 if k % 3 == 0 else 1 << 40, 25).astype(np.uint64)
+        sides = [rng.integers(1 << 41, 1 << 62, n).astype(np.uint64) for n in rng.integers(0, 40, 4)]
+        one, two = (np.concatenate([a, run, b]) for a, b in (sides[:2], sides[2:]))
+        assert set(bands.keys(one)[2].tolist()) & set(bands.keys(two)[2].tolist())
+
+
+def test_alignment_like_brute_force():
+    """Every pair of stretches of 50 words that begin and end alike, with a similarity of 80 %, lies in a match of the texts."""
+    rng = random.Random(11)
+    for _ in range(30):
+        passage = words(rng, rng.randint(50, 140))
+        edited = list(passage)
+        for _ in range(rng.randint(0, 3)):
+            at = rng.randrange(len(edited))
+            edited[at : at + rng.randint(0, 1)] = words(rng, rng.randint(0, 1))
+        one, two = words(rng, 30) + passage + words(rng, 30), words(rng, 45) + edited + words(rng, 5)
+        ids: dict = {}
+        p, q = (np.array([ids.setdefault(w, len(ids) + 1) for w in t], np.uint64) for t in (one, two))
+        sets = [[{tuple(t[i + k : i + k + 5]) for k in range(46)} for i in range(len(t) - 49)] for t in (one, two)]
+        runs = [{tuple(t[i : i + 25]): i for i in range(len(t) - 24)} for t in (one, two)]
+        found = matches(Words(p), Words(q), [(i, runs[1][w]) for w, i in runs[0].items() if w in runs[1]], 50, 80)
+        for i, a in enumerate(sets[0]):
+            for j, b in enumerate(sets[1]):
+                ends = one[i : i + 5] == two[j : j + 5] and one[i + 45 : i + 50] == two[j + 45 : j + 50]
+                if ends and 100 * len(a & b) >= 80 * len(a | b):
+                    assert any(x[0] <= i and i + 50 <= x[1] and x[2] <= j and j + 50 <= x[3] for x in found)
+
+
+def test_recall_against_all_windows_of_the_documents(spark):
+    """Exact passages, passages with an edit anywhere, halves of them in smaller documents, and families of copies."""
+    rng = random.Random(12)
+    rows, near = [], set()
+    put = lambda w: rows.append((len(rows), words(rng, rng.randint(0, 60)) + w + words(rng, rng.randint(0, 60))))
+    for k in range(60):
+        passage = words(rng, rng.randint(50, 70))
+        edited = list(passage)
+        if k % 2:
+            edited[rng.randrange(len(edited))] = "changed"
+        if k % 3 == 0:
+            put(passage[:36])
+            put(passage[-36:])
+        put(passage)
+        put(edited)
+        near.add((len(rows) - 1, len(rows) - 2))
+    base = words(rng, 200)
+    for _ in range(15):
+        copy = list(base)
+        for _ in range(7):
+            copy[rng.randrange(200)] = words(rng, 1)[0]
+        put(copy)
+    out = repeated_passages(frame(spark, [(i, " ".join(w)) for i, w in rows])).collect()
+    removed: dict = {}
+    for r in out:
+        removed.setdefault(r.doc_id, set()).update(range(r.start_word, r.end_word))
+    assert len(near & {(r.doc_id, r.kept_doc_id) for r in out}) >= 0.95 * len(near)
+    first: dict = {}
+    total = lost = 0
+    for i, w in rows:
+        for at in range(len(w) - 49):
+            if first.setdefault(tuple(w[at : at + 50]), i) < i:
+                total += 1
+                lost += not set(range(at, at + 50)) <= removed.get(i, set())
+    assert total > 500 and lost == 0
+
+
 def test_passages_edges(spark):
     long = " ".join(words(random.Random(4), 40_000))
     rows = [(1, None), (2, ""), (None, long), (3, long), (4, long + " tail"), (4, long + " tail"), (5, "a " * 500), (6, "a " * 500)]
