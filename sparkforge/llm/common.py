@@ -24,6 +24,8 @@ def shared_root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not _own_root:
         _own_root.append(tempfile.mkdtemp(prefix="sparkforge-"))
         atexit.register(shutil.rmtree, _own_root[0], ignore_errors=True)
