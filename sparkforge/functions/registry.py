@@ -22,7 +22,7 @@ NATIVE = frozenset(
     array_repeat array_distinct array_min array_max array_position array_remove array_append array_intersect arrays_overlap
     transform filter exists forall regexp_extract_all array_contains
     map_from_arrays map_keys map_values map_filter transform_keys transform_values named_struct struct
-    count sum min max avg any_value count_if bool_and bool_or bit_and bit_or bit_xor max_by min_by covar_pop covar_samp
+    count sum min avg any_value count_if bool_and bool_or bit_and bit_or bit_xor max_by min_by covar_pop covar_samp
     stddev_pop stddev_samp var_pop var_samp grouping grouping_id
     row_number rank dense_rank ntile cume_dist percent_rank lag lead first_value last_value nth_value
     """.split()
@@ -239,6 +239,8 @@ COMPOSED: dict[str, object] = {
     "percentile_approx_weighted": lambda a: _weighted(*a[:3]),
     "percentile_approx": lambda a: _percentile(*a[:2]),
     "corr": "nanvl(corr({0}, {1}), NULL)", "variance": "var_pop({0})", "stddev": "stddev_pop({0})",
+    # A NaN never is the largest; the test of the type is folded before the query runs.
+    "max": "max(if(typeof({0}) IN ('double', 'float') AND cast({0} as string) = 'NaN', NULL, {0}))",
     "first": "first({0}, true)", "last": "last({0}, true)",
     "approx_top_k": lambda a: f"transform(array(collect_list(struct({a[0]} AS v))), l -> slice(transform(array_sort(transform(array_distinct(l), e -> named_struct('c', -size(filter(l, z -> z <=> e)), 'n', if(e.v IS NULL, 0, 1), 'v', e.v))), r -> named_struct('item', r.v, 'count', cast(-r.c as bigint))), 1, {a[1] if len(a) > 1 else 5}))[0]",
     "bitmap_agg": "array_sort(collect_set(cast({0} as bigint)))", "bitmap_union": "array_sort(array_distinct(flatten(collect_list({0}))))", "bitmap_union_count": "size(array_distinct(flatten(collect_list({0}))))",
@@ -246,6 +248,8 @@ COMPOSED: dict[str, object] = {
     "array_agg": "transform(collect_list(struct({0} AS v)), z -> z.v)", "array_agg_distinct": "array_sort(collect_set({0}))", "array_unique_agg": "array_distinct(flatten(collect_list({0})))",
     "map_agg": "map_from_entries(collect_list(CASE WHEN ({0}) IS NOT NULL THEN struct({0}, {1}) END))",
     # session
+    "utc_time": {0: "date_format(localtimestamp(), 'HH:mm:ss')"}, "charset": "if(typeof({0}) = 'binary', 'binary', 'utf8mb4')", "collation": "if(typeof({0}) = 'binary', 'binary', 'utf8mb4_bin')", "benchmark": "cast(0 as int)",
+    "get_format": lambda a: f"'{DATE_FORMATS[a[0].strip().lower()][a[1].strip().strip(chr(39)).lower()]}'",
     "typeof": "typeof({0})", "database": {0: "current_database()"}, "schema": {0: "current_database()"}, "connection_id": {0: "cast(1 as bigint)"},
     "curdate": {0: "current_date()"}, "utc_date": {0: "current_date()"}, "sysdate": {0: "localtimestamp()"}, "utc_timestamp": {0: "localtimestamp()"},
 }
@@ -301,6 +305,13 @@ def _has_specifier(a: list[str]) -> bool:
     return a[1].strip().startswith("'") and "%" in a[1]
 
 
+# GET_FORMAT by kind and standard.
+DATE_FORMATS = {
+    "date": {"usa": "%m.%d.%Y", "jis": "%Y-%m-%d", "iso": "%Y-%m-%d", "eur": "%d.%m.%Y", "internal": "%Y%m%d"},
+    "datetime": {"usa": "%Y-%m-%d %H.%i.%s", "jis": "%Y-%m-%d %H:%i:%s", "iso": "%Y-%m-%d %H:%i:%s", "eur": "%Y-%m-%d %H.%i.%s", "internal": "%Y%m%d%H%i%s"},
+    "time": {"usa": "%h:%i:%s %p", "jis": "%H:%i:%s", "iso": "%H:%i:%s", "eur": "%H.%i.%s", "internal": "%H%i%s"},
+}
+
 COMPOSED["date_format"] = lambda a: f"date_format({a[0]}, {date_pattern(a[1]) if _has_specifier(a) else a[1]})"
 COMPOSED["str_to_date"] = lambda a: f"cast(try_to_timestamp({a[0]}, {date_pattern(a[1]) if _has_specifier(a) else a[1]}) as {'timestamp_ntz' if re.search('%[HhIklisSfTr]', a[1]) else 'date'})"
 COMPOSED["str_to_time"] = lambda a: f"date_format(try_to_timestamp({a[0]}, {date_pattern(a[1])}), 'HH:mm:ss')"

@@ -35,12 +35,28 @@ def not_in(left: DataFrame, column: str, values: DataFrame) -> DataFrame:
 def between_bins(points: DataFrame, ranges: DataFrame, at: str, low: str, high: str, width: float, how: str = "inner") -> DataFrame:
     """Rows of points inside [low, high] of rows of ranges, by an equi-join on bins of `width` in place of all pairs.
 
-    A range is put in every bin that it touches, so width should be near the usual length of a range.
+    Bins double in width from level to level. A range is put in the two or three bins that it touches on the level of its
+    own length, however long it is; a point is looked up once for every level that some range is on (64 at most), or, if
+    all its rows must stay (left), beside the rows that found nothing.
     """
-    p = points.withColumn("__bin", F.floor(F.col(at) / width))
-    r = ranges.withColumn("__bins", F.explode(F.sequence(F.floor(F.col(low) / width), F.floor(F.col(high) / width))))
-    on = (F.col("__bin") == F.col("__bins")) & (F.col(at) >= F.col(low)) & (F.col(at) <= F.col(high))
-    return p.join(r, on, how).drop("__bin", "__bins")
+    first, last = F.greatest(F.col(low).cast("double"), F.lit(-width * 2.0**60)), F.least(F.col(high).cast("double"), F.lit(width * 2.0**60))
+    r = ranges.withColumn("__level", F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(last - first, F.lit(width)) / width))).cast("int"))
+    r = r.where(first <= last)
+    size = F.lit(width) * F.pow(F.lit(2.0), "__level")
+    levels = sorted(x[0] for x in r.select("__level").distinct().collect())
+    r = r.withColumn("__bins", F.explode(F.sequence(F.floor(first / size), F.floor(last / size))))
+    p = (points.withColumn("__row", F.struct(*points.columns)) if how == "left" else points).withColumn("__levels", F.explode(F.array(*map(F.lit, levels)).cast("array<int>")))
+    p = p.withColumn("__bin", F.floor(F.col(at) / (F.lit(width) * F.pow(F.lit(2.0), "__levels"))))
+    on = (F.col("__levels") == F.col("__level")) & (F.col("__bin") == F.col("__bins")) & (F.col(at) >= F.col(low)) & (F.col(at) <= F.col(high))
+    found = p.join(r, on)
+    if how == "left":
+        # A point that finds nothing on one level may find something on another, so only those without any are added.
+        hit = found.select(F.col("__row").alias("__hit")).distinct()
+        alone = points.withColumn("__row", F.struct(*points.columns)).join(hit, F.col("__row").eqNullSafe(F.col("__hit")), "left_anti")
+        found = found.unionByName(alone, allowMissingColumns=True)
+    elif how != "inner":
+        raise ValueError("a join by bins is inner or left")
+    return found.drop("__row", "__levels", "__level", "__bin", "__bins")
 
 
 def as_of(left: DataFrame, right: DataFrame, by: list[str], left_at: str, right_at: str, values: list[str], strict: bool = False) -> DataFrame:
@@ -55,12 +71,23 @@ def as_of(left: DataFrame, right: DataFrame, by: list[str], left_at: str, right_
     b = right.select(*[F.col(k) for k in by], right[right_at].alias("__t"), F.lit(tag).alias("__o"), packed.alias("__v"))
     both = a.unionByName(b, allowMissingColumns=True)
     w = Window.partitionBy(*by).orderBy("__t", "__o").rowsBetween(Window.unboundedPreceding, 0)
-    out = both.withColumn("__v", F.last("__v", ignorenulls=True).over(w)).where("__o = 0")
+    # A null in a key equals nothing, though a window holds nulls together.
+    whole = F.lit(True)
+    for k in by:
+        whole = whole & F.col(k).isNotNull()
+    out = both.withColumn("__v", F.when(whole, F.last("__v", ignorenulls=True).over(w))).where("__o = 0")
     return out.select(*cols, *(F.col(f"__v.{v}").alias(v) for v in values))
 
 
 def salted(left: DataFrame, right: DataFrame, key: str, salts: int = 16, how: str = "inner") -> DataFrame:
-    """An equi-join whose hot keys spread over `salts` tasks: the left is salted, the right repeated for each salt."""
+    """An equi-join whose hot keys spread over `salts` tasks: the left is salted, the right repeated for each salt.
+
+    Right rows without a match (right, full) are found apart, by a join with the left's distinct keys, so each comes once.
+    """
+    if how in ("right", "full"):
+        met = salted(left, right, key, salts, "inner" if how == "right" else "left")
+        alone = right.join(left.select(key).distinct(), key, "left_anti")
+        return met.unionByName(alone, allowMissingColumns=True)
     a = left.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)))
     b = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")))
     return a.join(b, [key, "__salt"], how).drop("__salt")

@@ -32,6 +32,8 @@ class Store:
             if shared:
                 self.root = f"{shared.rstrip('/')}/store-{uuid.uuid4().hex}"
             else:
+                if not self.engine.spark.sparkContext.master.startswith("local"):
+                    raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
                 local = tempfile.mkdtemp(prefix="sparkforge-store-")
                 atexit.register(shutil.rmtree, local, ignore_errors=True)
                 self.root = f"file://{local}"

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,10 +25,18 @@ class Ledger:
 
 
 def merge(store: Store, table: str, changes: DataFrame, keys: list[str], order: str, operation: str | None = None) -> None:
-    """The newest change of each key wins; operation 'd' deletes, anything else upserts."""
+    """The newest change of each key wins; operation 'd' deletes, anything else upserts.
+
+    Where the table has the order column, a change that is older than the stored row changes nothing, whichever batch it
+    comes in. A deleted row leaves no trace, so a change that comes after its deletion counts as new. Null keys equal.
+    """
     last = Store.latest(changes, keys, F.col(order))
     now = store.read(table)
-    kept = now.join(last.select(*keys), keys, "left_anti").select(*now.columns)
+
+    if order in now.columns:
+        held = now.select(*(F.col(k).alias(f"__{k}") for k in keys), F.col(order).alias("__held"))
+        last = last.join(held, reduce(and_, (F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys)) & (F.col("__held") > F.col(order)), "left_anti")
+    kept = now.join(last.select(*(F.col(k).alias(f"__{k}") for k in keys)), reduce(and_, (now[k].eqNullSafe(F.col(f"__{k}")) for k in keys)), "left_anti").select(*now.columns)
     new = last.where(F.coalesce(F.lower(F.col(operation)), F.lit("u")) != "d") if operation else last
     store.replace(table, kept.unionByName(new.select(*now.columns)))
 

@@ -172,3 +172,57 @@ def test_names_of_two_parts(e):
     assert e.sql("SELECT sum(n) AS v FROM shop.items").first().v == 6
     assert e.sql("SELECT count(*) AS v FROM information_schema.columns WHERE table_name = 'shop__items'").first().v == 2
     e.sql("UPDATE shop.items SET n = 0 WHERE id = 1; DROP TABLE shop.items")
+
+
+def test_salted_outer_joins(spark):
+    left = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (None, "n")], "k int, x string")
+    right = spark.createDataFrame([(1, 10), (3, 30), (None, 40)], "k int, y int")
+    for how in ("inner", "left", "right", "full"):
+        want = sorted(map(repr, left.join(right, "k", how).select("k", "x", "y").collect()))
+        assert sorted(map(repr, joins.salted(left, right, "k", 4, how).select("k", "x", "y").collect())) == want
+
+
+def test_as_of_null_keys_match_nothing(spark):
+    left = spark.createDataFrame([(1, 5), (None, 5)], "k int, t int")
+    right = spark.createDataFrame([(1, 3, "x"), (None, 3, "y")], "k int, s int, v string")
+    assert {(r.k, r.v) for r in joins.as_of(left, right, ["k"], "t", "s", ["v"]).collect()} == {(1, "x"), (None, None)}
+
+
+def test_bins_of_ranges_of_any_length(spark):
+    points = spark.createDataFrame([(float(x),) for x in (-1e9, -3, 0, 1, 2, 2.5, 7, 1e6, 1e12)], "p double")
+    rows = [(0.0, 2.0), (-1e12, 1e13), (2.0, 2.0), (5.0, 4.0), (float("-inf"), 0.0), (None, 3.0), (1e5, float("inf"))]
+    ranges = spark.createDataFrame(rows, "lo double, hi double")
+    for how in ("inner", "left"):
+        got = joins.between_bins(points, ranges.limit(5) if how == "left" else ranges, "p", "lo", "hi", 1.0, how)
+        want = points.join(ranges.limit(5) if how == "left" else ranges, (points.p >= ranges.lo) & (points.p <= ranges.hi), how)
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+
+
+def test_changes_older_than_the_stored_row(spark):
+    from sparkforge.session import Engine
+    from sparkforge.streaming.cdc import merge
+
+    e = Engine(spark)
+    schema = "k int, n int, at int"
+    e.store.create("c", spark.createDataFrame([], schema), ["k"])
+    for rows in ([(1, 5, 10), (None, 1, 1)], [(1, 2, 4), (None, 2, 3), (2, 7, 1)], [(2, 6, 0), (1, 8, 11)]):
+        merge(e.store, "c", spark.createDataFrame(rows, schema), ["k"], "at")
+    assert {tuple(r) for r in e.store.read("c").collect()} == {(1, 8, 11), (None, 2, 3), (2, 7, 1)}
+
+
+def test_skipped_lines_of_every_file(spark, tmp_path):
+    from sparkforge.sources.files import read
+
+    for k in range(3):
+        (tmp_path / f"f{k}.csv").write_text(f"junk {k}\nmore junk\na,b\n{k},x\n{k + 10},y\n")
+    out = read(spark, "csv", str(tmp_path), {"skip": "2", "sample_size": "1000"})
+    assert sorted(tuple(r) for r in out.collect()) == [(k, x) for k, x in ((0, "x"), (1, "x"), (2, "x"), (10, "y"), (11, "y"), (12, "y"))]
+
+
+@pytest.mark.parametrize("text, want", [
+    ("get_format(DATE, 'EUR')", "%d.%m.%Y"), ("length(utc_time())", 8), ("charset('a')", "utf8mb4"), ("benchmark(3, 1 + 1)", 0), ("BINARY 'a' = 'A'", False), ("'b' COLLATE utf8mb4_general_ci = 'b'", True), ("@@version", "8.0.0"),
+])
+def test_names_of_the_server(spark, text, want):
+    from sparkforge.session import Engine
+
+    assert Engine(spark).sql(f"SELECT {text} AS v").first().v == want
