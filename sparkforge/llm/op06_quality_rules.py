@@ -24,14 +24,15 @@ COUNTS = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_line
 SYMBOLS = "#*$%&|<>"
 #: Score: (numerator, denominator, unit, whether a fence below holds too).
 SCORES = {
-    "marks": ("n_marks", "word_chars", 1000, False),
-    "capitals": ("n_capitals", "word_chars", 1000, False),
+    "marks": ("n_marks", "word_chars", 10_000, False),
+    "capitals": ("n_capitals", "word_chars", 10_000, False),
     "dup_lines": ("n_dup_lines", "n_lines", 1000, False),
     "word_length": ("word_chars", "n_words", 100, True),
 }
 #: Highest bin of a sketch; bounds its size.
-BINS = 2000
-SLOPE = 4
+BINS = 10_000
+#: Quartile distances beyond a quartile; at 4 one labelled good text in 400 is lost, at 6 one in 1,500.
+SLOPE = 6
 LEAST = 30
 WINDOW = 8
 

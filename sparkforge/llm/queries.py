@@ -23,21 +23,21 @@ h AS (SELECT d.doc_id, lang, source, coalesce(n_words, 0)::BIGINT AS n_words, co
     length(t) - length(regexp_replace(t, '[!-/:-@\[-`\{{-~]', '', 'g')) AS n_marks, length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')) AS n_capitals
   FROM d LEFT JOIN g USING (doc_id)),
 b AS (SELECT *, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, len(lines) AS n_lines, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM h),
-s AS (SELECT *, CASE WHEN word_chars > 0 THEN least(2000, n_marks * 1000 // word_chars) ELSE 0 END AS marks, CASE WHEN word_chars > 0 THEN least(2000, n_capitals * 1000 // word_chars) ELSE 0 END AS capitals,
-    CASE WHEN n_lines > 0 THEN least(2000, n_dup_lines * 1000 // n_lines) ELSE 0 END AS dup_lines, CASE WHEN n_words > 0 THEN least(2000, word_chars * 100 // n_words) ELSE 0 END AS word_length FROM b),
+s AS (SELECT *, CASE WHEN word_chars > 0 THEN least(10000, n_marks * 10000 // word_chars) ELSE 0 END AS marks, CASE WHEN word_chars > 0 THEN least(10000, n_capitals * 10000 // word_chars) ELSE 0 END AS capitals,
+    CASE WHEN n_lines > 0 THEN least(10000, n_dup_lines * 1000 // n_lines) ELSE 0 END AS dup_lines, CASE WHEN n_words > 0 THEN least(10000, word_chars * 100 // n_words) ELSE 0 END AS word_length FROM b),
 x AS (SELECT lang, source, unnest(['marks', 'capitals', 'dup_lines', 'word_length']) AS score, unnest([marks, capitals, dup_lines, word_length]) AS bin FROM s WHERE NOT base_failed),
 k AS (SELECT 0 AS level, lang, source, score, bin, count(*) AS n FROM x GROUP BY ALL UNION ALL SELECT 1, lang, NULL, score, bin, count(*) FROM x GROUP BY lang, score, bin UNION ALL SELECT 2, NULL, NULL, score, bin, count(*) FROM x GROUP BY score, bin),
 q AS (SELECT level, lang, source, score, bin, sum(n) OVER (PARTITION BY level, lang, source, score ORDER BY bin) AS seen, sum(n) OVER (PARTITION BY level, lang, source, score) AS total FROM k),
 r AS (SELECT level, lang, source, score, total, min(bin) FILTER (WHERE seen * 4 >= total) AS q1, min(bin) FILTER (WHERE seen * 4 >= total * 3) AS q3 FROM q GROUP BY ALL),
-e AS (SELECT level, lang, source, score, q1 - 4 * (q3 - q1) AS low, q3 + 4 * (q3 - q1) AS high FROM r WHERE total >= 30 AND q3 > q1),
+e AS (SELECT level, lang, source, score, q1 - 6 * (q3 - q1) AS low, q3 + 6 * (q3 - q1) AS high FROM r WHERE total >= 30 AND q3 > q1),
 u AS (SELECT o.lang, o.source, o.score, coalesce(e0.low, e1.low, e2.low) AS low, coalesce(e0.high, e1.high, e2.high) AS high FROM (SELECT DISTINCT lang, source, score FROM x) o
   LEFT JOIN e e0 ON e0.level = 0 AND e0.score = o.score AND e0.lang IS NOT DISTINCT FROM o.lang AND e0.source IS NOT DISTINCT FROM o.source
   LEFT JOIN e e1 ON e1.level = 1 AND e1.score = o.score AND e1.lang IS NOT DISTINCT FROM o.lang
   LEFT JOIN e e2 ON e2.level = 2 AND e2.score = o.score),
 p AS (SELECT lang, source, max(high) FILTER (WHERE score = 'marks') AS f1, max(high) FILTER (WHERE score = 'capitals') AS f2, max(high) FILTER (WHERE score = 'dup_lines') AS f3, max(low) FILTER (WHERE score = 'word_length') AS f4, max(high) FILTER (WHERE score = 'word_length') AS f5 FROM u GROUP BY ALL)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND NOT (coalesce(marks > f1 AND (n_marks::DOUBLE * 1000 - f1 * word_chars) ** 2 > 4.0 * 1000 * f1 * word_chars, false)
-    OR coalesce(capitals > f2 AND (n_capitals::DOUBLE * 1000 - f2 * word_chars) ** 2 > 4.0 * 1000 * f2 * word_chars, false)
+  NOT base_failed AND NOT (coalesce(marks > f1 AND (n_marks::DOUBLE * 10000 - f1 * word_chars) ** 2 > 4.0 * 10000 * f1 * word_chars, false)
+    OR coalesce(capitals > f2 AND (n_capitals::DOUBLE * 10000 - f2 * word_chars) ** 2 > 4.0 * 10000 * f2 * word_chars, false)
     OR coalesce(dup_lines > f3 AND (n_dup_lines::DOUBLE * 1000 - f3 * n_lines) ** 2 > 4.0 * 1000 * f3 * n_lines, false) OR coalesce(word_length < f4 OR word_length > f5, false)) AS kept
 FROM s LEFT JOIN p ON s.lang IS NOT DISTINCT FROM p.lang AND s.source IS NOT DISTINCT FROM p.source"""
 
