@@ -242,7 +242,7 @@ COMPOSED: dict[str, object] = {
     # A NaN never is the largest; the test of the type is folded before the query runs.
     "max": "max(if(typeof({0}) IN ('double', 'float') AND cast({0} as string) = 'NaN', NULL, {0}))",
     "first": "first({0}, true)", "last": "last({0}, true)",
-    "approx_top_k": lambda a: f"transform(array(collect_list(struct({a[0]} AS v))), l -> slice(transform(array_sort(transform(array_distinct(l), e -> named_struct('c', -size(filter(l, z -> z <=> e)), 'n', if(e.v IS NULL, 0, 1), 'v', e.v))), r -> named_struct('item', r.v, 'count', cast(-r.c as bigint))), 1, {a[1] if len(a) > 1 else 5}))[0]",
+    "approx_top_k": lambda a: _top(a[0], a[1] if len(a) > 1 else "5"),
     "bitmap_agg": "array_sort(collect_set(cast({0} as bigint)))", "bitmap_union": "array_sort(array_distinct(flatten(collect_list({0}))))", "bitmap_union_count": "size(array_distinct(flatten(collect_list({0}))))",
     "bitmap_intersect": "aggregate(collect_list({0}), cast(NULL as array<bigint>), (acc, z) -> coalesce(array_intersect(acc, z), z))",
     "array_agg": "transform(collect_list(struct({0} AS v)), z -> z.v)", "array_agg_distinct": "array_sort(collect_set({0}))", "array_unique_agg": "array_distinct(flatten(collect_list({0})))",
@@ -267,6 +267,14 @@ def _slice(a: list[str]) -> str:
     return f"timestampadd({unit}, cast(floor(timestampdiff({unit}, {origin}, {x}) / ({a[1]})) as int) * ({a[1]}){f' + ({a[1]})' if end else ''}, {origin})"
 
 
+def _top(x: str, k: str) -> str:
+    """The group is sorted once; the places where a value begins give each value's number of rows."""
+    starts = "filter(sequence(0, size(l)), i -> i < size(l) AND (i = 0 OR NOT get(l, i) <=> get(l, i - 1)))"
+    counted = "transform(s, (i, j) -> named_struct('c', i - coalesce(get(s, j + 1), size(l)), 'n', if(get(l, i).v IS NULL, 0, 1), 'v', get(l, i).v))"
+    rows = f"transform(slice(array_sort(transform(array({starts}), s -> {counted})[0]), 1, {k}), r -> named_struct('item', r.v, 'count', cast(-r.c as bigint)))"
+    return f"transform(array(sort_array(collect_list(struct({x} AS v)))), l -> {rows})[0]"
+
+
 def _percentile(x: str, p: str) -> str:
     """Interpolates at p * n - 1/2."""
     at = f"greatest(0D, least(size(v) - 1D, ({p}) * size(v) - 0.5D))"

@@ -1,12 +1,16 @@
 """Tables that take statements: versions of Parquet folders behind a pointer.
 
 A write makes a new folder and then moves the pointer, so that readers keep the version they began with, a failed write
-leaves nothing visible, and the files of one version never change. Keyed tables keep one row per key.
+leaves nothing visible, and the files of one version never change. Keyed tables keep one row per key. Rows put into a table
+without a key are a folder of their own beside the others of the version. The pointer is a numbered file: a store that is
+opened again on its root finds its tables, and two writers can't both make the same version on stores that refuse to rename
+onto a file.
 """
 
 from __future__ import annotations
 
 import atexit
+import json
 import os
 import re
 import shutil
@@ -15,16 +19,78 @@ import uuid
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+#: Folders of one version at most; one more insert writes them as one.
+PARTS = 64
 
 
 class Store:
     def __init__(self, engine, root: str | None = None):
         self.engine, self.root = engine, root
-        self.versions: dict[str, str] = {}
+        self.versions: dict[str, tuple[tuple[str, ...], StructType]] = {}
+        self.numbers: dict[str, int] = {}
+        self.batches: dict[str, dict[str, int]] = {}
         self.key: dict[str, list[str]] = {}
         self.extra: dict[str, dict] = {}
         self.views: dict[str, tuple[str, str]] = {}
         self.next: dict[str, int] = {}
+        if root:
+            self.reopen()
+
+    # Small files beside the tables.
+
+    def hadoop(self, path: str):
+        """A path and its file system."""
+        context = self.engine.spark.sparkContext
+        p = context._jvm.org.apache.hadoop.fs.Path(path)
+        return p, p.getFileSystem(context._jsc.hadoopConfiguration())
+
+    def put(self, path: str, text: str) -> None:
+        """Writes a file that is there as a whole or not at all, and only once."""
+        p, fs = self.hadoop(path)
+        part, _ = self.hadoop(f"{path}.{uuid.uuid4().hex}.part")
+        out = fs.create(part)
+        out.write(bytearray(text.encode()))
+        out.close()
+        if fs.exists(p) or not fs.rename(part, p):
+            fs.delete(part, False)
+            raise RuntimeError(f"another writer made {path}")
+
+    def get(self, path: str) -> str:
+        p, fs = self.hadoop(path)
+        stream = fs.open(p)
+        try:
+            return self.engine.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def names(self, path: str) -> list[str]:
+        """Names in a folder, but not of files that are being written; none if there is no such folder."""
+        p, fs = self.hadoop(path)
+        return sorted(n for x in fs.listStatus(p) if not (n := x.getPath().getName()).endswith(".part")) if fs.exists(p) else []
+
+    def remove(self, path: str) -> None:
+        p, fs = self.hadoop(path)
+        fs.delete(p, True)
+
+    def publish(self, n: str) -> None:
+        """Moves the table's pointer to the version that is in memory."""
+        (paths, schema), number = self.versions[n], self.numbers.get(n, 0) + 1
+        state = {"paths": paths, "schema": schema.json(), "key": self.key.get(n, []), "extra": self.extra.get(n, {}), "next": self.next.get(n, 1), "batches": self.batches.get(n, {}), "view": self.views.get(n)}
+        self.put(f"{self.folder()}/{n}/_versions/{number:012d}", json.dumps(state))
+        self.numbers[n] = number
+
+    def reopen(self) -> None:
+        """The tables whose pointers are under the root."""
+        for n in self.names(self.root):
+            if found := self.names(f"{self.root}/{n}/_versions"):
+                state = json.loads(self.get(f"{self.root}/{n}/_versions/{found[-1]}"))
+                self.versions[n], self.numbers[n] = (tuple(state["paths"]), StructType.fromJson(json.loads(state["schema"]))), int(found[-1])
+                self.key[n], self.extra[n], self.next[n], self.batches[n] = (state[k] for k in ("key", "extra", "next", "batches"))
+                if state["view"]:
+                    self.views[n] = tuple(state["view"])
+                self.engine.view(n, self.read(n))
 
     def folder(self) -> str:
         if self.root is None:
@@ -53,8 +119,8 @@ class Store:
         n = self.name(name)
         if n not in self.versions:
             return self.engine.spark.table(name)
-        path, schema = self.versions[n]
-        return self.engine.spark.read.schema(schema).parquet(path)
+        paths, schema = self.versions[n]
+        return self.engine.spark.read.schema(schema).parquet(*paths)
 
     def replace(self, name: str, df: DataFrame) -> None:
         """Writes a new version, sorted by the key inside partitions so that row groups can be skipped, and moves the pointer."""
@@ -62,9 +128,24 @@ class Store:
         path = f"{self.folder()}/{n}/{uuid.uuid4().hex}"
         keys = [k for k in self.key.get(n, []) if k in df.columns]
         (df.sortWithinPartitions(*keys) if keys else df).write.parquet(path)
-        self.versions[n] = (path, df.schema)
+        self.versions[n] = ((path,), df.schema)
+        self.publish(n)
         self.engine.view(n, self.read(n))
 
+    def append(self, name: str, df: DataFrame) -> int:
+        """Rows as one more folder of the table, whose other files stay as they are. Returns their number."""
+        n = self.name(name)
+        path = f"{self.folder()}/{n}/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        paths, schema = self.versions[n]
+        self.versions[n] = ((*paths, path), schema)
+        if len(paths) < PARTS:
+            self.publish(n)
+            self.engine.view(n, self.read(n))
+        else:
+            self.replace(n, self.read(n))
+        return self.engine.spark.read.schema(schema).parquet(path).count()
+
     def create(self, name: str, df: DataFrame, keys: list[str] | None = None, extra: dict | None = None) -> None:
         n = self.name(name)
         self.key[n], self.extra[n], self.next[n] = keys or [], extra or {}, 1
@@ -72,15 +153,19 @@ class Store:
 
     def drop(self, name: str) -> None:
         n = self.name(name)
-        for d in (self.versions, self.key, self.extra, self.views):
+        for d in (self.versions, self.key, self.extra, self.views, self.next, self.batches, self.numbers):
             d.pop(n, None)
+        self.remove(f"{self.folder()}/{n}/_versions")
         self.engine.spark.catalog.dropTempView(n)
 
     def rename(self, old: str, new: str) -> None:
         a, b = self.name(old), self.name(new)
-        for d in (self.versions, self.key, self.extra, self.next):
+        for d in (self.versions, self.key, self.extra, self.next, self.batches, self.views):
             if a in d:
                 d[b] = d.pop(a)
+        self.publish(b)
+        self.numbers.pop(a, None)
+        self.remove(f"{self.folder()}/{a}/_versions")
         self.engine.spark.catalog.dropTempView(a)
         self.engine.view(b, self.read(b))
 
@@ -100,8 +185,7 @@ class Store:
         place = {c.lower(): f"__c{i}" for i, c in enumerate(given)}
         auto = next((c for c, e in extra.items() if e.get("auto")), None)
         if auto:
-            # Consecutive numbers need one order of all new rows.
-            df = df.withColumn("__n", F.row_number().over(Window.orderBy(F.monotonically_increasing_id())) + F.lit(self.next.get(n, 1) - 1))
+            df = self.numbered(df, f"{self.folder()}/{n}/{uuid.uuid4().hex}-new", self.next.get(n, 1))
         out = []
         for f in schema:
             e = extra.get(f.name, {})
@@ -113,16 +197,25 @@ class Store:
             out.append((F.lit(None) if c is None else c).cast(f.dataType).alias(f.name))
         return df.select(*out)
 
+    def numbered(self, df: DataFrame, path: str, first: int) -> DataFrame:
+        """df with consecutive numbers from `first` on as __n: places inside partitions, written so that they stay, behind
+        the rows of the partitions before, of which there is one count each."""
+        out = df.withColumn("__m", F.monotonically_increasing_id())
+        out.write.parquet(path)
+        out = self.engine.spark.read.schema(out.schema).parquet(path).withColumn("__p", F.shiftright("__m", 33))
+        counts = out.groupBy("__p").agg(F.count("*").alias("__c"))
+        before = F.coalesce(F.sum("__c").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        starts = counts.select(F.col("__p").alias("__q"), before.alias("__b"))
+        place = F.col("__m") - F.shiftleft("__p", 33) + F.col("__b") + F.lit(first)
+        return out.join(starts, F.col("__p") == F.col("__q")).withColumn("__n", place).drop("__m", "__p", "__q", "__b")
+
     def insert(self, name: str, df: DataFrame, columns: list[str] | None = None, mode: str = "insert", updates: dict | None = None) -> int:
         """mode: insert and replace (new row wins), ignore (old row wins), update (changes of the old row)."""
         n, now, keys = self.name(name), self.read(name), self.keys(name)
         new = self.shaped(name, df, columns)
         auto = next((c for c, e in self.extra.get(n, {}).items() if e.get("auto")), None)
-        if auto:
-            # Numbers must not change between the uses of the new rows.
-            path = f"{self.folder()}/{n}/{uuid.uuid4().hex}-new"
-            new.write.parquet(path)
-            new = self.engine.spark.read.schema(new.schema).parquet(path)
+        if not keys and not auto:
+            return self.append(n, new)
         if not keys:
             out = now.union(new)
         elif mode == "ignore":
@@ -142,6 +235,7 @@ class Store:
         if auto:
             top = self.read(name).agg(F.max(auto)).first()[0]
             self.next[n] = int(top or 0) + 1
+            self.publish(n)
         return self.read(name).count() - before
 
     @staticmethod

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 from operator import and_
+from urllib.parse import quote, unquote
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,25 +13,19 @@ from pyspark.sql import functions as F
 from ..sources.tables import Store
 
 
-class Ledger:
-    """Batches that are in: a batch that comes again after a failure is left out."""
-
-    def __init__(self):
-        self.done: set[tuple[str, int]] = set()
-
-    def first(self, query: str, batch: int) -> bool:
-        return (query, batch) not in self.done
-
-    def commit(self, query: str, batch: int) -> None:
-        self.done.add((query, batch))
-
-
-def merge(store: Store, table: str, changes: DataFrame, keys: list[str], order: str, operation: str | None = None) -> None:
+def merge(store: Store, table: str, changes: DataFrame, keys: list[str], order: str, operation: str | None = None, batch: tuple[str, int] | None = None) -> None:
     """The newest change of each key wins; operation 'd' deletes, anything else upserts.
 
     Where the table has the order column, a change that is older than the stored row changes nothing, whichever batch it
     comes in. A deleted row leaves no trace, so a change that comes after its deletion counts as new. Null keys equal.
+
+    batch: the stream's name and the batch's number, which the table's pointer keeps with the version that holds the batch.
+    One that is in already, by a driver that failed before its checkpoint was written, is left out.
     """
+    done = store.batches.setdefault(Store.name(table), {})
+    if batch:
+        if batch[1] <= done.get(batch[0], -1):
+            return
     last = Store.latest(changes, keys, F.col(order))
     now = store.read(table)
 
@@ -38,17 +34,23 @@ def merge(store: Store, table: str, changes: DataFrame, keys: list[str], order:
         last = last.join(held, reduce(and_, (F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys)) & (F.col("__held") > F.col(order)), "left_anti")
     kept = now.join(last.select(*(F.col(k).alias(f"__{k}") for k in keys)), reduce(and_, (now[k].eqNullSafe(F.col(f"__{k}")) for k in keys)), "left_anti").select(*now.columns)
     new = last.where(F.coalesce(F.lower(F.col(operation)), F.lit("u")) != "d") if operation else last
-    store.replace(table, kept.unionByName(new.select(*now.columns)))
+    before = done.get(batch[0]) if batch else None
+    if batch:
+        done[batch[0]] = batch[1]
+    try:
+        store.replace(table, kept.unionByName(new.select(*now.columns)))
+    except BaseException:
+        if batch:
+            done.pop(batch[0])
+            done.update({} if before is None else {batch[0]: before})
+        raise
 
 
-def upsert_stream(stream: DataFrame, store: Store, table: str, keys: list[str], order: str, operation: str | None = None, name: str = "cdc", ledger: Ledger | None = None, checkpoint: str | None = None):
-    """Starts the query; its batches are merged one after the other."""
-    ledger = ledger or Ledger()
+def upsert_stream(stream: DataFrame, store: Store, table: str, keys: list[str], order: str, operation: str | None = None, name: str = "cdc", checkpoint: str | None = None):
+    """Starts the query; its batches are merged one after the other, each once for a name and checkpoint."""
 
     def batch(df: DataFrame, number: int) -> None:
-        if ledger.first(name, number):
-            merge(store, table, df, keys, order, operation)
-            ledger.commit(name, number)
+        merge(store, table, df, keys, order, operation, (f"{name} {checkpoint}", number) if checkpoint else None)
 
     writer = stream.writeStream.queryName(name).foreachBatch(batch)
     if checkpoint:
@@ -57,10 +59,17 @@ def upsert_stream(stream: DataFrame, store: Store, table: str, keys: list[str],
 
 
 class Staged:
-    """XA-like branches: writes are kept by id until they are committed; committing an unknown id does nothing."""
+    """XA-like branches: writes are kept by id until they are committed; committing an unknown id does nothing.
+
+    A prepared branch is a file of the store, so that it outlives the driver; a commit that failed on its way can be given
+    again and then runs all its statements again.
+    """
 
     def __init__(self, engine):
-        self.engine, self.open, self.prepared = engine, {}, {}
+        self.engine, self.open = engine, {}
+
+    def path(self, xid: str) -> str:
+        return f"{self.engine.store.folder()}/_branches/{quote(xid, safe='')}"
 
     def start(self, xid: str) -> None:
         self.open[xid] = []
@@ -69,18 +78,21 @@ class Staged:
         self.open[xid].append(sql)
 
     def prepare(self, xid: str) -> None:
-        self.prepared[xid] = self.open.pop(xid)
+        self.engine.store.put(self.path(xid), json.dumps(self.open[xid]))
+        self.open.pop(xid)
 
     def commit(self, xid: str) -> None:
-        for sql in self.prepared.pop(xid, []):
-            self.engine.sql(sql)
+        if xid in self.recover():
+            for sql in json.loads(self.engine.store.get(self.path(xid))):
+                self.engine.sql(sql)
+            self.engine.store.remove(self.path(xid))
 
     def rollback(self, xid: str) -> None:
-        self.prepared.pop(xid, None)
+        self.engine.store.remove(self.path(xid))
         self.open.pop(xid, None)
 
     def recover(self) -> list[str]:
-        return sorted(self.prepared)
+        return sorted(map(unquote, self.engine.store.names(f"{self.engine.store.folder()}/_branches")))
 
 
 def bucketed(stream: DataFrame, at: str, width: str, late: str, by: list[str], **aggregates) -> DataFrame:

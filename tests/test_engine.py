@@ -226,3 +226,69 @@ def test_names_of_the_server(spark, text, want):
     from sparkforge.session import Engine
 
     assert Engine(spark).sql(f"SELECT {text} AS v").first().v == want
+
+
+def test_store_is_found_again(spark, tmp_path):
+    from sparkforge.session import Engine
+    from sparkforge.streaming.cdc import Staged, merge
+
+    root = f"file://{tmp_path}/store"
+    e = Engine(spark, root=root)
+    e.sql("CREATE TABLE t (id INT PRIMARY KEY, v INT DEFAULT 7); INSERT INTO t (id) VALUES (1), (2); CREATE TABLE gone (a INT); DROP TABLE gone; CREATE TABLE u (a INT); INSERT INTO u VALUES (1), (2)")
+    first = e.store.versions["u"][0]
+    assert e.sql("INSERT INTO u VALUES (3)").count() >= 0 and e.store.versions["u"][0][: len(first)] == first
+    changes = spark.createDataFrame([(1, 15), (3, 6)], "id int, v int")
+    merge(e.store, "t", changes, ["id"], "v", batch=("s", 4))
+    s = Staged(e)
+    s.start("a/b")
+    s.write("a/b", "INSERT INTO u VALUES (9)")
+    s.prepare("a/b")
+    e = Engine(spark, root=root)
+    assert set(e.store.versions) == {"t", "u"} and e.store.keys("t") == ["id"]
+    merge(e.store, "t", spark.createDataFrame([(1, 99)], "id int, v int"), ["id"], "v", batch=("s", 4))
+    assert {tuple(r) for r in e.sql("SELECT * FROM t").collect()} == {(1, 15), (2, 7), (3, 6)}
+    s = Staged(e)
+    assert s.recover() == ["a/b"]
+    s.commit("a/b")
+    s.commit("a/b")
+    assert sorted(r[0] for r in e.sql("SELECT * FROM u").collect()) == [1, 2, 3, 9] and s.recover() == []
+    e.sql("INSERT INTO t (id) VALUES (4)")
+    assert e.sql("SELECT v FROM t WHERE id = 4").first()[0] == 7
+    with pytest.raises(RuntimeError):
+        e.store.numbers["u"] -= 1
+        e.store.publish("u")
+
+
+def test_many_inserts_are_written_as_one(spark, tmp_path, monkeypatch):
+    from sparkforge.session import Engine
+    from sparkforge.sources import tables
+
+    monkeypatch.setattr(tables, "PARTS", 3)
+    e = Engine(spark, root=f"file://{tmp_path}/store")
+    e.sql("CREATE TABLE u (a INT)")
+    for i in range(5):
+        e.sql(f"INSERT INTO u VALUES ({i})")
+        assert len(e.store.versions["u"][0]) <= 3
+    assert sorted(r[0] for r in e.sql("SELECT * FROM u").collect()) == [0, 1, 2, 3, 4]
+
+
+def test_numbers_of_many_partitions(spark, tmp_path):
+    from sparkforge.session import Engine
+
+    e = Engine(spark, root=f"file://{tmp_path}/store")
+    e.sql("CREATE TABLE n (id BIGINT PRIMARY KEY AUTO_INCREMENT, a BIGINT)")
+    e.view("many", e.spark.range(0, 1000, 1, 7).where("id % 9 <> 0").toDF("a"))
+    for _ in range(2):
+        e.sql("INSERT INTO n (a) SELECT a FROM many")
+    got = e.sql("SELECT id, a FROM n ORDER BY id").collect()
+    once = [i for i in range(1000) if i % 9]
+    assert [r[0] for r in got] == list(range(1, 2 * len(once) + 1)) and [r[1] for r in got] == once + once
+
+
+def test_top_k_of_nulls_ties_and_nothing(spark):
+    from sparkforge.session import Engine
+
+    e = Engine(spark)
+    got = e.sql("SELECT approx_top_k(x, 3) FROM (VALUES ('b'), ('a'), (NULL), ('a'), (NULL), ('b'), ('c')) AS t(x)").first()[0]
+    assert [tuple(r) for r in got] == [(None, 2), ("a", 2), ("b", 2)]
+    assert e.sql("SELECT approx_top_k(x, 3) FROM (VALUES ('b')) AS t(x) WHERE x = 'z'").first()[0] == []
