@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 SPACES = "\x09\x0a\x0b\x0c\x0d\x20"
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Whether the shuffles of a query are removed when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _own_root: list[str] = []
 
 
@@ -55,7 +58,13 @@ class Tables:
         path = new_path(self.spark, f"{self.name}-{name}")
         if rows is not None:
             df = df.coalesce(max(12, rows // 50_000))
-        df.write.option("compression", "zstd").parquet(path)
+        # A table that is written needs its shuffles no more; else they stay on disk until the driver collects its garbage.
+        before = self.spark.conf.get(CLEANUP)
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.set(CLEANUP, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths.add(path)
         out._table_path = path

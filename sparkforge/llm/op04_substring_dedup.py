@@ -246,6 +246,84 @@ def matches(p: Words, q: Words, seeds: list[tuple[int, int]], least: int, percen
     return out
 
 
+class Side:
+    """The word hashes of one side of many pairs in a row, words that are nowhere else between them."""
+
+    #: Words around a text, more than a look beyond the ends of a run goes.
+    GAP = STEP + SHINGLE + 1
+    POWERS = np.ones(1, np.uint64)
+
+    def __init__(self, texts: list[np.ndarray], odd: int):
+        self.at = np.cumsum([self.GAP, *(len(t) + self.GAP for t in texts)])[:-1]
+        gaps = mix(np.arange(self.GAP * (len(texts) + 1), dtype=np.uint64) * np.uint64(2) + np.uint64(odd)).reshape(-1, self.GAP)
+        self.words = np.concatenate([gaps[0], *(x for t, g in zip(texts, gaps[1:]) for x in (t, g))])
+        self.shingles = shingles(self.words, SHINGLE)
+        if len(Side.POWERS) <= len(self.words):
+            Side.POWERS = np.cumprod(np.concatenate([[np.uint64(1)], np.full(2 * len(self.words), MIX1)]), dtype=np.uint64)
+        self.sums = np.concatenate([[np.uint64(0)], np.cumsum(self.words * Side.POWERS[: len(self.words)], dtype=np.uint64)])
+
+
+def equal_lengths(p: Side, q: Side, i: np.ndarray, j: np.ndarray, step: int = 1) -> np.ndarray:
+    """How many words from each i and j on are equal, forwards or (step -1) those before them, by hashes of their sums."""
+    done, on, size = np.zeros(len(i), np.int64), np.arange(len(i)), 64
+    while len(on):
+        # Up to 2 * size - 1 words more; what is equal as far as that goes on.
+        before = done[on]
+        top = size
+        while size:
+            a, b = i[on] + step * done[on] - (size if step < 0 else 0), j[on] + step * done[on] - (size if step < 0 else 0)
+            inside = (np.minimum(a, b) >= 0) & (a + size < len(p.sums)) & (b + size < len(q.sums))
+            a, b = np.where(inside, a, 0), np.where(inside, b, 0)
+            stop = inside * size
+            same = (p.sums[a + stop] - p.sums[a]) * Side.POWERS[b] == (q.sums[b + stop] - q.sums[b]) * Side.POWERS[a]
+            done[on] += size * (same & inside)
+            size >>= 1
+        on, size = on[done[on] - before == 2 * top - 1], top * 16
+    return done
+
+
+def thinned(row: np.ndarray, a: np.ndarray, c: np.ndarray, n: np.ndarray, width: int) -> np.ndarray:
+    """Which runs to keep of those with one side in common whose other sides overlap: the same words hang together by them."""
+    on = np.arange(len(n))
+    for same, other in ((a, c), (c, a)):
+        x = on[np.lexsort((other[on], n[on], same[on], row[on]))]
+        part = other[x] // width
+        first = np.ones(len(x), bool)
+        first[1:] = (row[x[1:]] != row[x[:-1]]) | (same[x[1:]] != same[x[:-1]]) | (n[x[1:]] != n[x[:-1]]) | (part[1:] != part[:-1])
+        on = x[first | np.append(first[1:], True)]
+    return np.sort(on)
+
+
+def sorted_runs(p: Side, q: Side, row: np.ndarray, i: np.ndarray, j: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The equal runs at the seeds (i, j) of each row, as columns: (row, i, j) where chains may begin, (row, i, j, n) of matches.
+
+    A run at whose ends nothing agrees again, and no other run begins, is a chain by itself: it is a match if it has `least`
+    words, and nothing if it has fewer.
+    """
+    i, j = p.at[row] + i, q.at[row] + j
+    back = equal_lengths(p, q, i, j, -1)
+    code = np.unique(np.stack([row, i - back, j - back]), axis=1) if len(i) else np.zeros((3, 0), np.int64)
+    row, a, c = code
+    n = equal_lengths(p, q, a, c)
+    b, d = a + n, c + n
+    beyond = np.arange(1, STEP + 1)
+    can = np.zeros(len(n), bool)
+    for some in np.array_split(np.arange(len(n)), len(n) // 50_000 + 1):
+        x, y = p.shingles[b[some, None] + beyond], q.shingles[d[some, None] + beyond]
+        u, v = p.shingles[a[some, None] - SHINGLE - beyond], q.shingles[c[some, None] - SHINGLE - beyond]
+        can[some] = ((x[:, :, None] == y[:, None]) | (u[:, :, None] == v[:, None])).any((1, 2))
+    # Runs that begin within STEP of the end of another one, found by cells of more words than that is wide.
+    cell = lambda a, c: mix(mix(row.astype(np.uint64) << np.uint64(32) | (a >> 4).astype(np.uint64)) + (c >> 4).astype(np.uint64))
+    starts = cell(a, c)
+    for x in (-STEP, STEP):
+        for y in (-STEP, STEP):
+            ends = cell(b + x, d + y)
+            can |= np.isin(ends, starts) | np.isin(starts, ends)
+    found = np.stack([row, a - p.at[row], c - q.at[row], n])
+    alone = found[:, ~can & (n >= least)]
+    return found[:3, can], alone[:, thinned(*alone, least // 2)]
+
+
 def merged(stretches: DataFrame) -> DataFrame:
     """Stretches (doc_id, start_word, end_word) that overlap or touch as one."""
     ordered = Window.partitionBy("doc_id").orderBy("start_word", "end_word")
@@ -291,10 +369,17 @@ def repeated_passages(docs: DataFrame, least: int = LEAST, percent: int = PERCEN
 
         names = ["doc_id", "start_word", "end_word", "kept_doc_id", "kept_start", "kept_end"]
         for b in batches:
-            rows = []
-            for i, k, seeds, p, q in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), b.column(4)):
-                at, kept_at = (seeds.values.field(n).to_pylist() for n in ("at", "kept_at"))
-                rows += [(i, x[0], x[1], k, x[2], x[3]) for x in matches(get(i, p), get(k, q), list(zip(at, kept_at)), least, percent)]
+            rows, seeds = [], b.column(2).flatten()
+            sides = (Side([np.frombuffer(w.as_buffer(), np.uint64) for w in b.column(n)], n % 2) for n in (3, 4))
+            at, kept_at = (seeds.field(n).to_numpy().astype(np.int64) for n in (0, 1))
+            (row, at, kept_at), alone = sorted_runs(*sides, np.repeat(np.arange(len(b)), b.column(2).value_lengths().to_numpy()), at, kept_at, least)
+            ids, kept_ids = (b.column(n).to_numpy()[alone[0]] for n in (0, 1))
+            rows += zip(*(c.tolist() for c in (ids, alone[1], alone[1] + alone[3], kept_ids, alone[2], alone[2] + alone[3])))
+            ends = np.flatnonzero(np.diff(row, append=-1)) + 1
+            for x, y in zip([0, *ends.tolist()], ends.tolist()):
+                (i, k), (p, q) = (b.column(n)[row[x]].as_py() for n in (0, 1)), (b.column(n)[row[x]] for n in (3, 4))
+                found = matches(get(i, p), get(k, q), list(zip(at[x:y].tolist(), kept_at[x:y].tolist())), least, percent)
+                rows += [(i, m[0], m[1], k, m[2], m[3]) for m in found]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=names)
 
@@ -314,6 +399,11 @@ def repeated_passages(docs: DataFrame, least: int = LEAST, percent: int = PERCEN
         inside = (F.col("doc_id") == F.col("d")) & (F.col("at") - before >= F.col("s")) & (F.col("at") + length <= F.col("e"))
         return tables.write(places.join(cover, inside, "left").select("print", "doc_id", "at", (F.col("matched") | F.col("d").isNotNull()).alias("matched")), "places")
 
+    def streaks(places: DataFrame) -> DataFrame:
+        """new: whether the place before, in the same text, has another print or is not in places."""
+        before = F.lag("at").over(Window.partitionBy("print", "doc_id").orderBy("at"))
+        return places.withColumn("new", F.coalesce(before < F.col("at") - 1, F.lit(True)))
+
     def open_prints(places: DataFrame) -> DataFrame:
         """Prints that a document other than the first has outside all that is removed."""
         ends = places.groupBy("print").agg(F.min("doc_id").alias("low"), F.max(F.when(~F.col("matched"), F.col("doc_id"))).alias("high"))
@@ -332,11 +422,13 @@ def repeated_passages(docs: DataFrame, least: int = LEAST, percent: int = PERCEN
     tables.drop(windows)
     turn = 0
     while not members.isEmpty():
-        # The next places, more of them each turn, are held against all of larger documents that are not removed yet.
-        rank = F.row_number().over(Window.partitionBy("print").orderBy("doc_id", "at"))
+        # The places of the next documents, more of them each turn, are held against all of larger ones not removed yet.
+        rank = F.dense_rank().over(Window.partitionBy("print").orderBy("doc_id"))
         ranked = tables.write(members.withColumn("pivot", rank <= 16**turn), "ranked")
-        pivots = ranked.where("pivot").select("print", F.col("doc_id").alias("kept_doc_id"), F.col("at").alias("kept_at"))
-        spans = spans.union(against(ranked.where("not matched").join(pivots, "print").where("doc_id > kept_doc_id")))
+        pivots = streaks(ranked.where("pivot")).select("print", F.col("doc_id").alias("kept_doc_id"), F.col("at").alias("kept_at"), F.col("new").alias("kept_new"))
+        # Where both places go on from the ones before them, those have the same equal run.
+        hits = streaks(ranked.where("not matched")).join(pivots, "print").where("doc_id > kept_doc_id and (new or kept_new)")
+        spans = spans.union(against(hits))
         # Places that have been pivots have met all others.
         rest = covered(ranked.where("not pivot"), 0)
         tables.drop(members)

@@ -1,8 +1,10 @@
 import random
+import time
 
 import numpy as np
 
-from sparkforge.llm.op04_substring_dedup import Bands, Words, certain_run, matches, repeated_passages, without_passages
+from sparkforge.llm.common import Tables, shingles
+from sparkforge.llm.op04_substring_dedup import Bands, Side, Words, certain_run, matches, repeated_passages, sorted_runs, without_passages
 from sparkforge.llm.op08_decontamination import NUMERIC, OUTER, UNITS, decontaminate
 
 SCHEMA = "doc_id long, text string, lang string, source string, at int, print string, seeds int, hash string, id int, gap string, item_id int, node string"
@@ -100,6 +102,61 @@ def test_alignment_like_brute_force():
                     assert any(x[0] <= i and i + 50 <= x[1] and x[2] <= j and j + 50 <= x[3] for x in found)
 
 
+def regions(found):
+    """Stretches of either side that overlap as one, and which of them are linked."""
+    sides = []
+    for lo, hi in ((0, 1), (2, 3)):
+        side: list = []
+        for a, b in sorted((m[lo], m[hi]) for m in found):
+            if side and a < side[-1][1]:
+                side[-1][1] = max(side[-1][1], b)
+            else:
+                side.append([a, b])
+        sides.append(side)
+    number = lambda side, at: next(i for i, (a, b) in enumerate(side) if a <= at < b)
+    return sides, {(number(sides[0], m[0]), number(sides[1], m[2])) for m in found}
+
+
+def test_runs_by_themselves_change_no_match():
+    """Texts with words that repeat many times: what many pairs at once leave to the alignment, and what they settle."""
+    rng = random.Random(13)
+    seeds_before = seeds_after = 0
+    for _ in range(120):
+        texts, others, seeds = [], [], []
+        for r in range(rng.randint(1, 4)):
+            known = [rng.getrandbits(63) for _ in range(rng.choice([2, 3, 50, 1000]))]
+            text = [w for _ in range(rng.randint(0, 10)) for w in ([rng.choice(known)] * rng.randint(1, 45) if rng.random() < 0.5 else rng.choices(known, k=rng.randint(1, 40)))]
+            other = list(text)
+            for _ in range(rng.randint(0, 8) if text else 0):
+                at = rng.randrange(len(other))
+                other[at : at + rng.randint(0, 2)] = rng.choices(known, k=rng.randint(1, 8))
+            texts.append(np.array(text, np.uint64))
+            others.append(np.array(other, np.uint64))
+            if min(len(text), len(other)) >= 25:
+                there = shingles(others[r], 25)
+                seeds += [(r, i, int(j)) for i, h in enumerate(shingles(texts[r], 25)) for j in np.flatnonzero(there == h)]
+        row, at, kept_at = np.array(seeds, np.int64).reshape(-1, 3).T
+        open_runs, alone = sorted_runs(Side(texts, 1), Side(others, 0), row, at, kept_at, 50)
+        seeds_before, seeds_after = seeds_before + len(seeds), seeds_after + open_runs.shape[1]
+        for r, (p, q) in enumerate(zip(texts, others)):
+            want = matches(Words(p), Words(q), [(i, j) for k, i, j in seeds if k == r], 50, 80)
+            got = matches(Words(p), Words(q), [(int(i), int(j)) for k, i, j in open_runs.T if k == r], 50, 80)
+            assert regions(got + [[i, i + n, j, j + n] for k, i, j, n in alone.T.tolist() if k == r]) == regions(want)
+    assert seeds_after < seeds_before / 10
+
+
+def test_written_tables_leave_no_shuffles(spark):
+    blocks = lambda: spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks().mkString(" ")
+    known = set(blocks().split())
+    Tables(spark, "test").write(spark.range(1000).repartition(7, "id"), "rows")
+    for _ in range(100):
+        left = [x for x in set(blocks().split()) - known if x.startswith("shuffle_")]
+        if not left:
+            break
+        time.sleep(0.1)
+    assert not left
+
+
 def test_recall_against_all_windows_of_the_documents(spark):
     """Exact passages, passages with an edit anywhere, halves of them in smaller documents, and families of copies."""
     rng = random.Random(12)
