@@ -13,6 +13,8 @@ from sparkforge.llm.op08_decontamination import decontaminate
 from sparkforge.llm.op10_minhash_dedup import near_duplicates
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Words that a worker process remembers in the token stage: its executor has all the memory of the stages before.
+REMEMBERED = 200_000
 
 
 def without(docs: DataFrame, ids: DataFrame, tables: Tables) -> DataFrame:
@@ -51,7 +53,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files of the mix, read back: doc_id, start, n_tokens, ids_crc32 of each document in them."""
-    return token_planes(docs.select(*COLUMNS))
+    return token_planes(docs.select(*COLUMNS), words=REMEMBERED)
 
 
 STAGES = [

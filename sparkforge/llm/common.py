@@ -88,6 +88,20 @@ def release() -> None:
 
     if library := sys.modules.get("tokenizers"):
         vars(library).pop("_sparkforge", None)
+    trim()
+
+
+def trim() -> None:
+    """Gives memory that earlier tasks of this worker process have freed back to the system."""
+    import ctypes
+    import gc
+
+    import pyarrow
+
+    gc.collect()
+    pyarrow.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
 
 
 class WordHashes(dict):
@@ -163,4 +177,4 @@ def components(edges: DataFrame, tables: Tables) -> DataFrame:
     return now.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node").union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-__all__ = ["SPACES", "WORD", "Tables", "WordHashes", "as_bytes", "components", "mix", "new_path", "release", "remove", "shared_root", "shingles"]
+__all__ = ["SPACES", "WORD", "Tables", "WordHashes", "as_bytes", "components", "mix", "new_path", "release", "remove", "shared_root", "shingles", "trim"]

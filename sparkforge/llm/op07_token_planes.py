@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Tables, new_path
+from .common import Tables, new_path, trim
 
 BLOCK = 1 << 16
 #: Bytes of text for each file.
@@ -49,11 +49,13 @@ class Encoder:
     Byte-level BPE never merges across pre-tokens, and a pre-token has a space at its start only, so a text may be cut
     before its single spaces and the ids of the cuts joined. A text with other white space beside a space is cut into
     pre-tokens, and one with the string of an added token goes to the library whole.
+
+    Half of `limit` new words make those before the old ones, of which only those that come again are kept further.
     """
 
     LIMIT = 1_000_000
 
-    def __init__(self, spec: str, pattern: str):
+    def __init__(self, spec: str, pattern: str, limit: int = LIMIT):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import regex
         from tokenizers import Tokenizer
@@ -62,20 +64,23 @@ class Encoder:
         self.find = regex.compile(pattern).findall
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.limit = limit
         vocabulary = self.tokenizer.get_vocab()
         self.space = np.zeros(max(vocabulary.values()) + 1, bool)
         self.space[[i for t, i in vocabulary.items() if t.startswith("Ġ")]] = True
 
     @classmethod
-    def shared(cls, spec: str, pattern: str) -> Encoder:
+    def shared(cls, spec: str, pattern: str, limit: int = LIMIT) -> Encoder:
         """One for all tasks of a worker process: kept at the library, which is a module of the process."""
         import tokenizers
 
         kept = vars(tokenizers).setdefault("_sparkforge", {})
-        name = (hash(spec), pattern)
+        name = (hash(spec), pattern, limit)
         if name not in kept:
             kept.clear()
-            kept[name] = cls(spec, pattern)
+            trim()
+            kept[name] = cls(spec, pattern, limit)
         return kept[name]
 
     def library(self, text: str) -> bytes:
@@ -88,12 +93,14 @@ class Encoder:
 
     def learn(self, new: set[str]) -> None:
         """Stores the ids of new cuts. Most are a word, or a word with one mark after it; others are cut into pre-tokens."""
-        known, words, rest, marked = self.known, set(), {}, []
+        known, words, alone, rest, marked = self.known, set(), [], {}, []
         for c in new:
             if c[1:].isalpha() and c[0] == " ":
                 words.add(c)
             elif c[1:-1].isalpha() and c[0] == " " and c[-1] in ",.;:?":
                 marked.append(c)
+            elif c.isalpha():
+                alone.append(c)
             else:
                 rest[c] = self.find(c)
         words.update(w for c in marked if (w := c[:-1]) not in known)
@@ -101,15 +108,15 @@ class Encoder:
         words.update(p for p in more if p[0] == " " and p[1:].isalpha())
         pieces = list(words)
         # Words that start with their only space can be told apart in the ids of a text of many.
-        for i in range(0, len(pieces), 500):
-            some = pieces[i : i + 500]
-            ids = np.array(self.tokenizer.encode("".join(some), add_special_tokens=False).ids, "<u4")
+        groups = [pieces[i : i + 100] for i in range(0, len(pieces), 100)]
+        for some, e in zip(groups, self.tokenizer.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False)):
+            ids = np.array(e.ids, "<u4")
             raw, at = ids.tobytes(), [*(4 * np.flatnonzero(self.space[ids])).tolist(), 4 * len(ids)]
             if len(at) == len(some) + 1:
                 known.update(zip(some, [raw[x:y] for x, y in zip(at, at[1:])]))
             else:
                 known.update((p, self.library(p)) for p in some)
-        others = list((more | {c[-1] for c in marked}).difference(known))
+        others = list(more.union(alone, (c[-1] for c in marked)).difference(known))
         for p, e in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False)):
             known[p] = np.array(e.ids, "<u4").tobytes()
         for c in marked:
@@ -120,10 +127,12 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         whole = [any(t in text for t in self.added) for text in texts]
         cut = [[] if w else self.cuts(t) for t, w in zip(texts, whole)]
-        if len(self.known) > self.LIMIT:
-            self.known.clear()
+        if 2 * len(self.known) > self.limit:
+            self.known, self.old = {}, self.known
         if new := set().union(*cut).difference(self.known):
-            self.learn(new)
+            again = new.intersection(self.old)
+            self.known.update(zip(again, map(self.old.__getitem__, again)))
+            self.learn(new - again)
         get = self.known.__getitem__
         return [self.library(t) if w else b"".join(map(get, c)) for t, w, c in zip(texts, whole, cut)]
 
@@ -232,9 +241,10 @@ def tokenizer_file() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: tuple[str, str] | None = None, end_id: int = END_ID, unit: str = "byte", file_bytes: int = FILE_BYTES) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer: tuple[str, str] | None = None, end_id: int = END_ID, unit: str = "byte", file_bytes: int = FILE_BYTES, words: int = Encoder.LIMIT) -> None:
     """Encodes every text (null: empty), appends end_id, and writes the files in ascending order of doc_id, null first.
 
+    words: how many words a worker process remembers, about 200 bytes each; with fewer, more are encoded again.
     Rows with equal ids follow each other in the order of a hash of their texts. No rows make one file without chunks.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -249,7 +259,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: tuple[str, str] | None =
     end = struct.pack("<I", end_id)
 
     def run(batches):
-        encoder = Encoder.shared(spec.value, pattern)
+        encoder = Encoder.shared(spec.value, pattern, words)
 
         def documents():
             for b in batches:

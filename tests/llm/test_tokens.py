@@ -30,6 +30,21 @@ def test_encoder_is_the_library(library):
         assert np.frombuffer(got, "<u4").tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_encoder_remembers_no_more_than_its_limit(library):
+    """Words that come again stay, others go after two turns, and the ids are those of the library."""
+    file, pattern = tokenizer_file()
+    e = Encoder(open(file, encoding="utf-8").read(), pattern, limit=200)
+    rng, learnt = random.Random(2), []
+    learn = e.learn
+    e.learn = lambda new: (learnt.extend(new), learn(new))
+    for _ in range(60):
+        texts = ["the same words, always " + " ".join("".join(rng.choice("abcdeé.\n") for _ in range(9)) for _ in range(20)) for _ in range(3)]
+        for got, t in zip(e.encode(texts), texts):
+            assert np.frombuffer(got, "<u4").tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)
+        assert len(e.known) + len(e.old) < 200 + 2 * 400
+    assert learnt.count(" same") == learnt.count(" words,") == 1 and len(learnt) > 2000
+
+
 @pytest.mark.parametrize("unit", ["byte", "bit"])
 def test_planes_and_files(unit):
     rng = np.random.default_rng(0)
