@@ -17,6 +17,10 @@ words, 25 for 50 words and 80 %, is the same in both: the bands are tuned to tha
 Overlapping stretches of a document are one node, matches are edges, and connected components are the clusters. A stretch
 is removed only where a document with a smaller doc_id has it too, so one copy of everything stays. Clusters hang together
 by the matches that were needed: of stretches that are removed already not all pairs are held against each other.
+
+One word many times in a row is settled without texts: two such stretches of `least` words have the same only shingle, so
+each goes where a document with a smaller doc_id has one of the word. Windows of one word have no keys, for any other chain
+they are part of needs its shingles from elsewhere, from a run with keys of its own.
 """
 
 from __future__ import annotations
@@ -47,13 +51,50 @@ def certain_run(least: int, percent: int) -> int:
     return max(best, 2 * SHINGLE)
 
 
-def minima_of_windows(h: np.ndarray, width: int) -> np.ndarray:
-    """The place of the minimum of every window of `width` shingles, the first if equal ones are in it."""
+def alike(w: np.ndarray, n: int) -> np.ndarray:
+    """Whether the n words from each place on are the same word."""
+    changes = np.concatenate([[0], np.cumsum(w[1:] != w[:-1])])[: len(w)]
+    return changes[n - 1 :] == changes[: max(0, len(w) - n + 1)]
+
+
+def stretches_of_one_word(w: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, ends) of all longest stretches of one word that have `least` words."""
+    ends = np.flatnonzero(np.append(w[1:] != w[:-1], True)[: len(w)]) + 1
+    starts = np.concatenate([[0], ends])[: len(ends)]
+    long = ends - starts >= least
+    return starts[long], ends[long]
+
+
+def beyond(w: np.ndarray, run: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """How many words before, and after, each window of `run` words that is one word and a last (first) other one must be removed with it.
+
+    Those are of the windows of one word next to it, which have no keys, as far as `least` words around the window go.
+    """
+    n = max(0, len(w) - run + 1)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    change, at = np.append(w[1:] != w[:-1], True), np.arange(len(w))
+    ends = np.minimum.accumulate(np.where(change, at, len(w))[::-1])[::-1] + 1
+    starts = np.maximum.accumulate(np.where(np.append(True, change[:-1]), at, 0))
+    same, at = alike(w, run - 1), at[:n]
+    left = np.where(same[:n], np.minimum(at - starts[:n], least - run), 0)
+    right = np.where(same[1 : n + 1], np.minimum(ends[run - 1 :] - run - at, least - run), 0)
+    return left, right
+
+
+def minima_of_windows(h: np.ndarray, width: int, last: np.ndarray | None = None) -> np.ndarray:
+    """The place of the minimum of every window of `width` shingles, the first if equal ones are in it.
+
+    last: shingles that are the minimum only where a window has no others.
+    """
     if len(h) < width:
         return np.zeros(0, np.int64)
     low20 = np.uint64((1 << 20) - 1)
     at = np.arange(len(h), dtype=np.uint64)
-    v = (mix(h + MIX1) & ~low20) | (at & low20)
+    v = mix(h + MIX1)
+    if last is not None:
+        v[last] = ~np.uint64(0)
+    v = (v & ~low20) | (at & low20)
     # Minimum of every window from minima of blocks from the left and from the right.
     pad = -len(v) % width
     full = np.concatenate([v, np.full(pad, ~np.uint64(0))]).reshape(-1, width)
@@ -74,13 +115,18 @@ class Bands:
         self.context = SHINGLE + (self.width - 1) // 2
 
     def windows(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each window: the place of its minimum, and whether its key is that of the words up to the minimum."""
-        place = minima_of_windows(shingles(w, SHINGLE), self.width)
+        """For each window: the place of its minimum, and whether its key is that of the words up to the minimum.
+
+        Shingles of one word come last: they would be the keys of all windows that reach into a stretch of it.
+        """
+        place = minima_of_windows(shingles(w, SHINGLE), self.width, alike(w, SHINGLE) if len(w) >= self.run else None)
         return place, place - np.arange(len(place)) >= self.context - SHINGLE
 
     def keys(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(places, whether before, keys) of a text's word hashes, each once."""
+        """(places, whether before, keys) of a text's word hashes, each once; windows of one word have none."""
         place, before = self.windows(w)
+        mixed = ~alike(w, self.run)
+        place, before = place[mixed], before[mixed]
         if not len(place):
             return place, before, np.zeros(0, np.int64)
         code = np.unique(place * 2 + before)
@@ -90,45 +136,83 @@ class Bands:
 
 
 def fingerprints(docs: DataFrame, least: int, run: int) -> DataFrame:
-    """doc_id, at (twice the place of a minimum, plus one for the words before it), print (the key)."""
+    """doc_id, at (twice the place of a minimum, plus one for the words before it), print (the key), until (0), needs.
+
+    needs: the words before the place, and 256 times those from it on, that must be removed for all its windows to be.
+
+    And the stretches of one word: doc_id, at (the first place), print (the word), until (the place after the last), 0.
+    """
 
     def keys(batches):
         hashes, bands = WordHashes(), Bands(run)
         for b in batches:
-            ids, places, found = [], [], []
+            ids, places, found, until, needs = [], [], [], [], []
             for i, t in zip(b.column(0), b.column(1)):
                 words = t.as_py().lower().split()
                 if len(words) < least:
                     continue
-                place, before, key = bands.keys(hashes.of(words))
-                ids.append(np.full(len(place), i.as_py(), np.int64))
-                places.append(place * 2 + before)
-                found.append(key)
+                w = hashes.of(words)
+                place, before, key = bands.keys(w)
+                start, end = stretches_of_one_word(w, least)
+                ids.append(np.full(len(place) + len(start), i.as_py(), np.int64))
+                places += [place * 2 + before, start]
+                found += [key, w[start].view(np.int64)]
+                until += [np.zeros(len(place), np.int64), end]
+                # The minimum of one word and another at the end is the last shingle, of one that begins with another the first.
+                left, right = beyond(w, run, least)
+                back = run - SHINGLE
+                left = np.where(place >= back, left[np.clip(place - back, 0, len(left) - 1)], 0) if len(place) else place
+                right = np.where(place < len(right), right[np.minimum(place, len(right) - 1)], 0) if len(place) else place
+                needs += [back + left + 256 * (run + right), np.zeros(len(start), np.int64)]
             if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(places).astype(np.int32)), pa.array(np.concatenate(found))], names=["doc_id", "at", "print"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), *(pa.array(np.concatenate(c).astype(kind)) for c, kind in ((places, np.int32), (found, np.int64), (until, np.int32), (needs, np.int32)))], names=["doc_id", "at", "print", "until", "needs"])
+
+    return docs.where("doc_id is not null").select("doc_id", as_bytes()).mapInArrow(keys, "doc_id long, at int, print long, until int, needs int")
 
-    return docs.where("doc_id is not null").select("doc_id", as_bytes()).mapInArrow(keys, "doc_id long, at int, print long")
 
+def matches_of_one_word(found: DataFrame, tables: Tables) -> DataFrame:
+    """Matches of stretches (doc_id, at, until) of one word (print), in as many rows as there are stretches, twice at most.
 
-def colliding_windows(words: DataFrame, members: DataFrame, run: int) -> DataFrame:
-    """doc_id, at, print: the windows of `run` words with their band minimum at a member, by the hash of all their words."""
+    Each is held against the first one of the smallest document, whose others are linked by the next document.
+    """
+    longest = tables.write(found.select("print", "doc_id", F.col("at").cast("long").alias("start_word"), F.col("until").cast("long").alias("end_word")).distinct(), "one-word")
+    least = lambda rows: rows.groupBy("print").agg(F.min(F.struct("doc_id", "start_word", "end_word")).alias("x"))
+    kept = least(longest).select("print", *(F.col(f"x.{a}").alias(b) for a, b in (("doc_id", "kept_doc_id"), ("start_word", "kept_start"), ("end_word", "kept_end"))))
+    both = tables.write(longest.join(kept, "print"), "one-word-pairs")
+    tables.drop(longest)
+    names = ["doc_id", "start_word", "end_word", "kept_doc_id", "kept_start", "kept_end"]
+    others = both.where("doc_id > kept_doc_id")
+    second = least(others).select("print", "x.*")
+    links = both.where("doc_id = kept_doc_id").select("print", "kept_doc_id", F.col("start_word").alias("kept_start"), F.col("end_word").alias("kept_end")).join(second, "print")
+    out = tables.write(others.select(*names).union(links.select(*names)).distinct(), "spans")
+    tables.drop(both)
+    return out
+
+
+def colliding_windows(words: DataFrame, members: DataFrame, run: int, least: int) -> DataFrame:
+    """doc_id, at, print, needs: the windows of `run` words with their band minimum at a member, by the hash of all their words.
+
+    Windows of one word are left out.
+    """
     places = members.groupBy(F.col("doc_id").alias("of")).agg(F.collect_set("at").alias("places"))
 
     def keys(batches):
         bands = Bands(run)
         for b in batches:
-            ids, starts, found = [], [], []
+            ids, starts, found, needs = [], [], [], []
             for i, w, p in zip(b.column(0), b.column(1), b.column(2)):
                 w = np.frombuffer(w.as_buffer(), np.uint64)
                 place, before = bands.windows(w)
-                at = np.flatnonzero(np.isin(place * 2 + before, p.values.to_numpy()))
+                at = np.flatnonzero(np.isin(place * 2 + before, p.values.to_numpy()) & ~alike(w, run))
                 ids.append(np.full(len(at), i.as_py(), np.int64))
                 starts.append(at)
                 found.append(shingles(w, run)[at])
+                left, right = beyond(w, run, least)
+                needs.append((left + 256 * (run + right))[at])
             if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(starts).astype(np.int32)), pa.array(np.concatenate(found).view(np.int64))], names=["doc_id", "at", "print"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(starts).astype(np.int32)), pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(needs).astype(np.int32))], names=["doc_id", "at", "print", "needs"])
 
-    return words.join(places, F.col("id") == F.col("of")).select("id", "words", "places").mapInArrow(keys, "doc_id long, at int, print long")
+    return words.join(places, F.col("id") == F.col("of")).select("id", "words", "places").mapInArrow(keys, "doc_id long, at int, print long, needs int")
 
 
 class Words:
@@ -344,10 +428,12 @@ def repeated_passages(docs: DataFrame, least: int = LEAST, percent: int = PERCEN
     tables = Tables(spark, "repeats")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     length = certain_run(least, percent)
-    found = tables.write(fingerprints(docs, least, length), "prints")
+    every = tables.write(fingerprints(docs, least, length), "prints")
+    settled = matches_of_one_word(every.where("until > 0"), tables)
+    found = every.where("until = 0").drop("until")
     shared = found.groupBy("print").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("print")
-    members = tables.write(found.join(tables.write(shared, "shared"), "print").select("print", "doc_id", "at", F.lit(False).alias("matched")), "members")
-    tables.drop(found)
+    members = tables.write(found.join(tables.write(shared, "shared"), "print").select("print", "doc_id", "at", "needs", F.lit(False).alias("matched")), "members")
+    tables.drop(every)
     bits = spark.sparkContext.broadcast(bloom(spark, members.select(F.col("doc_id").alias("id"))))
 
     def hashing():
@@ -356,6 +442,7 @@ def repeated_passages(docs: DataFrame, least: int = LEAST, percent: int = PERCEN
 
     # Word hashes of the texts that have candidates, each once; rows that repeat a doc_id count as one.
     words = tables.write(needed(docs, bits, hashing, "id long, words binary").dropDuplicates(["id"]), "words")
+    n_words = words.count()
 
     def run(batches):
         kept: dict[int, Words] = {}
@@ -389,15 +476,25 @@ def repeated_passages(docs: DataFrame, least: int = LEAST, percent: int = PERCEN
         gap = (F.col("at") - F.col("kept_at")).alias("gap")
         seeds = hits.groupBy("doc_id", "kept_doc_id", gap, F.floor(F.col("at") / SHINGLE).alias("part")).agg(F.min("at").alias("at"))
         pairs = seeds.groupBy("doc_id", "kept_doc_id").agg(F.collect_list(F.struct("at", (F.col("at") - F.col("gap")).alias("kept_at"))).alias("seeds"))
-        both = pairs.join(words.toDF("doc_id", "words"), "doc_id").join(words.toDF("kept_doc_id", "kept_words"), "kept_doc_id")
+        # Written, so that the collisions' shuffles are gone before the texts are shuffled, and only texts that are needed.
+        pairs = tables.write(pairs, "pairs")
+        ids, texts = pairs.select("doc_id").union(pairs.select("kept_doc_id")).distinct(), words
+        if 2 * ids.count() < n_words:
+            on = spark.sparkContext.broadcast(bloom(spark, ids.toDF("id")))
+            texts = tables.write(needed(words.toDF("doc_id", "text"), on, schema="id long, words binary"), "texts")
+        both = pairs.join(texts.toDF("doc_id", "words"), "doc_id").join(texts.toDF("kept_doc_id", "kept_words"), "kept_doc_id")
         new = both.select("doc_id", "kept_doc_id", "seeds", "words", "kept_words").mapInArrow(run, "doc_id long, start_word long, end_word long, kept_doc_id long, kept_start long, kept_end long")
-        return tables.write(new.distinct(), "spans")
+        out = tables.write(new.distinct(), "spans")
+        tables.drop(pairs, *([texts] if texts is not words else []))
+        return out
 
-    def covered(places: DataFrame, before: int) -> DataFrame:
-        """matched: whether the words from `before` words before a place to a run's length after it are removed."""
+    def covered(places: DataFrame) -> DataFrame:
+        """matched: whether the words before a place, and from it on, that its needs name are removed."""
         cover = merged(spans.select("doc_id", "start_word", "end_word")).toDF("d", "s", "e")
-        inside = (F.col("doc_id") == F.col("d")) & (F.col("at") - before >= F.col("s")) & (F.col("at") + length <= F.col("e"))
-        return tables.write(places.join(cover, inside, "left").select("print", "doc_id", "at", (F.col("matched") | F.col("d").isNotNull()).alias("matched")), "places")
+        # As far before the start of the text as there are no words.
+        start = F.greatest(F.col("at") - F.col("needs").bitwiseAND(255), F.lit(0))
+        inside = (F.col("doc_id") == F.col("d")) & (start >= F.col("s")) & (F.col("at") + F.shiftright("needs", 8) <= F.col("e"))
+        return tables.write(places.join(cover, inside, "left").select("print", "doc_id", "at", "needs", (F.col("matched") | F.col("d").isNotNull()).alias("matched")), "places")
 
     def streaks(places: DataFrame) -> DataFrame:
         """new: whether the place before, in the same text, has another print or is not in places."""
@@ -412,12 +509,12 @@ def repeated_passages(docs: DataFrame, least: int = LEAST, percent: int = PERCEN
     # A place is twice that of a band minimum, plus one for the key before it.
     places = members.withColumn("at", F.shiftright("at", 1))
     first = places.groupBy("print").agg(F.min(F.struct("doc_id", "at")).alias("x")).select("print", F.col("x.doc_id").alias("kept_doc_id"), F.col("x.at").alias("kept_at"))
-    spans = against(places.join(first, "print").where("doc_id > kept_doc_id"))
-    rest = covered(places, length - SHINGLE)
+    spans = settled.union(against(places.join(first, "print").where("doc_id > kept_doc_id")))
+    rest = covered(places)
     both_keys = members.join(open_prints(rest), "print").select("doc_id", "at").distinct()
-    windows = tables.write(colliding_windows(words, tables.write(both_keys, "open"), length), "windows")
+    windows = tables.write(colliding_windows(words, tables.write(both_keys, "open"), length, least), "windows")
     tables.drop(members, rest)
-    members = covered(windows.withColumn("matched", F.lit(False)), 0)
+    members = covered(windows.withColumn("matched", F.lit(False)))
     members = tables.write(members.join(open_prints(members), "print"), "members")
     tables.drop(windows)
     turn = 0
@@ -430,7 +527,7 @@ def repeated_passages(docs: DataFrame, least: int = LEAST, percent: int = PERCEN
         hits = streaks(ranked.where("not matched")).join(pivots, "print").where("doc_id > kept_doc_id and (new or kept_new)")
         spans = spans.union(against(hits))
         # Places that have been pivots have met all others.
-        rest = covered(ranked.where("not pivot"), 0)
+        rest = covered(ranked.where("not pivot"))
         tables.drop(members)
         members = tables.write(rest.join(open_prints(rest), "print"), "members")
         tables.drop(ranked, rest)

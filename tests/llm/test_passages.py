@@ -157,6 +157,46 @@ def test_written_tables_leave_no_shuffles(spark):
     assert not left
 
 
+def test_one_word_many_times(spark):
+    """Stretches of one word go where a smaller document has one too, without a row for each pair of their places."""
+    rng = random.Random(14)
+    rows, want = [], set()
+    for i in range(40):
+        w, word = [], "la" if i % 2 else "of"
+        for n in (rng.randint(50, 400), rng.randint(50, 90), 49, rng.randint(20, 49)):
+            w += [f"{i}-{len(w) + k}" for k in range(30)] + [word] * n
+            if n >= 50 and i > 1:
+                want.add((i, len(w) - n, len(w)))
+        rows.append((i, " ".join([*w, f"end{i}"])))
+    seen, write = [], Tables.write
+    Tables.write = lambda self, df, name, *more: (out := write(self, df, name, *more), seen.append((name, out.count())))[0]
+    try:
+        out = repeated_passages(frame(spark, rows)).collect()
+    finally:
+        Tables.write = write
+    assert {(r.doc_id, r.start_word, r.end_word) for r in out} == want
+    assert {(r.doc_id % 2, r.kept_doc_id, r.cluster_id) for r in out} == {(0, 0, 0), (1, 1, 1)}
+    assert max(n for name, n in seen if name == "spans") <= 2 * len(want)
+
+
+def test_windows_with_one_word_many_times(spark):
+    """No window of 50 words that repeats is left out where one word many times in a row is a part of it."""
+    rng = random.Random(15)
+    tails = [words(rng, n) for n in (3, 8, 20, 30)]
+    rows = []
+    for i in range(150):
+        w = []
+        for _ in range(3):
+            w += [rng.choice(["of", "la"])] * rng.choice([10, 24, 25, 30, 38, 44, 49, 50, 60]) + rng.choice([*tails, [f"only{i}"]])
+        rows.append((i, w))
+    removed: dict = {}
+    for r in repeated_passages(frame(spark, [(i, " ".join(w)) for i, w in rows])).collect():
+        removed.setdefault(r.doc_id, set()).update(range(r.start_word, r.end_word))
+    first: dict = {}
+    left_out = [(i, at) for i, w in rows for at in range(len(w) - 49) if first.setdefault(tuple(w[at : at + 50]), i) < i and not set(range(at, at + 50)) <= removed.get(i, set())]
+    assert not left_out
+
+
 def test_recall_against_all_windows_of_the_documents(spark):
     """Exact passages, passages with an edit anywhere, halves of them in smaller documents, and families of copies."""
     rng = random.Random(12)
