@@ -86,8 +86,9 @@ class Encoder:
     def library(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def cuts(self, text: str) -> list[str]:
-        if "\0" in text or any(p in text for p in PAIRS) or not text.isascii() and ODD.search(text):
+    def cuts(self, text: str, pairs: list[str]) -> list[str]:
+        """pairs: those of PAIRS that the text may have."""
+        if "\0" in text or any(p in text for p in pairs) or not text.isascii() and ODD.search(text):
             return self.find(text)
         return text.replace(" ", "\0 ").split("\0")
 
@@ -125,14 +126,18 @@ class Encoder:
             known[c] = b"".join(map(known.__getitem__, ps))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        whole = [any(t in text for t in self.added) for text in texts]
-        cut = [[] if w else self.cuts(t) for t, w in zip(texts, whole)]
+        # What no text has is looked for once.
+        every = "\0".join(texts)
+        added, pairs = [t for t in self.added if t in every], [p for p in PAIRS if p.strip(" ") in every and p in every]
+        whole = [any(t in text for t in added) for text in texts]
+        cut = [[] if w else self.cuts(t, pairs) for t, w in zip(texts, whole)]
         if 2 * len(self.known) > self.limit:
             self.known, self.old = {}, self.known
         if new := set().union(*cut).difference(self.known):
-            again = new.intersection(self.old)
-            self.known.update(zip(again, map(self.old.__getitem__, again)))
-            self.learn(new - again)
+            # By the new words: an intersection of the set with the old ones would go through all of those.
+            again = {c: self.old[c] for c in new if c in self.old}
+            self.known.update(again)
+            self.learn(new.difference(again) if again else new)
         get = self.known.__getitem__
         return [self.library(t) if w else b"".join(map(get, c)) for t, w, c in zip(texts, whole, cut)]
 

@@ -45,6 +45,24 @@ def test_encoder_remembers_no_more_than_its_limit(library):
     assert learnt.count(" same") == learnt.count(" words,") == 1 and len(learnt) > 2000
 
 
+def test_encoder_looks_up_old_words(library):
+    """The words that were known before are not gone through for each batch."""
+
+    class Old(dict):
+        def __iter__(self):
+            raise AssertionError("all old words were read")
+
+        keys = values = items = __iter__
+
+    file, pattern = tokenizer_file()
+    e = Encoder(open(file, encoding="utf-8").read(), pattern)
+    e.encode(["some words that are old now, and come again"])
+    e.known, e.old = {}, Old(e.known)
+    for t in ("some words that are new", "a  pair of spaces\n and a line", "<|endoftext|> words"):
+        assert np.frombuffer(e.encode([t, "words"])[0], "<u4").tolist() == library.encode(t, add_special_tokens=False).ids
+    assert " that" in e.known and e.known[" words"] is e.old[" words"]
+
+
 @pytest.mark.parametrize("unit", ["byte", "bit"])
 def test_planes_and_files(unit):
     rng = np.random.default_rng(0)
