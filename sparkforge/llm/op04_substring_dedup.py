@@ -122,10 +122,10 @@ class Bands:
         place = minima_of_windows(shingles(w, SHINGLE), self.width, alike(w, SHINGLE) if len(w) >= self.run else None)
         return place, place - np.arange(len(place)) >= self.context - SHINGLE
 
-    def keys(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(places, whether before, keys) of a text's word hashes, each once; windows of one word have none."""
+    def keys(self, w: np.ndarray, inside: np.ndarray | bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(places, whether before, keys) of a text's word hashes, each once; windows of one word, or not inside, have none."""
         place, before = self.windows(w)
-        mixed = ~alike(w, self.run)
+        mixed = ~alike(w, self.run) & inside
         place, before = place[mixed], before[mixed]
         if not len(place):
             return place, before, np.zeros(0, np.int64)
@@ -143,30 +143,49 @@ def fingerprints(docs: DataFrame, least: int, run: int) -> DataFrame:
     And the stretches of one word: doc_id, at (the first place), print (the word), until (the place after the last), 0.
     """
 
+    def rows(ids: list[int], texts: list[np.ndarray]) -> pa.RecordBatch:
+        # Texts in a row, each with a word behind it that is nowhere else.
+        lengths = np.array([len(t) + 1 for t in texts])
+        gaps = np.cumsum(lengths) - 1
+        w = np.concatenate([x for t, g in zip(texts, mix(np.arange(1, len(texts) + 1, dtype=np.uint64))) for x in (t, g[None])])
+        inside = np.ones(max(0, len(w) - run + 1), bool)
+        for k in range(run):
+            inside[(x := gaps - k)[(x >= 0) & (x < len(inside))]] = False
+        place, before, key = bands.keys(w, inside)
+        start, end = stretches_of_one_word(w, least)
+        # The minimum of one word and another at the end is the last shingle, of one that begins with another the first.
+        left, right = beyond(w, run, least)
+        back = run - SHINGLE
+        left = np.where(place >= back, left[np.clip(place - back, 0, len(left) - 1)], 0)
+        right = np.where(place < len(right), right[np.minimum(place, len(right) - 1)], 0)
+        at = np.concatenate([place, start])
+        text = np.searchsorted(gaps, at)
+        first = (gaps + 1 - lengths)[text]
+        n, m = len(place), len(start)
+        places = np.concatenate([(place - first[:n]) * 2 + before, start - first[n:]])
+        until, needs = np.concatenate([np.zeros(n, np.int64), end - first[n:]]), np.concatenate([back + left + 256 * (run + right), np.zeros(m, np.int64)])
+        found = np.concatenate([key, w[start].view(np.int64)])
+        columns = (np.array(ids, np.int64)[text], np.int64), (places, np.int32), (found, np.int64), (until, np.int32), (needs, np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(c.astype(kind)) for c, kind in columns], names=["doc_id", "at", "print", "until", "needs"])
+
     def keys(batches):
-        hashes, bands = WordHashes(), Bands(run)
+        hashes = WordHashes()
         for b in batches:
-            ids, places, found, until, needs = [], [], [], [], []
+            ids, texts, n = [], [], 0
             for i, t in zip(b.column(0), b.column(1)):
                 words = t.as_py().lower().split()
                 if len(words) < least:
                     continue
-                w = hashes.of(words)
-                place, before, key = bands.keys(w)
-                start, end = stretches_of_one_word(w, least)
-                ids.append(np.full(len(place) + len(start), i.as_py(), np.int64))
-                places += [place * 2 + before, start]
-                found += [key, w[start].view(np.int64)]
-                until += [np.zeros(len(place), np.int64), end]
-                # The minimum of one word and another at the end is the last shingle, of one that begins with another the first.
-                left, right = beyond(w, run, least)
-                back = run - SHINGLE
-                left = np.where(place >= back, left[np.clip(place - back, 0, len(left) - 1)], 0) if len(place) else place
-                right = np.where(place < len(right), right[np.minimum(place, len(right) - 1)], 0) if len(place) else place
-                needs += [back + left + 256 * (run + right), np.zeros(len(start), np.int64)]
+                if ids and n + len(words) > 30_000:
+                    yield rows(ids, texts)
+                    ids, texts, n = [], [], 0
+                ids.append(i.as_py())
+                texts.append(hashes.of(words))
+                n += len(words)
             if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), *(pa.array(np.concatenate(c).astype(kind)) for c, kind in ((places, np.int32), (found, np.int64), (until, np.int32), (needs, np.int32)))], names=["doc_id", "at", "print", "until", "needs"])
+                yield rows(ids, texts)
 
+    bands = Bands(run)
     return docs.where("doc_id is not null").select("doc_id", as_bytes()).mapInArrow(keys, "doc_id long, at int, print long, until int, needs int")
 
 
@@ -220,7 +239,20 @@ class Words:
 
     def __init__(self, hashes: np.ndarray):
         self.words = hashes
-        self.shingles = shingles(hashes, SHINGLE).tolist() if len(hashes) >= SHINGLE else []
+        self.hashes = shingles(hashes, SHINGLE) if len(hashes) >= SHINGLE else np.zeros(0, np.uint64)
+        self.shingles = self.hashes.tolist()
+        self.repeats: np.ndarray | None = None
+
+    def differ(self, start: int, end: int) -> bool:
+        """Whether all shingles of the words from start to end are different."""
+        if self.repeats is None:
+            # From each place on, the first shingle that stands there before.
+            order = np.argsort(self.hashes, kind="stable")
+            again = self.hashes[order[1:]] == self.hashes[order[:-1]]
+            self.repeats = np.full(len(order) + 1, len(order))
+            self.repeats[order[:-1][again]] = order[1:][again]
+            self.repeats = np.minimum.accumulate(self.repeats[::-1])[::-1]
+        return end - SHINGLE < self.repeats[start]
 
 
 def equal_ahead(p: np.ndarray, q: np.ndarray, i: int, j: int, step: int = 1) -> int:
@@ -257,8 +289,8 @@ def runs(p: Words, q: Words, seeds: list[tuple[int, int]]) -> list[list[int]]:
 EDITS = [(x, y) for x in range(1, STEP + 1) for y in sorted(range(1, STEP + 1), key=lambda y: abs(x - y))]
 
 
-def grown(p: Words, q: Words, chain: list[list[int]]) -> list[list[int]]:
-    """The chain's runs and those beyond an edit that agree again, on both ends, as far as such stretches go."""
+def grown(p: Words, q: Words, chain: list[list[int]]) -> tuple[list[list[int]], int]:
+    """The chain's runs and those beyond an edit that agree again, on both ends, as far as such stretches go; how many are before it."""
     s, t, n, m = p.shingles, q.shingles, len(p.shingles), len(q.shingles)
     before, (a, _, c, _) = [], chain[0]
     more = True
@@ -282,14 +314,14 @@ def grown(p: Words, q: Words, chain: list[list[int]]) -> list[list[int]]:
                 out.append([i, i + ahead, j, j + ahead])
                 b, d, more = i + ahead, j + ahead, ahead > 0
                 break
-    return out
+    return out, len(before)
 
 
-def matches(p: Words, q: Words, seeds: list[tuple[int, int]], least: int, percent: int) -> list[list[int]]:
+def matches(p: Words, q: Words, seeds: list[tuple[int, int]], least: int, percent: int, seeded: bool = False) -> list[list[int]]:
     """Stretches [p start, p end, q start, q end] of `least` words on each side that have the similarity.
 
     A chain is a sequence of equal runs, with a few other words between them. Where the whole chain is not alike enough,
-    the longest of its parts are taken that are, from run to run.
+    the longest of its parts are taken that are, from run to run; seeded: of those only the ones with a seed in them.
     """
     chains: list[list[list[int]]] = []
     ends: dict[int, list[list[list[int]]]] = {}
@@ -307,24 +339,31 @@ def matches(p: Words, q: Words, seeds: list[tuple[int, int]], least: int, percen
     for x in chains:
         if any(y[0] <= x[0][0] and x[-1][1] <= y[1] and y[2] <= x[0][2] and x[-1][3] <= y[3] for y in out[-1:]):
             continue
-        x = np.array(grown(p, q, x))
+        own = len(x)
+        x, before = grown(p, q, x)
+        x = np.array(x)
         # Shingles of equal runs up to each run, where runs overlap each word once; a bound on what the sides share.
         same = np.concatenate([[0], np.cumsum(np.maximum(0, x[:, 1] - x[:, 0] - SHINGLE + 1))])
+        # A part from run i to run j has the similarity by that bound where reach[j] >= need[i]: (100 + percent) * shared >= percent * all.
+        reach = (100 + percent) * same[1:] - percent * (x[:, 1] + x[:, 3])
+        need = (100 + percent) * same[:-1] - percent * (x[:, 0] + x[:, 2] + 2 * (SHINGLE - 1))
         done = -1
-        for i in range(len(x)):
-            n, m, both = x[i:, 1] - x[i, 0], x[i:, 3] - x[i, 2], same[i + 1 :] - same[i]
-            total = np.maximum(0, n - SHINGLE + 1) + np.maximum(0, m - SHINGLE + 1)
-            fits = np.flatnonzero((np.minimum(n, m) >= least) & ((100 + percent) * both >= percent * total))
-            for j in fits[::-1]:
-                if i + j <= done:
-                    break
-                a, b, c, d = x[i, 0], x[i + j, 1], x[i, 2], x[i + j, 3]
-                s, t = (np.unique(shingles(v, SHINGLE)) for v in (p.words[a:b], q.words[c:d]))
-                shared = len(np.intersect1d(s, t, assume_unique=True))
-                if 100 * shared >= percent * (len(s) + len(t) - shared):
-                    out.append([int(a), int(b), int(c), int(d)])
-                    done = i + j
-                    break
+        for i in np.flatnonzero(np.maximum.accumulate(reach[::-1])[::-1] >= need).tolist():
+            first = max(i, before, done + 1) if seeded else max(i, done + 1)
+            if seeded and i >= before + own:
+                break
+            fits = first + np.flatnonzero((reach[first:] >= need[i]) & (np.minimum(x[first:, 1] - x[i, 0], x[first:, 3] - x[i, 2]) >= least))
+            for j in fits[::-1].tolist():
+                a, b, c, d = x[i, 0], x[j, 1], x[i, 2], x[j, 3]
+                # Where no shingle of a side repeats, the bound is what the sets share at least.
+                if not (p.differ(a, b) and q.differ(c, d)):
+                    s, t = (np.unique(v) for v in (p.hashes[a : b - SHINGLE + 1], q.hashes[c : d - SHINGLE + 1]))
+                    shared = len(np.intersect1d(s, t, assume_unique=True))
+                    if 100 * shared < percent * (len(s) + len(t) - shared):
+                        continue
+                out.append([int(a), int(b), int(c), int(d)])
+                done = j
+                break
             if done == len(x) - 1:
                 break
     return out
@@ -416,6 +455,29 @@ def merged(stretches: DataFrame) -> DataFrame:
     return fresh.withColumn("part", F.sum("new").over(ordered)).groupBy("doc_id", "part").agg(F.min("start_word").alias("start_word"), F.max("end_word").alias("end_word")).drop("part")
 
 
+def blocks(places: DataFrame, tables: Tables) -> DataFrame:
+    """Places (print, doc_id, at, needs, matched) whose print stands after the same other one, and that before no other, as one.
+
+    Any two places of a later print of a block are in the same equal run as two of its first, so the first finds all pairs
+    and their runs. The block's needs are those of all its places: they overlap, so it is removed where all of them are.
+    """
+    ordered = Window.partitionBy("doc_id").orderBy("at")
+    last = F.lag(F.struct("at", "print")).over(ordered)
+    rows = tables.write(places.withColumn("last", F.when(last["at"] == F.col("at") - 1, last["print"])), "rows")
+    sizes = tables.write(rows.groupBy("print").agg(F.count("*").alias("n"), F.count("last").alias("n_last"), F.min("last").alias("last"), F.max("last").alias("other")), "sizes")
+    before = sizes.select(F.col("print").alias("last"), F.col("n").alias("n_before"))
+    later = sizes.where("n = n_last and last = other").join(before, "last").where("n = n_before").select("print", F.lit(False).alias("first"))
+    # A row whose print is later has the place before it in its block.
+    marked = rows.join(later, "print", "left").withColumn("first", F.coalesce("first", F.lit(True)))
+    part = F.sum(F.col("first").cast("int")).over(ordered.rowsBetween(Window.unboundedPreceding, 0))
+    ends = marked.withColumn("part", part).withColumn("start", F.col("at") - F.col("needs").bitwiseAND(255)).withColumn("end", F.col("at") + F.shiftright("needs", 8))
+    one = ends.groupBy("doc_id", "part").agg(F.min(F.struct("at", "print")).alias("x"), F.min("start").alias("start"), F.max("end").alias("end"), F.min("matched").alias("matched"))
+    out = one.select("x.print", "doc_id", "x.at", (F.col("x.at") - F.col("start") + 256 * (F.col("end") - F.col("x.at"))).cast("int").alias("needs"), "matched")
+    out = tables.write(out, "blocks")
+    tables.drop(rows, sizes)
+    return out
+
+
 def repeated_passages(docs: DataFrame, least: int = LEAST, percent: int = PERCENT) -> DataFrame:
     """The stretches to remove: doc_id, start_word, end_word (exclusive), n_words, kept_doc_id, cluster_id.
 
@@ -444,7 +506,7 @@ def repeated_passages(docs: DataFrame, least: int = LEAST, percent: int = PERCEN
     words = tables.write(needed(docs, bits, hashing, "id long, words binary").dropDuplicates(["id"]), "words")
     n_words = words.count()
 
-    def run(batches):
+    def run(batches, seeded):
         kept: dict[int, Words] = {}
 
         def get(i, w):
@@ -465,13 +527,13 @@ def repeated_passages(docs: DataFrame, least: int = LEAST, percent: int = PERCEN
             ends = np.flatnonzero(np.diff(row, append=-1)) + 1
             for x, y in zip([0, *ends.tolist()], ends.tolist()):
                 (i, k), (p, q) = (b.column(n)[row[x]].as_py() for n in (0, 1)), (b.column(n)[row[x]] for n in (3, 4))
-                found = matches(get(i, p), get(k, q), list(zip(at[x:y].tolist(), kept_at[x:y].tolist())), least, percent)
+                found = matches(get(i, p), get(k, q), list(zip(at[x:y].tolist(), kept_at[x:y].tolist())), least, percent, seeded)
                 rows += [(i, m[0], m[1], k, m[2], m[3]) for m in found]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=names)
 
-    def against(hits: DataFrame) -> DataFrame:
-        """Matches of documents that collide at (at, kept_at)."""
+    def against(hits: DataFrame, seeded: bool = False) -> DataFrame:
+        """Matches of documents that collide at (at, kept_at); seeded: only those with a collision in them."""
         # Collisions at one distance whose windows share words are one seed.
         gap = (F.col("at") - F.col("kept_at")).alias("gap")
         seeds = hits.groupBy("doc_id", "kept_doc_id", gap, F.floor(F.col("at") / SHINGLE).alias("part")).agg(F.min("at").alias("at"))
@@ -483,7 +545,7 @@ def repeated_passages(docs: DataFrame, least: int = LEAST, percent: int = PERCEN
             on = spark.sparkContext.broadcast(bloom(spark, ids.toDF("id")))
             texts = tables.write(needed(words.toDF("doc_id", "text"), on, schema="id long, words binary"), "texts")
         both = pairs.join(texts.toDF("doc_id", "words"), "doc_id").join(texts.toDF("kept_doc_id", "kept_words"), "kept_doc_id")
-        new = both.select("doc_id", "kept_doc_id", "seeds", "words", "kept_words").mapInArrow(run, "doc_id long, start_word long, end_word long, kept_doc_id long, kept_start long, kept_end long")
+        new = both.select("doc_id", "kept_doc_id", "seeds", "words", "kept_words").mapInArrow(lambda batches: run(batches, seeded), "doc_id long, start_word long, end_word long, kept_doc_id long, kept_start long, kept_end long")
         out = tables.write(new.distinct(), "spans")
         tables.drop(pairs, *([texts] if texts is not words else []))
         return out
@@ -496,11 +558,6 @@ def repeated_passages(docs: DataFrame, least: int = LEAST, percent: int = PERCEN
         inside = (F.col("doc_id") == F.col("d")) & (start >= F.col("s")) & (F.col("at") + F.shiftright("needs", 8) <= F.col("e"))
         return tables.write(places.join(cover, inside, "left").select("print", "doc_id", "at", "needs", (F.col("matched") | F.col("d").isNotNull()).alias("matched")), "places")
 
-    def streaks(places: DataFrame) -> DataFrame:
-        """new: whether the place before, in the same text, has another print or is not in places."""
-        before = F.lag("at").over(Window.partitionBy("print", "doc_id").orderBy("at"))
-        return places.withColumn("new", F.coalesce(before < F.col("at") - 1, F.lit(True)))
-
     def open_prints(places: DataFrame) -> DataFrame:
         """Prints that a document other than the first has outside all that is removed."""
         ends = places.groupBy("print").agg(F.min("doc_id").alias("low"), F.max(F.when(~F.col("matched"), F.col("doc_id"))).alias("high"))
@@ -515,17 +572,17 @@ def repeated_passages(docs: DataFrame, least: int = LEAST, percent: int = PERCEN
     windows = tables.write(colliding_windows(words, tables.write(both_keys, "open"), length, least), "windows")
     tables.drop(members, rest)
     members = covered(windows.withColumn("matched", F.lit(False)))
-    members = tables.write(members.join(open_prints(members), "print"), "members")
+    members = blocks(members.join(open_prints(members), "print"), tables)
     tables.drop(windows)
     turn = 0
     while not members.isEmpty():
         # The places of the next documents, more of them each turn, are held against all of larger ones not removed yet.
         rank = F.dense_rank().over(Window.partitionBy("print").orderBy("doc_id"))
         ranked = tables.write(members.withColumn("pivot", rank <= 16**turn), "ranked")
-        pivots = streaks(ranked.where("pivot")).select("print", F.col("doc_id").alias("kept_doc_id"), F.col("at").alias("kept_at"), F.col("new").alias("kept_new"))
-        # Where both places go on from the ones before them, those have the same equal run.
-        hits = streaks(ranked.where("not matched")).join(pivots, "print").where("doc_id > kept_doc_id and (new or kept_new)")
-        spans = spans.union(against(hits))
+        pivots = ranked.where("pivot").select("print", F.col("doc_id").alias("kept_doc_id"), F.col("at").alias("kept_at"))
+        hits = ranked.where("not matched").join(pivots, "print").where("doc_id > kept_doc_id")
+        # Other parts of two documents that are alike have places of their own where these are still open.
+        spans = spans.union(against(hits, seeded=True))
         # Places that have been pivots have met all others.
         rest = covered(ranked.where("not pivot"))
         tables.drop(members)
@@ -548,7 +605,7 @@ def repeated_passages(docs: DataFrame, least: int = LEAST, percent: int = PERCEN
     names = tables.write(region.select("node", "doc_id").distinct().join(parts, "node").groupBy("component").agg(F.min("doc_id").alias("cluster_id")), "names")
     tables.only(linked, parts, names)
     labels = parts.join(names, "component").select(F.col("node").alias("u"), "cluster_id")
-    out = linked.join(labels, "u").groupBy("doc_id", "u", "cluster_id", "start_word").agg(F.max(F.struct("end_word", -F.col("kept_doc_id"))).alias("x"))
+    out = linked.groupBy("doc_id", "u", "start_word").agg(F.max(F.struct("end_word", -F.col("kept_doc_id"))).alias("x")).join(labels, "u")
     out = out.select("doc_id", "cluster_id", "start_word", F.col("x.end_word").alias("end_word"), (-F.col("x.col2")).alias("kept_doc_id"))
     # What is inside another stretch of the document goes with it.
     before = F.max("end_word").over(Window.partitionBy("doc_id").orderBy("start_word").rowsBetween(Window.unboundedPreceding, -1))

@@ -3,8 +3,8 @@ import time
 
 import numpy as np
 
-from sparkforge.llm.common import Tables, shingles
-from sparkforge.llm.op04_substring_dedup import Bands, Side, Words, certain_run, matches, repeated_passages, sorted_runs, without_passages
+from sparkforge.llm.common import Tables, WordHashes, shingles
+from sparkforge.llm.op04_substring_dedup import Bands, Side, Words, certain_run, fingerprints, matches, repeated_passages, sorted_runs, without_passages
 from sparkforge.llm.op08_decontamination import NUMERIC, OUTER, UNITS, decontaminate
 
 SCHEMA = "doc_id long, text string, lang string, source string, at int, print string, seeds int, hash string, id int, gap string, item_id int, node string"
@@ -234,6 +234,49 @@ def test_recall_against_all_windows_of_the_documents(spark):
     assert total > 500 and lost == 0
 
 
+def test_lines_of_many_documents_are_one_place_each(spark):
+    """All windows of a line that is too short for a passage are held against the others by their first one only."""
+    rng = random.Random(16)
+    line, passage = words(rng, 40), words(rng, 55)
+    rows = [(i, " ".join(words(rng, 30) + line + words(rng, 30) + (passage if i in (7, 20) else []))) for i in range(30)]
+    seen, write = [], Tables.write
+    Tables.write = lambda self, df, name, *more: (out := write(self, df, name, *more), seen.append((name, out.count())))[0]
+    try:
+        out = repeated_passages(frame(spark, rows)).collect()
+    finally:
+        Tables.write = write
+    assert {(r.doc_id, r.start_word, r.end_word, r.kept_doc_id) for r in out} == {(20, 100, 155, 7)}
+    # A next word that two documents share by chance begins a place of its own.
+    assert 0 < max(n for name, n in seen if name == "ranked") < 2 * len(rows)
+
+
+def test_parts_without_a_seed_are_left_to_their_own():
+    """Two long equal runs with unlike words between them: where only one has a seed, the other is no match."""
+    rng = random.Random(17)
+    for k in range(20):
+        one, two, other = ([rng.getrandbits(63) for _ in range(n)] for n in (60, 70, 200))
+        between = [[x for i in range(12) for x in (*other[6 * i : 6 * i + 5], rng.getrandbits(63), rng.getrandbits(63))] for _ in range(2)]
+        p, q = (Words(np.array(one + b + two, np.uint64)) for b in between)
+        full, last = [[0, 60], [len(p.words) - 70, len(p.words)]], len(p.words) - 30
+        ends = lambda found: [m[:2] for m in found]
+        assert [a[0] <= b[0] and b[1] <= a[1] for a, b in zip(ends(matches(p, q, [(20, 20)], 50, 80)), full)] == [True, True]
+        for seed, want in ((20, full[0]), (last, full[1])):
+            (got,) = ends(matches(p, q, [(seed, seed)], 50, 80, seeded=True))
+            assert got[0] <= want[0] and want[1] <= got[1] and got in ends(matches(p, q, [(seed, seed)], 50, 80))
+
+
+def test_texts_in_a_row_have_the_keys_of_each(spark):
+    rng = random.Random(18)
+    texts = [" ".join(rng.choices(["a", "b"], [30, 1], k=rng.randint(40, 300)) if i % 2 else words(rng, rng.randint(40, 300))) for i in range(60)]
+    got = {(r.doc_id, r.at, r.print) for r in fingerprints(frame(spark, list(enumerate(texts))).coalesce(1), 50, 25).where("until = 0").collect()}
+    want = set()
+    for i, t in enumerate(texts):
+        w = WordHashes().of(t.encode().split())
+        place, before, key = Bands(25).keys(w)
+        want |= {(i, 2 * a + b, k) for a, b, k in zip(place.tolist(), before.tolist(), key.tolist()) if len(w) >= 50}
+    assert got == want
+
+
 def test_passages_edges(spark):
     long = " ".join(words(random.Random(4), 40_000))
     rows = [(1, None), (2, ""), (None, long), (3, long), (4, long + " tail"), (4, long + " tail"), (5, "a " * 500), (6, "a " * 500)]
