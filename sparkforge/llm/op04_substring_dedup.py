@@ -12,7 +12,8 @@ words, 25 for 50 words and 80 %, is the same in both: the bands are tuned to tha
 3. What lies in no stretch that this removes goes on: the windows of G words at such places, and at the places they collide
    with, are joined by the hash of all their words, so lines that are shared but shorter make no more candidates. A window
    is held against the first places of its hash, more of them each turn, until it lies in a stretch that is removed or
-   has met every place of a document with a smaller doc_id.
+   has met every place of a document with a smaller doc_id. Windows that always follow each other are one place, and only
+   the parts of chains with such a place in them are matches.
 
 Overlapping stretches of a document are one node, matches are edges, and connected components are the clusters. A stretch
 is removed only where a document with a smaller doc_id has it too, so one copy of everything stays. Clusters hang together
