@@ -292,3 +292,23 @@ def test_top_k_of_nulls_ties_and_nothing(spark):
     got = e.sql("SELECT approx_top_k(x, 3) FROM (VALUES ('b'), ('a'), (NULL), ('a'), (NULL), ('b'), ('c')) AS t(x)").first()[0]
     assert [tuple(r) for r in got] == [(None, 2), ("a", 2), ("b", 2)]
     assert e.sql("SELECT approx_top_k(x, 3) FROM (VALUES ('b')) AS t(x) WHERE x = 'z'").first()[0] == []
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_not_in_a_query_is_a_join_by_its_key(spark):
+    from sparkforge.session import Engine
+
+    e = Engine(spark)
+    e.view("l", e.spark.createDataFrame([(1, 1), (None, 2), (3, 3)], "k int, i int"))
+    e.view("r", e.spark.createDataFrame([(None,), (3,)], "k int"))
+    got = e.sql("SELECT k FROM l WHERE k NOT IN (SELECT k FROM r)")
+    assert [r.k for r in got.collect()] == [1] and "NestedLoop" not in plan(got)
+    got = e.sql("SELECT i, k NOT IN (SELECT k FROM r) AS a, k NOT IN (SELECT k FROM r WHERE k > 5) AS b FROM l ORDER BY i")
+    assert [tuple(r) for r in got.collect()] == [(1, True, True), (2, False, True), (3, False, True)] and "NestedLoop" not in plan(got)
+    got = e.sql("SELECT i FROM l WHERE k NOT IN (SELECT k FROM r WHERE k > 5) ORDER BY i")
+    assert [r.i for r in got.collect()] == [1, 2, 3]
+    got = e.sql("SELECT i FROM l WHERE k NOT IN (SELECT k FROM r WHERE k > i) OR i = 3 ORDER BY i")
+    assert [r.i for r in got.collect()] == [1, 3]
