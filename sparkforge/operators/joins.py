@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Bytes up to which a table goes whole to every task.
+SMALL = 10_000_000
+
 
 def using(left: DataFrame, right: DataFrame, columns: list[str], how: str = "inner") -> DataFrame:
     """USING: one merged column for each key, the left's, the right's (right join) or the first that isn't null (full)."""
@@ -83,20 +86,28 @@ def salted(left: DataFrame, right: DataFrame, key: str, salts: int = 16, how: st
     """An equi-join whose hot keys spread over `salts` tasks: the left is salted, the right repeated for each salt.
 
     Right rows without a match (right, full) are found apart, by a join with the left's distinct keys, so each comes once.
+    A right side that is small once repeated goes whole to every task and needs no salt. Any other is merged: Catalyst takes
+    the repeated side to be as small as before and would send all its copies through the driver.
     """
     if how in ("right", "full"):
         met = salted(left, right, key, salts, "inner" if how == "right" else "left")
         alone = right.join(left.select(key).distinct(), key, "left_anti")
         return met.unionByName(alone, allowMissingColumns=True)
+    if bytes_of(right) * salts <= SMALL:
+        return left.join(F.broadcast(right), key, how)
     a = left.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)))
     b = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")))
-    return a.join(b, [key, "__salt"], how).drop("__salt")
+    return a.join(b.hint("merge"), [key, "__salt"], how).drop("__salt")
+
+
+def bytes_of(df: DataFrame) -> int:
+    """Catalyst's estimate of the size of df."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def small(df: DataFrame, most: int = 10_000_000) -> DataFrame:
+def small(df: DataFrame, most: int = SMALL) -> DataFrame:
     """df with a broadcast hint if Catalyst's estimate of its size is at most `most` bytes; else df for a shuffled join."""
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return F.broadcast(df) if int(str(size)) <= most else df
+    return F.broadcast(df) if bytes_of(df) <= most else df
 
 
 def opaque(left: DataFrame, right: DataFrame, on: Column, predicate) -> DataFrame:

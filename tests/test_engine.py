@@ -312,3 +312,13 @@ def test_not_in_a_query_is_a_join_by_its_key(spark):
     assert [r.i for r in got.collect()] == [1, 2, 3]
     got = e.sql("SELECT i FROM l WHERE k NOT IN (SELECT k FROM r WHERE k > i) OR i = 3 ORDER BY i")
     assert [r.i for r in got.collect()] == [1, 3]
+
+
+def test_salted_joins_send_no_copies_through_the_driver(spark, tmp_path):
+    spark.range(30_000).selectExpr("id AS k", "uuid() AS x").write.parquet(f"{tmp_path}/right")
+    left, right = spark.range(2_000_000).selectExpr("id % 3 AS k", "id AS i"), spark.read.parquet(f"{tmp_path}/right")
+    for how in ("inner", "left"):
+        got = joins.salted(left, right, "k", 16, how)
+        assert "Broadcast" not in plan(got) and got.count() == 2_000_000
+    few = joins.salted(left, spark.range(2).toDF("k"), "k", 16)
+    assert "Broadcast" in plan(few) and few.count() == 1_333_334
