@@ -365,7 +365,7 @@ def udf_aggregate(e):
 @op("SELECT o_custkey, o_orderkey, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey), 2) AS running FROM orders", "orders")
 def udtf_running_total(e):
     def f(rows):
-        return rows.assign(running=rows.o_totalprice.cumsum().round(2))[["o_custkey", "o_orderkey", "running"]]
+        return pd.DataFrame({"o_custkey": rows.o_custkey.to_numpy(), "o_orderkey": rows.o_orderkey.to_numpy(), "running": rows.o_totalprice.cumsum().round(2).to_numpy()}, copy=False)
 
     return udf.table(e.spark.table("orders").select("o_custkey", "o_orderkey", "o_totalprice"), f, "o_custkey long, o_orderkey long, running double", ["o_custkey"], ["o_orderkey"])
 

@@ -1,6 +1,7 @@
 import ast
 import os
 
+import pandas as pd
 import pytest
 
 from sparkforge.functions import registry, udfs
@@ -322,3 +323,25 @@ def test_salted_joins_send_no_copies_through_the_driver(spark, tmp_path):
         assert "Broadcast" not in plan(got) and got.count() == 2_000_000
     few = joins.salted(left, spark.range(2).toDF("k"), "k", 16)
     assert "Broadcast" in plan(few) and few.count() == 1_333_334
+
+
+def test_table_functions_take_groups_as_they_would_be_alone(spark):
+    from sparkforge.operators import udf
+
+    big = 2**53 + 1
+    rows = [(None, 3, True, "n"), (1, big, True, "b"), (1, None, None, "a"), (2, big, False, None), (2, 5, True, "z"), (None, 1, None, "m")] + [(k, big + k, True, str(k)) for k in range(3, 40)]
+    df = spark.createDataFrame(rows, "k int, v bigint, t boolean, s string").repartition(3)
+
+    def f(x):
+        return pd.DataFrame({"k": x.k, "s": x.s, "kinds": [f"{x.v.dtype} {x.t.dtype} {list(x.index)} {[y for y in x.t]}"] * len(x), "v": x.v})
+
+    def by_group(x):
+        return f(x.sort_values(["v", "s"]).reset_index(drop=True))
+
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for size in ("2", "10000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        got = udf.table(df, f, "k int, s string, kinds string, v bigint", ["k"], ["v", "s"])
+        assert "FlatMapGroups" not in plan(got)
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, df.groupBy("k").applyInPandas(by_group, got.schema).collect()))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
