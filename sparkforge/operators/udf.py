@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import inspect
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -69,7 +70,10 @@ def table(df: DataFrame, f, returns: str, partition_by: list[str] | None = None,
 
 
 def cogroup(left: DataFrame, right: DataFrame, by: list[str], f, returns: str) -> DataFrame:
-    return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(f, returns)
+    """f(rows of the left, rows of the right), or f(key, left, right), for each key of either side."""
+    if len(inspect.getfullargspec(f).args) == 3:
+        return each([left, right], by, lambda a, b: f(first(a if len(a) else b, by), a, b), returns)
+    return each([left, right], by, f, returns)
 
 
 def each(sides: list[DataFrame], by: list[str], f, returns: str, order_by: list[str] | None = None) -> DataFrame:

@@ -6,6 +6,7 @@ import re
 import uuid
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -373,7 +374,7 @@ def udtf_running_total(e):
 @op("SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey", "customer", "orders")
 def udtf_cogroup(e):
     def f(a, b):
-        return pd.DataFrame({"c_custkey": a.c_custkey.iloc[:1], "n": [len(b)] * len(a.iloc[:1])})
+        return pd.DataFrame({"c_custkey": a.c_custkey.to_numpy()[:1], "n": np.full(min(len(a), 1), len(b))}, copy=False)
 
     left = e.spark.table("customer").select("c_custkey", F.col("c_custkey").alias("k"))
     right = e.spark.table("orders").select(F.col("o_custkey").alias("k"), "o_orderkey")

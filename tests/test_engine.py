@@ -345,3 +345,21 @@ def test_table_functions_take_groups_as_they_would_be_alone(spark):
         assert "FlatMapGroups" not in plan(got)
         assert sorted(map(repr, got.collect())) == sorted(map(repr, df.groupBy("k").applyInPandas(by_group, got.schema).collect()))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+
+
+def test_cogroups_of_one_side_or_of_many_batches(spark):
+    from sparkforge.operators import udf
+
+    left = spark.createDataFrame([(1, 10), (1, None), (2, 2**53 + 1), (None, 4)], "k int, x bigint").repartition(2)
+    right = spark.createDataFrame([(1, "a"), (3, "b"), (3, None), (None, "n"), *((4, str(i)) for i in range(9))], "k int, y string").repartition(2)
+
+    def f(key, a, b):
+        return pd.DataFrame({"k": [str(key)], "n": [f"{len(a)} {len(b)} {a.x.dtype} {list(a.columns)} {list(b.columns)}"], "s": [float(a.x.sum())], "y": ["".join(sorted(v for v in b.y if v))]})
+
+    want = sorted(map(repr, left.groupBy("k").cogroup(right.groupBy("k")).applyInPandas(lambda k, a, b: f(k, a, b), "k string, n string, s double, y string").collect()))
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for size in ("2", "10000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        got = udf.cogroup(left, right, ["k"], f, "k string, n string, s double, y string")
+        assert "FlatMapCoGroups" not in plan(got) and sorted(map(repr, got.collect())) == want
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
