@@ -363,3 +363,23 @@ def test_cogroups_of_one_side_or_of_many_batches(spark):
         got = udf.cogroup(left, right, ["k"], f, "k string, n string, s double, y string")
         assert "FlatMapCoGroups" not in plan(got) and sorted(map(repr, got.collect())) == want
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+
+
+def test_groups_frames_rank_groups_not_rows(spark):
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(i, None if i % 5 == 0 else i % 3, None if i % 7 == 0 else i // 4, None if i % 4 == 0 else i) for i in range(60)], "i int, p int, o int, v int")
+    w = Window.partitionBy("p").orderBy("o")
+    ranked = df.withColumn("g", F.dense_rank().over(w))
+    for a, b, f, by in ((-1, 0, F.sum, ["p"]), (-2, 2, F.count, ["p"]), (0, 1, F.avg, ["p"]), (1, 2, F.count, ["p"]), (-30, 0, F.max, ["p"]), (-1, 1, F.first, ["p"]), (0, 0, F.min, [])):
+        got = windows.groups_frame(df, f("v"), "s", by, ["o"], a, b)
+        if f is F.first:
+            assert "Window" in plan(got) and got.count() == 60
+            continue
+        r = ranked if by else df.withColumn("g", F.dense_rank().over(Window.orderBy("o")))
+        want = r.withColumn("s", f("v").over(Window.partitionBy(*by).orderBy("g").rangeBetween(a, b))).drop("g")
+        assert got.columns == want.columns and sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    # The only window is over the distinct groups.
+    got = plan(windows.groups_frame(df, F.sum("v"), "s", ["p"], ["o"], -1, 0))
+    assert "specifiedwindowframe(RangeFrame" not in got and "windowspecdefinition(p#" not in got
