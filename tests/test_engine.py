@@ -383,3 +383,23 @@ def test_groups_frames_rank_groups_not_rows(spark):
     # The only window is over the distinct groups.
     got = plan(windows.groups_frame(df, F.sum("v"), "s", ["p"], ["o"], -1, 0))
     assert "specifiedwindowframe(RangeFrame" not in got and "windowspecdefinition(p#" not in got
+
+
+def test_groups_and_sessions_in_sql_take_partitions_apart(spark):
+    from sparkforge.session import Engine
+
+    e = Engine(spark)
+    rows = [(i, None if i % 11 == 0 else i % 2, None if i % 13 == 0 else i // 5, None if i % 4 == 0 else i * i % 97, i * 7919 % 1009) for i in range(600)]
+    e.view("t", e.spark.createDataFrame(rows, "i int, p int, o int, v int, s int").repartition(5))
+    for by in ("PARTITION BY p ", ""):
+        for order in ("o, s, i", "s DESC, i DESC", "o, i DESC") if by else ("s, i", "o DESC NULLS FIRST, i"):
+            over = f"{by}ORDER BY {order}"
+            got = e.sql(f"SELECT i, session_number(v, 20) OVER ({over}) AS a, session_number(s, 1) OVER ({over}) AS b, count(*) OVER ({by}ORDER BY o GROUPS 1 PRECEDING) AS c, sum(v) OVER ({by}ORDER BY o DESC GROUPS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS d FROM t")
+            e.view("n", e.spark.sql(f"SELECT *, CASE WHEN v - last_value(v) IGNORE NULLS OVER ({over} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > 20 THEN 1 ELSE 0 END AS x, CASE WHEN s - lag(s) OVER ({over}) > 1 THEN 1 ELSE 0 END AS y, dense_rank() OVER ({by}ORDER BY o) AS g, dense_rank() OVER ({by}ORDER BY o DESC) AS h FROM t"))
+            want = e.spark.sql(f"SELECT i, 1 + sum(x) OVER ({over}) AS a, 1 + sum(y) OVER ({over}) AS b, count(*) OVER ({by}ORDER BY g RANGE BETWEEN 1 PRECEDING AND CURRENT ROW) AS c, sum(v) OVER ({by}ORDER BY h RANGE BETWEEN CURRENT ROW AND 2 FOLLOWING) AS d FROM n")
+            assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    # No window is over a partition's rows in one piece.
+    text = plan(e.sql("SELECT *, session_number(v, 20) OVER (PARTITION BY p ORDER BY s, i) AS a, sum(v) OVER (PARTITION BY p ORDER BY o GROUPS 1 PRECEDING) AS b FROM t"))
+    assert "__chunk" in text and "RangeFrame, -1" not in text
+    assert e.sql("SELECT session_number(v, 20) OVER (ORDER BY s) AS a, sum(v) OVER (ORDER BY s GROUPS 1 PRECEDING) AS b FROM t WHERE i < 0").collect() == []
+    assert e.sql("SELECT *, session_number(v, 20) OVER (ORDER BY s) AS a FROM t").columns == ["i", "p", "o", "v", "s", "__session0", "a"]
